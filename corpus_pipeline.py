@@ -1,13 +1,47 @@
-"""The corpus pipeline: each stage calls one operator of ``countloom.llm``."""
+"""The corpus pipeline: five stages, each calling one operator of ``countloom.llm``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from countloom.llm.bpe import round_trip
 from countloom.llm.common import saved, table
+from countloom.llm.decontaminate import drop_copies
 from countloom.llm.exact_dedup import drop_exact
+from countloom.llm.quality import fit, keep_good
+from countloom.llm.simhash import drop_near
 
-STAGES = [("exact_dedup", lambda spark, docs, sf_dir: drop_exact(docs))]
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ranking, fitted on labelled ones, doesn't reject."""
+    return keep_good(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the largest id."""
+    return drop_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked near-duplicates, the one with the smallest id."""
+    return drop_near(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that copy no benchmark passage."""
+    return drop_copies(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the text decoded from them."""
+    import public_tokenizers
+
+    return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontaminate", decontaminated), ("bpe", encoded)]
+
+#: Ranking, fingerprints, alignment and BPE aren't SQL; the tests use brute force.
 ORACLE_SQL = None
 
 
