@@ -38,13 +38,14 @@ def fingerprint_of(text: str) -> int:
 
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) for each row."""
+    """doc_id, text_hash, fp (the 64 bits as a long) for each row."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint_of(text) for text in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        fps = np.array([fingerprint_of(text) for text in batch.column(2).to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
-    return map_batches(texts_of(df, id_col, text_col), step, "doc_id long, fp long")
+    own = texts_of(df, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return map_batches(own, step, "doc_id long, text_hash long, fp long")
 
 
 def _quad_mask(quad: tuple[int, ...]) -> int:
@@ -129,6 +130,20 @@ def links(unique: DataFrame) -> DataFrame:
     return map_batches(groups.where(F.size("fps") > 1).select("fps"), step, "a long, b long")
 
 
+def _rank():
+    """Orders the rows of a component: smallest id first, null ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+
+
+def _components(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``fingerprints`` with ``best``, the first row of their component."""
+    unique = saved(rows.groupBy("fp").agg(F.min(_rank()).alias("least")), "unique")
+    roots = saved(connected_components(links(unique)), "roots")
+    members = roots.join(unique, F.col("node") == F.col("fp")).select("fp", "root", "least")
+    reached = saved(members.join(members.groupBy("root").agg(F.min("least").alias("best")), "root").select("fp", "best"), "reached")
+    return rows.join(unique.join(reached, "fp", "left").select("fp", F.coalesce("best", "least").alias("best")), "fp")
+
+
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -138,20 +153,21 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     it is null if all ids of a component are. Repeated rows give repeated results;
     other columns are ignored; an empty table gives an empty result.
     """
-    rows = saved(fingerprints(df, id_col=id_col, text_col=text_col), "fingerprints")
-    unique = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "unique")
-    roots = saved(connected_components(links(unique)), "roots")
-    members = roots.join(unique, F.col("node") == F.col("fp")).select("fp", "root", "least")
-    reached = saved(members.join(members.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "reached")
-    ids = unique.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _components(saved(fingerprints(df, id_col=id_col, text_col=text_col), "fingerprints"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
 def drop_near(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with one of each component: the one with the smallest id."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col)
-    gone = saved(found.where("doc_id <> component_id or doc_id is null and component_id is not null").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of ``df`` of each component, with all columns: that with the smallest
+    id (of several with that id, one)."""
+    prints = saved(fingerprints(df, id_col=id_col, text_col=text_col), "fingerprints")
+    gone = _components(prints).where(~_rank().eqNullSafe(F.col("best")))
+    gone = saved(gone.select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")).distinct(), "gone")
+    text_hash = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    out = df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_near_id"]) & (text_hash == gone["_near_hash"]), "left_anti")
+    if not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows: one of each
+        out = out.dropDuplicates([id_col, text_col])
+    return out
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
