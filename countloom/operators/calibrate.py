@@ -10,7 +10,7 @@ NONE, DISAGGREGATE, IMPUTE, NO_DATA = "No_modelling_required", "Annual_disaggreg
 
 def year_grid(df: DataFrame, first: int, last: int, *, series: str = "series") -> DataFrame:
     """Every series and year, with the columns of ``df`` or nulls."""
-    years = F.explode(F.sequence(F.lit(first), F.lit(last))).cast("int").alias("year")
+    years = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year")
     return df.select(series).distinct().select(series, years).join(df, [series, "year"], "left")
 
 
@@ -42,7 +42,7 @@ def zero_before_first(reports: DataFrame, first: DataFrame, first_year: int) ->
     """Drops reports of years before the first transmission and adds one annual zero
     for each such year from ``first_year`` on."""
     kept = reports.join(F.broadcast(first), "series", "left").where(F.col("first_year").isNull() | (F.col("year") >= F.col("first_year"))).drop("first_year")
-    years = F.explode(F.when(F.col("first_year") > first_year, F.sequence(F.lit(first_year), F.col("first_year") - 1))).cast("int")
+    years = F.explode(F.when(F.col("first_year") > first_year, F.sequence(F.lit(first_year), F.col("first_year") - 1)))
     zeros = first.select("series", years.alias("year"))
     zeros = zeros.withColumns({"value": F.lit(0).cast(reports.schema["value"].dataType), "t_res": F.lit("Year"), "cat": F.lit("first_year")})
     return kept.unionByName(zeros, allowMissingColumns=True)
