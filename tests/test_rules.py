@@ -13,7 +13,7 @@ from countloom.plans import queries_jobs
 
 
 def rows(df, *columns):
-    return sorted(map(tuple, df.select(*columns).collect()), key=repr)
+    return sorted(map(tuple, df.select(*columns).collect()), key=lambda row: list(map(str, row)))
 
 
 def test_epiweeks_by_counting(spark):
