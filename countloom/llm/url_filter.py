@@ -117,3 +117,20 @@ def filter_urls(
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_COUNT = "CAST(len([t FOR t IN {terms} IF regexp_matches(low, '(^|[^0-9a-z])' || t || '($|[^0-9a-z])')]) AS INTEGER)"
+
+OP7_SQL = f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, translate(coalesce(url, ''), {_LETTERS}) AS low, instr(coalesce(url, ''), '://') AS mark FROM pages),
+s AS (SELECT *, CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END AS rest FROM u),
+h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM s),
+x AS (SELECT page_id, low, translate(raw_host, {_LETTERS}) AS host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path FROM h),
+r AS (SELECT * FROM (VALUES {", ".join(f"('{rule}', '{verdict}')" for rule, verdict in RULES)}) r(rule, verdict)),
+m AS (
+  SELECT page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS ruled
+  FROM x JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))) GROUP BY page_id
+), c AS (SELECT x.*, {_COUNT.format(terms=list(STRICT))} AS n_strict, {_COUNT.format(terms=list(SOFT))} AS n_soft FROM x)
+SELECT c.page_id, host, path, rule, coalesce(ruled, CASE WHEN n_strict > 0 OR n_soft > 1 THEN 'block' ELSE 'allow' END) AS verdict, n_strict, n_soft FROM c LEFT JOIN m ON m.page_id = c.page_id
+"""

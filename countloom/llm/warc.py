@@ -283,3 +283,17 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive(table(spark, sf_dir, "pages")).select(
         "page_id", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
     )
+
+
+#: SHA-1 in base32 from its hexadecimal digits: five bits of two neighbouring digits a letter.
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+h AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha1(payload) || '0' AS hex FROM p),
+d AS (
+  SELECT page_id, payload_bytes, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+    ((instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) * 16 + instr('0123456789abcdef', substr(hex, CAST(5 * i // 4 + 2 AS BIGINT), 1)) - 1)
+    // CAST(2 ** (3 - (5 * i) % 4) AS BIGINT)) % 32 AS BIGINT), 1) FOR i IN range(32)], 'string_agg', '') AS payload_digest FROM h
+), w AS (SELECT payload_digest, payload_bytes, max(page_id) AS best FROM d GROUP BY ALL)
+SELECT page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM d JOIN w ON d.payload_digest = w.payload_digest AND d.payload_bytes = w.payload_bytes
+"""
