@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from countloom.llm.common import bounded_batches, map_batches, table, texts_of
 
 #: Words of a seed, and the alignment score (share of a perfect one) that convicts.
-SEED_WORDS, LEAST_SCORE = 3, 0.6
+SEED_WORDS, LEAST_SCORE = 3, 0.5
 #: Costs of the alignment: a match gains 1.
 MISMATCH, GAP = 0.5, 0.5
-#: Share of an item's seeds, the rarest in the corpus, that start alignments.
-RARE_SHARE = 0.75
+#: Share of an item's seeds, the rarest in the corpus, that start alignments; and the
+#: number of documents up to which any seed is rare.
+RARE_SHARE, RARE_DOCS = 0.75, 20
 #: Words of benchmark text that one pass over the documents looks for.
 BLOCK_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
@@ -74,12 +75,13 @@ class Items:
         return places[hit], at[hit]
 
     def keep_rare(self, document_counts: np.ndarray, share: float) -> None:
-        """Marks each item's rarest seeds: those up to its ``share`` quantile."""
+        """Marks each item's rarest seeds: those up to its ``share`` quantile, and all
+        that few documents hold."""
         counts = np.repeat(document_counts, np.diff(self.first))
         for item in range(len(self.ids)):
             own = np.flatnonzero(self.owner == item) if len(self.ids) < 50 else self._own(item)
             if len(own):
-                self.rare[own] = counts[own] <= np.quantile(counts[own], share, method="higher")
+                self.rare[own] = counts[own] <= max(RARE_DOCS, np.quantile(counts[own], share, method="higher"))
 
     def _own(self, item: int) -> np.ndarray:
         if not hasattr(self, "_order"):
@@ -132,7 +134,7 @@ def matches_in(items: Items, numbers: np.ndarray, least: float) -> Iterator[tupl
     while k < len(owner):
         item = owner[k]
         words = items.words[item]
-        slack = max(4, len(words) // 4)
+        slack = int((1 - least) * len(words) / GAP) + 1  # more words can't be skipped at that score
         lo, hi = start[k] - slack, start[k] + len(words) + slack
         best = (0.0, 0, 0)
         while True:  # windows of one item that overlap are one
@@ -202,8 +204,8 @@ def find_copies(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     score (alignment score over the item's length), first_word, end_word.
 
     A pass over all documents counts how many hold each 3-word seed of the
-    benchmark; the rarest three quarters of each item's seeds then start
-    Smith-Waterman alignments of the whole item with the words around the seed.
+    benchmark; the rarest three quarters of each item's seeds, and all that at most
+    ``RARE_DOCS`` documents hold, then start Smith-Waterman alignments of the whole item with the words around the seed.
     Windows that hold too few of the item's words for the score are skipped before the
     alignment, which loses none. Nothing of the documents is shuffled.
 
