@@ -12,6 +12,8 @@ from countloom.llm.common import ascii_lower, saved, table, texts_of
 
 #: Filters are cut by digest, so that one holds about this many keys at most.
 KEYS_PER_FILTER, LEAST_FILTERS = 200_000, 256
+#: Keys of a filter that may be sent to every executor.
+MOST_SENT_KEYS = 4_000_000
 
 
 def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,7 +35,7 @@ def build_filters(groups: DataFrame, shards: int) -> DataFrame:
     """shard, n, seed, cells: a filter over the keys of each digest range of an
     immutable snapshot."""
 
-    def build(shard, pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         keys = np.unique(pdf["key"].to_numpy().astype(np.uint64))
         seed, cells = fuse.build(keys)
         return pd.DataFrame({"shard": [shard[0]], "n": [len(keys)], "seed": [seed], "cells": [cells]})
@@ -58,12 +60,37 @@ def _shard(shards: int):
     return F.pmod(F.col("key"), F.lit(shards)).alias("shard")
 
 
+def rows_with(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose doc_id is in ``wanted`` (column wanted_id), and a few
+    others. Up to ``MOST_SENT_KEYS`` ids their filter, some five MB at most, is sent to all
+    executors, so that only these texts are shuffled later; beyond that all rows
+    are returned, and the join that follows does the whole work."""
+    keys = saved(wanted.select(F.xxhash64("wanted_id").alias("key")).distinct(), "wanted")
+    if keys.count() > MOST_SENT_KEYS:
+        return texts
+    sent = texts.sparkSession.sparkContext.broadcast({r["shard"]: (r["n"], r["seed"], r["cells"]) for r in build_filters(keys, LEAST_FILTERS).collect()})
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        own = key.to_numpy()
+        out = np.zeros(len(own), bool)
+        shards = own % LEAST_FILTERS
+        for shard in np.unique(shards).tolist():
+            if shard in sent.value:
+                here = shards == shard
+                out[here] = fuse.contains(own[here].astype(np.uint64), *sent.value[shard])
+        return pd.Series(out)
+
+    return texts.where(maybe(F.xxhash64("doc_id")))
+
+
 def same_bytes(buckets: DataFrame, texts: DataFrame) -> DataFrame:
     """Shas of the buckets whose two sides hold the same bytes. ``buckets``: sha and
     the ids of one row of either side; their texts are fetched and compared. Two
     texts of one SHA-256 that differ end the job."""
     wanted = buckets.select("sha", F.explode(F.array("old_id", "new_id")).alias("wanted_id")).distinct()
     norm = ascii_lower(F.col("text"))
+    texts = rows_with(texts, wanted)
     found = wanted.join(texts, wanted["wanted_id"].eqNullSafe(texts["doc_id"])).where(F.unhex(F.sha2(norm.cast("binary"), 256)) == F.col("sha"))
     checked = found.groupBy("sha").agg(F.min(norm).alias("least"), F.max(norm).alias("most"))
     return checked.where(F.when(F.col("least") == F.col("most"), True).otherwise(F.raise_error(F.lit("two texts share a SHA-256"))).cast("boolean")).select("sha")
@@ -85,7 +112,7 @@ def exact_groups(rows: DataFrame, texts: DataFrame, in_snapshot) -> DataFrame:
     hits = saved(bucket.join(same_bytes(bucket, texts), "sha", "left_semi").select("sha", "new_n", "new_best"), "hits")
     joined = old.join(hits, "sha", "left").select("sha", (F.col("n") + F.coalesce("new_n", F.lit(0))).alias("n"), F.greatest("best", "new_best").alias("best"))
     fresh = new.join(hits, "sha", "left_anti").select("sha", "n", "best")
-    return joined.unionByName(fresh)
+    return saved(joined.unionByName(fresh), "groups")  # so that a frequent sha's rows can be split in the join with it
 
 
 def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", snapshot_share: int = 2) -> DataFrame:
