@@ -8,6 +8,7 @@ from countloom.operators import calibrate, rollup, select
 from countloom.plans.queries_time import COVERAGE, LEVELS
 from countloom.plans.registry import query
 from countloom.sources import views
+from countloom.sources.shared import saved
 from countloom.sources.views import EXTERNAL, REPORTS, YEARLY, sql_weeks
 
 #: One nation plays the part of a series whose sub-annual reports always win.
@@ -97,7 +98,8 @@ _EXTRACT = f"""{BEST}, extracted AS (SELECT r.series, r.start_date, r.end_date,
 
 @query(f"WITH {_EXTRACT} SELECT *, false AS scaled_to_annual FROM extracted")
 def f_extract(spark, sf_dir):
-    return select.extract(views.reports(spark, sf_dir), _best(spark, sf_dir), nation_sum=rollup.units_to_nation)
+    reports = saved(views.reports(spark, sf_dir), "reports")
+    return select.extract(reports, select.best_records(rollup.level_counts(reports), special=_SPECIAL), nation_sum=rollup.units_to_nation)
 
 
 _FALLBACK = """fallback AS (SELECT series, year, t_res, level, n FROM (
@@ -120,8 +122,9 @@ SCALED = f"""{BEST}, {_FALLBACK}, goal AS (SELECT series, year, final_sum AS tar
 
 
 def _scaled(spark, sf_dir):
-    reports = views.reports(spark, sf_dir)
+    reports = saved(views.reports(spark, sf_dir), "reports")  # feeds the counts and the scaling
     levels = rollup.level_counts(reports)
+    levels = saved(levels, "levels")
     cases, _ = select.scaling_cases(select.best_records(levels, special=_SPECIAL))
     source = select.sub_annual_fallback(levels).select("series", "year", "t_res", "level")
     own = reports.withColumn("level", F.regexp_replace("s_res", "Admin", "a")).join(source, ["series", "year", "t_res", "level"], "left_semi")
@@ -145,7 +148,7 @@ def f_scaling_audit(spark, sf_dir):
   SELECT series, year, region, 'Case 2: Sub-annual only' AS category FROM cs JOIN regions USING (series) WHERE region <> 'ASIA'
   AND series NOT IN (SELECT series FROM reports WHERE source LIKE 'Z%') AND (series, year) NOT IN (SELECT (series, year) FROM reports WHERE t_res = 'Month' AND value > 3000)""")
 def f_to_verify(spark, sf_dir):
-    reports = views.reports(spark, sf_dir)
+    reports = saved(views.reports(spark, sf_dir), "reports")
     levels = rollup.level_counts(reports).where("not (t_res = 'Year' and year % 2 = 0)")
     covered = reports.where("t_res = 'Month' and value > 3000").select("series", "year").distinct()
     return select.to_verify(select.best_records(levels, special=_SPECIAL), _regions(spark, sf_dir), skip_regions=("ASIA",), sources=reports, source_like="Z%", covered=covered)

@@ -8,6 +8,7 @@ from countloom.functions import calendar as cal
 from countloom.operators import dedup, rollup
 from countloom.plans.registry import query
 from countloom.sources import views
+from countloom.sources.shared import saved
 from countloom.sources.views import DAILY, REPORTS, WEEKLY, WEEKLY_SOURCES, sql_epi_start, sql_epi_week, sql_epi_year, sql_week_start, sql_weeks
 
 _MONTH_OF_WEEK = "CAST(CASE WHEN year({e}) <> year({s}) AND year({e}) = {y} THEN 1 ELSE month({s}) END AS INTEGER)"
@@ -205,7 +206,8 @@ SPAN_LOSERS = f"""dups AS (SELECT * FROM weekly_sources QUALIFY count(*) OVER ({
 @query(f"""WITH {WEEKLY_SOURCES}, {SPAN_LOSERS} SELECT {_W} FROM weekly_sources w WHERE NOT EXISTS (SELECT 1 FROM losers l WHERE l.series = w.series AND l.year = w.year
   AND l.source = w.source AND l.t_res = w.t_res AND w.start_date >= l.a AND w.end_date <= l.b)""")
 def e_drop_losing_spans(spark, sf_dir):
-    return dedup.drop_losing_spans(views.weekly_sources(spark, sf_dir), "Week")
+    own = saved(views.weekly_sources(spark, sf_dir), "weekly")  # read for the losers and for the rows
+    return dedup.drop_losing_spans(own, "Week")
 
 
 @query(f"""WITH {WEEKLY_SOURCES} SELECT {_W} FROM weekly_sources
