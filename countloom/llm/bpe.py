@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from countloom.llm.common import map_batches, table, texts_of
-from countloom.llm.pieces import cut
+from countloom.llm.pieces import cut, in_groups
 
 #: Parts whose ids a worker remembers, and the longest part that it remembers.
 MEMO_PARTS, MEMO_CHARS = 300_000, 48
@@ -243,8 +243,11 @@ class Vocabulary:
         return {part: blob[a:b] for part, a, b in zip(joint + rest, [0, *part_ends], part_ends)}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers. Parts that
-        repeat are remembered, up to a bound; the others only for this batch."""
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        return [b"".join(own) for own in in_groups(texts, self._encode_group)]
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
+        """Parts that repeat are remembered, up to a bound; the others only for this call."""
         rows = [cut(text) for text in texts]
         memo = self._memo
         seen = Counter(part for row in rows for part in row if part not in memo)

@@ -9,6 +9,10 @@ the parts are the tokens of the whole.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from typing import TypeVar
+
+T = TypeVar("T")
 
 #: White space before a space: there the simple cut at each space isn't safe.
 _RUN = re.compile(r"\s ")
@@ -27,6 +31,37 @@ def cut(text: str) -> list[str]:
     return [first, *map(" ".__add__, rest)]
 
 
+def slices(text: str, most: int = 1 << 20) -> list[str]:
+    """``text`` cut at safe places into slices of about ``most`` characters, so that a
+    very long text is never held as parts all at once. Most texts are one slice."""
+    out, at = [], 0
+    while len(text) - at > most and (place := _SAFE.search(text, at + most)):
+        out.append(text[at : place.start()])
+        at = place.start()
+    return [*out, text[at:]]
+
+
+def in_groups(texts: list[str], work: Callable[[list[str]], list[T]], most: int = 8 << 20) -> list[list[T]]:
+    """``work`` on the slices of all texts, in groups of about ``most`` characters; for
+    each text the results of its slices, in order."""
+    out: list[list[T]] = [[] for _ in texts]
+    group: list[str] = []
+    owners: list[int] = []
+    held = 0
+    for k, text in enumerate(texts):
+        for part in slices(text):
+            group.append(part)
+            owners.append(k)
+            held += len(part)
+            if held >= most:
+                for owner, result in zip(owners, work(group)):
+                    out[owner].append(result)
+                group, owners, held = [], [], 0
+    for owner, result in zip(owners, work(group)):
+        out[owner].append(result)
+    return out
+
+
 def packed(parts: list[str], most_bytes: int) -> list[list[str]]:
     """Groups of parts with about as many bytes each, ``most_bytes`` at most unless
     a single part is larger: the longest first, so that no group is far from full."""

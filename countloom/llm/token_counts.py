@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from countloom.llm.common import map_batches, table, texts_of
-from countloom.llm.pieces import cut, packed
+from countloom.llm.pieces import cut, in_groups, packed
 
 #: Bytes of text handed to the library in one call.
 CALL_BYTES = 256 << 10
@@ -89,7 +89,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id",
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        counts = np.array(_count_batch(texts, tokenizer_path), np.int64)
+        counts = np.array([sum(own) for own in in_groups(texts, lambda group: _count_batch(group, tokenizer_path))], np.int64)
         sizes = [len(text.encode("utf-8", "surrogatepass")) for text in texts]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts), pa.array(counts > limit)],

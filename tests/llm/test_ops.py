@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from countloom.llm import bpe, decontaminate, exact_dedup, fuse, quality, reshard, simhash, surrogates, token_counts, url_filter, warc
+from countloom.llm import bpe, decontaminate, exact_dedup, fuse, pieces, quality, reshard, simhash, surrogates, token_counts, url_filter, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, extra string, n long, sha string"
@@ -86,6 +86,17 @@ def test_cuts_are_safe(library):
     assert 0 < vocabulary.exact_words < vocabulary.all_words
 
 
+def test_very_long_texts_come_in_slices(library, monkeypatch):
+    rng = random.Random(6)
+    text = "".join(rng.choice([" ", "\n", "  ", "a", "the", "é!", "<|endoftext|>", " x"]) for _ in range(4000))
+    own = pieces.slices(text, 50)
+    assert "".join(own) == text and len(own) > 50
+    ids = [t for part in own for t in library.encode(part, add_special_tokens=False).ids]
+    assert ids == library.encode(text, add_special_tokens=False).ids
+    assert pieces.in_groups(["ab", "", text], lambda group: [len(x) for x in group], most=3) == [[2], [0], [len(text)]]
+    assert pieces.slices("x" * 200, 50) == ["x" * 200]
+
+
 def test_lockstep_merging_is_the_same_as_by_heap():
     vocabulary = bpe.Vocabulary(PATH, public_tokenizers.PATTERN)
     rng = random.Random(3)
