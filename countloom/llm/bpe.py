@@ -17,7 +17,7 @@ from countloom.llm.common import map_batches, table, texts_of
 from countloom.llm.pieces import cut, in_groups
 
 #: Parts whose ids a worker remembers, and the longest part that it remembers.
-MEMO_PARTS, MEMO_CHARS = 300_000, 48
+MEMO_PARTS, MEMO_CHARS = 200_000, 48
 #: Pairs whose test a worker remembers; longest word that is merged in lockstep.
 KNOWN_PAIRS, LOCKSTEP_BYTES = 2_000_000, 40
 NO_RANK = 1 << 40

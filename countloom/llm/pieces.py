@@ -41,7 +41,7 @@ def slices(text: str, most: int = 1 << 20) -> list[str]:
     return [*out, text[at:]]
 
 
-def in_groups(texts: list[str], work: Callable[[list[str]], list[T]], most: int = 8 << 20) -> list[list[T]]:
+def in_groups(texts: list[str], work: Callable[[list[str]], list[T]], most: int = 2 << 20) -> list[list[T]]:
     """``work`` on the slices of all texts, in groups of about ``most`` characters; for
     each text the results of its slices, in order."""
     out: list[list[T]] = [[] for _ in texts]
