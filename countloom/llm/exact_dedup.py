@@ -7,13 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm import fuse
+from countloom.llm import fuse, screen
 from countloom.llm.common import ascii_lower, saved, table, texts_of
 
-#: Filters are cut by digest, so that one holds about this many keys at most.
-KEYS_PER_FILTER, LEAST_FILTERS = 200_000, 256
-#: Keys of a filter that may be sent to every executor.
-MOST_SENT_KEYS = 4_000_000
+#: A snapshot's filters are cut by digest, so that one holds about this many keys at most.
+KEYS_PER_FILTER = 200_000
 
 
 def digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,20 +29,8 @@ def grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("sha").agg(F.first("key").alias("key"), F.count(F.lit(1)).alias("n"), F.max(F.struct("doc_id", "row")).alias("best"))
 
 
-def build_filters(groups: DataFrame, shards: int) -> DataFrame:
-    """shard, n, seed, cells: a filter over the keys of each digest range of an
-    immutable snapshot."""
-
-    def build(shard: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(pdf["key"].to_numpy().astype(np.uint64))
-        seed, cells = fuse.build(keys)
-        return pd.DataFrame({"shard": [shard[0]], "n": [len(keys)], "seed": [seed], "cells": [cells]})
-
-    return groups.select(_shard(shards), "key").groupBy("shard").applyInPandas(build, "shard long, n long, seed long, cells binary")
-
-
-def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """Adds ``maybe``: could the snapshot hold the digest? Never wrong where false."""
+def screened(groups: DataFrame, filters: DataFrame, parts: int) -> DataFrame:
+    """sha, maybe: could the snapshot hold the digest? Never wrong where false."""
 
     def test(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         maybe = np.zeros(len(left), bool)
@@ -52,36 +38,16 @@ def screen(groups: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
             maybe |= fuse.contains(left["key"].to_numpy().astype(np.uint64), n, seed, cells)
         return pd.DataFrame({"sha": left["sha"], "maybe": maybe})
 
-    own = groups.select(_shard(shards), "sha", "key")
-    return own.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(test, "sha binary, maybe boolean")
-
-
-def _shard(shards: int):
-    return F.pmod(F.col("key"), F.lit(shards)).alias("shard")
+    own = groups.select(screen.part_of("key", parts), "sha", "key")
+    return own.groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(test, "sha binary, maybe boolean")
 
 
 def rows_with(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``texts`` whose doc_id is in ``wanted`` (column wanted_id), and a few
-    others. Up to ``MOST_SENT_KEYS`` ids their filter, some five MB at most, is sent to all
-    executors, so that only these texts are shuffled later; beyond that all rows
-    are returned, and the join that follows does the whole work."""
-    keys = saved(wanted.select(F.xxhash64("wanted_id").alias("key")).distinct(), "wanted")
-    if keys.count() > MOST_SENT_KEYS:
-        return texts
-    sent = texts.sparkSession.sparkContext.broadcast({r["shard"]: (r["n"], r["seed"], r["cells"]) for r in build_filters(keys, LEAST_FILTERS).collect()})
-
-    @F.pandas_udf("boolean")
-    def maybe(key: pd.Series) -> pd.Series:
-        own = key.to_numpy()
-        out = np.zeros(len(own), bool)
-        shards = own % LEAST_FILTERS
-        for shard in np.unique(shards).tolist():
-            if shard in sent.value:
-                here = shards == shard
-                out[here] = fuse.contains(own[here].astype(np.uint64), *sent.value[shard])
-        return pd.Series(out)
-
-    return texts.where(maybe(F.xxhash64("doc_id")))
+    others, so that only these texts are shuffled later; all rows if there are too many
+    ids for a screen."""
+    maybe = screen.screen_of(wanted.select(F.xxhash64("wanted_id").alias("key")))
+    return texts if maybe is None else texts.where(maybe(F.xxhash64("doc_id")))
 
 
 def same_bytes(buckets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -105,8 +71,8 @@ def exact_groups(rows: DataFrame, texts: DataFrame, in_snapshot) -> DataFrame:
     snapshot's buckets and have their bytes checked; all others are new.
     """
     old, new = saved(grouped(rows.where(in_snapshot)), "snapshot"), saved(grouped(rows.where(~in_snapshot)), "batch")
-    shards = max(LEAST_FILTERS, -(-old.count() // KEYS_PER_FILTER))
-    positives = screen(new, build_filters(old, shards), shards).where("maybe").select("sha")
+    parts = max(screen.PARTS, -(-old.count() // KEYS_PER_FILTER))
+    positives = screened(new, screen.build_filters(old, parts), parts).where("maybe").select("sha")
     bucket = new.join(positives, "sha").select("sha", F.col("n").alias("new_n"), F.col("best").alias("new_best")).join(old, "sha")
     bucket = saved(bucket.select("sha", "n", "best", "new_n", "new_best", F.col("best.doc_id").alias("old_id"), F.col("new_best.doc_id").alias("new_id")), "buckets")
     hits = saved(bucket.join(same_bytes(bucket, texts), "sha", "left_semi").select("sha", "new_n", "new_best"), "hits")
@@ -138,13 +104,16 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with all their columns."""
-    kept = saved(exact_dedup(df, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha")), "kept")
-    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
-    own = df.withColumn("_own_sha", sha)
-    own = own.join(kept, own[id_col].cast("long").eqNullSafe(kept["_id"]) & (own["_own_sha"] == kept["_sha"]), "left_semi")
+    found = exact_dedup(df, id_col=id_col, text_col=text_col)
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_sha"))
+    gone = saved(gone.distinct(), "gone")
+    own_id = df[id_col].cast("long")
+    sha = F.unhex(F.sha2(ascii_lower(F.coalesce(df[text_col].cast("string"), F.lit(""))).cast("binary"), 256))
+    condition = own_id.eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"])
+    out = screen.without(df, gone, condition, F.xxhash64(own_id), F.xxhash64("_gone_id"))
     if not df.groupBy(id_col).count().where("count > 1").isEmpty():  # repeated rows: one of each
-        own = own.dropDuplicates([id_col, "_own_sha"])
-    return own.drop("_own_sha")
+        out = out.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return out
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import map_batches, saved, table, texts_of
 from countloom.llm.components import connected_components
+from countloom.llm.screen import without
 
 BITS, BYTES = 3, 8
 #: Fingerprints that differ in three bits at most share at least this many bytes.
@@ -164,7 +165,9 @@ def drop_near(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     gone = _components(prints).where(~_rank().eqNullSafe(F.col("best")))
     gone = saved(gone.select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")).distinct(), "gone")
     text_hash = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
-    out = df.join(gone, df[id_col].cast("long").eqNullSafe(gone["_near_id"]) & (text_hash == gone["_near_hash"]), "left_anti")
+    own_id = df[id_col].cast("long")
+    condition = own_id.eqNullSafe(gone["_near_id"]) & (text_hash == gone["_near_hash"])
+    out = without(df, gone, condition, F.xxhash64(own_id), F.xxhash64("_near_id"))
     if not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows: one of each
         out = out.dropDuplicates([id_col, text_col])
     return out
