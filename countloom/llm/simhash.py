@@ -92,22 +92,37 @@ def forest(values: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _split_by_fifth(own: DataFrame) -> DataFrame:
+    """Postings of large keys once for each other position, with its byte, and the
+    number of postings of the finer key."""
+    others = F.array(*(F.array(*(F.lit(p) for p in range(BYTES) if p not in q)) for q in QUADS))
+    fifth = F.expr("transform(_others[quad], p -> p * 256 + cast(shiftrightunsigned(fp, 8 * p) & 255 as int))")
+    own = own.withColumn("_others", others).withColumn("fifth", F.explode(F.when(F.col("n") > BLOCK, fifth).otherwise(F.array(F.lit(-1)))))
+    own = saved(own.drop("_others"), "postings")
+    finer = own.where("fifth >= 0").groupBy("quad", "part", "fifth").agg(F.count(F.lit(1)).alias("_m"))
+    return own.join(finer, ["quad", "part", "fifth"], "left").withColumn("n", F.coalesce("_m", "n")).where("n > 1").drop("_m")
+
+
 def links(unique: DataFrame) -> DataFrame:
     """a, b: edges between distinct fingerprints (column fp) whose components are
     those of all pairs with at most three differing bits.
 
     An index key is four positions with their bytes; linked pairs share one of the
-    14 keys. Keys with one posting are dropped before anything is gathered. Keys with
-    many are dealt into blocks, and every pair of blocks is its own group, so no
-    posting is left out and no group passes two blocks. A group returns a forest, not its pairs.
+    14 keys. Keys with one posting are dropped before anything is gathered. As linked
+    pairs share a fifth byte too, keys with many postings are split by one more position
+    and its byte. What is still large is dealt into blocks, and every pair of blocks is its own
+    group, so no posting is left out and no group passes two blocks. A group
+    returns a forest, not its pairs.
     """
     keys = F.explode(F.array(*(F.struct(F.lit(k).alias("quad"), F.col("fp").bitwiseAND(F.lit(_quad_mask(q))).alias("part")) for k, q in enumerate(QUADS)))).alias("k")
     postings = unique.select("fp", keys).select("fp", "k.quad", "k.part")
-    shared = postings.groupBy("quad", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = postings.join(shared, ["quad", "part"])
+    shared = saved(postings.groupBy("quad", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    own = postings.join(shared, ["quad", "part"]).withColumn("fifth", F.lit(-1))
+    if not shared.where(F.col("n") > BLOCK).isEmpty():
+        own = _split_by_fifth(own)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = own.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    groups = own.groupBy("quad", "part", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list("fp").alias("fps"))
+    groups = own.groupBy("quad", "part", "fifth", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list("fp").alias("fps"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         lists = batch.column(0)
