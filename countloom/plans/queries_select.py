@@ -276,19 +276,19 @@ def g_agreement(spark, sf_dir):
     return calibrate.agreement(_calibrated(spark, sf_dir), "annual_total", "calibrated").select("n", F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"))
 
 
-_SPARSE = "SELECT nation AS series, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, CAST(sum(value) AS BIGINT) AS value, CASE WHEN min(source) = 'F' THEN 'F' END AS source FROM daily WHERE (part % 7) = 0 AND month(day) % 4 <> 1 GROUP BY ALL"
+_SPARSE = """SELECT CAST(part AS VARCHAR) AS series, CAST(year(day) AS INTEGER) AS year, CAST(month(day) AS INTEGER) AS month, CAST(sum(value) AS BIGINT) AS value,
+  CASE WHEN min(source) = 'F' THEN 'F' END AS source FROM daily GROUP BY part, year(day), month(day)"""
 
 
-@query(f"""WITH {views.DAILY}, m AS ({_SPARSE}), own AS (SELECT m.* FROM m JOIN nation ON n_name = series WHERE n_nationkey < 9),
+@query(f"""WITH {views.DAILY}, m AS ({_SPARSE}), own AS (SELECT m.* FROM m JOIN part ON CAST(p_partkey AS VARCHAR) = series WHERE p_size < 9),
   g AS (SELECT DISTINCT series, year FROM own), grid AS (SELECT series, year, unnest(range(1, 13)) AS month FROM g), j AS (SELECT grid.series, grid.year, CAST(grid.month AS INTEGER) AS month, own.value, own.source
     FROM grid LEFT JOIN own ON own.series = grid.series AND own.year = grid.year AND own.month = grid.month)
   SELECT series, year, month, coalesce(value, 0) AS value, coalesce(last_value(source IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     first_value(source IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS source FROM j WINDOW w AS (PARTITION BY series, year ORDER BY month)""")
 def g_zero_months(spark, sf_dir):
-    own = views.daily(spark, sf_dir).where((F.col("part") % 7 == 0) & (F.month("day") % 4 != 1))
-    own = own.groupBy(F.col("nation").alias("series"), F.year("day").alias("year"), F.month("day").alias("month")).agg(F.sum("value").alias("value"), F.min("source").alias("source"))
-    own = own.withColumn("source", F.when(F.col("source") == "F", "F"))
-    listed = views.table(spark, sf_dir, "nation").where("n_nationkey < 9").select(F.col("n_name").alias("series"))
+    own = views.daily(spark, sf_dir).groupBy(F.col("part").cast("string").alias("series"), F.year("day").alias("year"), F.month("day").alias("month"))
+    own = own.agg(F.sum("value").alias("value"), F.min("source").alias("source")).withColumn("source", F.when(F.col("source") == "F", "F"))
+    listed = views.table(spark, sf_dir, "part").where("p_size < 9").select(F.col("p_partkey").cast("string").alias("series"))
     return calibrate.zero_complete_months(own, listed)
 
 

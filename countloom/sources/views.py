@@ -131,15 +131,15 @@ WEEKLY = f"""{DAILY}, weekly AS (
 
 
 def yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annual counts of nations, without those that the rule ``(key + year) % 4 = 0``
-    takes out: series, region, year, value."""
-    own = daily(spark, sf_dir).where(F.pmod(F.col("nation_key") + F.year("day"), F.lit(4)) != 0)
-    return own.groupBy(F.col("nation").alias("series"), "region", F.year("day").alias("year")).agg(F.sum("value").alias("value"))
+    """Annual counts of nations, null (not reported) in one of four years: series,
+    region, year, value."""
+    reported = F.pmod(F.col("nation_key") + F.year("day"), F.lit(4)) != 0
+    own = daily(spark, sf_dir)
+    return own.groupBy(F.col("nation").alias("series"), "region", F.year("day").alias("year")).agg(F.sum(F.when(reported, F.col("value"))).alias("value"))
 
 
 YEARLY = f"""{DAILY}, yearly AS (
-  SELECT nation AS series, region, CAST(year(day) AS INTEGER) AS year, CAST(sum(value) AS BIGINT) AS value FROM daily
-  WHERE (nation_key + year(day)) % 4 <> 0 GROUP BY ALL)"""
+  SELECT nation AS series, region, CAST(year(day) AS INTEGER) AS year, CAST(sum(CASE WHEN (nation_key + year(day)) % 4 <> 0 THEN value END) AS BIGINT) AS value FROM daily GROUP BY ALL)"""
 
 
 def external(spark: SparkSession, sf_dir: str) -> DataFrame:
