@@ -64,7 +64,7 @@ def add_region(df: DataFrame, regions: DataFrame, *, series: str = "series", nam
 
 
 def scheme(codes: DataFrame) -> DataFrame:
-    """iso, od_region: codes (iso, un_region, un_subregion) by the first rule that
+    """iso, scheme_region: codes (iso, un_region, un_subregion) by the first rule that
     fits: own lists of codes, then the UN subregion, then the UN region."""
     rule = F.when(F.col("iso").isNull(), F.lit("Other"))
     for label, own in SCHEME_CODES:
@@ -73,7 +73,7 @@ def scheme(codes: DataFrame) -> DataFrame:
         rule = rule.when(F.col("un_subregion").isin([x.strip() for x in own.split(";")]), label)
     for label, own in SCHEME_REGIONS:
         rule = rule.when(F.col("un_region") == own, label)
-    return codes.select("iso", rule.otherwise("Other").alias("od_region")).distinct()
+    return codes.select("iso", rule.otherwise("Other").alias("scheme_region")).distinct()
 
 
 def add_scheme(df: DataFrame, codes: DataFrame, *, iso: str = "iso") -> DataFrame:

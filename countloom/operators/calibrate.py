@@ -14,7 +14,7 @@ def year_grid(df: DataFrame, first: int, last: int, *, series: str = "series") -
     return df.select(series).distinct().select(series, years).join(df, [series, "year"], "left")
 
 
-def one_source(df: DataFrame, priority: tuple[str, ...] = ("ad_hoc_data", "OD")) -> DataFrame:
+def one_source(df: DataFrame, priority: tuple[str, ...] = ("ad_hoc_data", "main")) -> DataFrame:
     """One row a series and year: that of the first source in ``priority``; others follow by name."""
     rank = F.lit(len(priority))
     for k, name in reversed(list(enumerate(priority))):
@@ -49,10 +49,10 @@ def zero_before_first(reports: DataFrame, first: DataFrame, first_year: int) ->
 
 
 def assume_zero(grid: DataFrame, listed: DataFrame) -> DataFrame:
-    """Years without data of listed series count as zero, marked ``ees``."""
+    """Years without data of listed series count as zero, marked ``assumed_zero``."""
     own = grid.join(F.broadcast(listed.select("series").distinct().withColumn("_listed", F.lit(True))), "series", "left")
     fill = F.coalesce(F.col("_listed"), F.lit(False)) & F.col("annual_total").isNull()
-    return own.withColumns({"ees": fill, "annual_total": F.when(fill, 0).otherwise(F.col("annual_total")).cast("bigint"), "data_source": F.when(fill, "ees").otherwise(F.col("data_source"))}).drop("_listed")
+    return own.withColumns({"assumed_zero": fill, "annual_total": F.when(fill, 0).otherwise(F.col("annual_total")).cast("bigint"), "data_source": F.when(fill, "assumed_zero").otherwise(F.col("data_source"))}).drop("_listed")
 
 
 def calibrate(grid: DataFrame, external: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def select_and_scale(reports: DataFrame, *, special: tuple[str, ...] = select.SP
 def annual_totals(records: DataFrame, external: DataFrame, first_year: int, last_year: int, *, k: int = 10) -> DataFrame:
     """Job 2: selected records and external estimates in; one total for every series and
     year out: series, year, annual_total, data_source."""
-    totals = records.groupBy("series", "year").agg(F.sum("scaled").alias("annual_total")).withColumns({"data_source": F.lit("OD"), "cat_model": F.lit(calibrate.NONE)})
+    totals = records.groupBy("series", "year").agg(F.sum("scaled").alias("annual_total")).withColumns({"data_source": F.lit("main"), "cat_model": F.lit(calibrate.NONE)})
     grid = calibrate.year_grid(totals, first_year, last_year)
     own = calibrate.calibrate(grid, external).select("series", "year", F.col("annual_total2").alias("annual_total"), "data_source")
     filled = calibrate.impute_nearest(calibrate.drop_zero_series(own), k=k)

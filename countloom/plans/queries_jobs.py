@@ -32,7 +32,7 @@ def w1_select_and_scale(spark, sf_dir):
 @query(f"""WITH {_W1}, {EXTERNAL}, tot AS (SELECT series, year, CAST(sum(CASE WHEN (year + length(series)) % 3 <> 0 THEN scaled END) AS BIGINT) AS t FROM w1 GROUP BY ALL),
   grid AS (SELECT s.series, CAST(y.year AS INTEGER) AS year, t FROM (SELECT DISTINCT series FROM tot) s CROSS JOIN (SELECT unnest(range(1993, 2003)) AS year) y LEFT JOIN tot ON tot.series = s.series AND tot.year = y.year),
   cal AS (SELECT g.series, g.year, t, CAST(trunc(estimate * (avg(t) OVER w / avg(estimate) OVER w)) AS BIGINT) AS c FROM grid g LEFT JOIN external e ON e.series = g.series AND e.year = g.year WINDOW w AS (PARTITION BY g.series)),
-  own AS (SELECT series, year, coalesce(t, c) AS v, CASE WHEN t IS NOT NULL THEN 'OD' WHEN c IS NOT NULL THEN 'calibrated' ELSE 'No_data' END AS src FROM cal),
+  own AS (SELECT series, year, coalesce(t, c) AS v, CASE WHEN t IS NOT NULL THEN 'main' WHEN c IS NOT NULL THEN 'calibrated' ELSE 'No_data' END AS src FROM cal),
   near AS (SELECT g.series, g.year, o.v FROM own g JOIN own o ON o.series = g.series AND o.v IS NOT NULL WHERE g.v IS NULL QUALIFY row_number() OVER (PARTITION BY g.series, g.year ORDER BY abs(o.year - g.year), o.year) <= 10),
   med AS (SELECT series, year, CAST(trunc(median(v)) AS BIGINT) AS m FROM near GROUP BY ALL)
   SELECT own.series, own.year, coalesce(v, m) AS annual_total, CASE WHEN v IS NULL AND m IS NOT NULL THEN 'Median_from_neighbors' ELSE src END AS data_source FROM own LEFT JOIN med ON med.series = own.series AND med.year = own.year""")

@@ -162,10 +162,10 @@ def _cover(spark, sf_dir):
     reports = views.reports(spark, sf_dir).where("s_res = 'Admin0'")
     totals = reports.groupBy("series", "year", "t_res").agg(F.sum("value").alias("annual_total"))
     own = rollup.coverage(reports).join(totals, ["series", "year", "t_res"])
-    return own.withColumn("cat", F.when(F.col("t_res") == "Week", "OD").when(F.col("t_res") == "Month", "ad_hoc_data").otherwise("first_year"))
+    return own.withColumn("cat", F.when(F.col("t_res") == "Week", "main").when(F.col("t_res") == "Month", "ad_hoc_data").otherwise("first_year"))
 
 
-_COVER = f"""{REPORTS}, {COVERAGE}, cov AS (SELECT c.*, c.n_record / c.expected AS prop, r.annual_total, CASE c.t_res WHEN 'Week' THEN 'OD' WHEN 'Month' THEN 'ad_hoc_data' ELSE 'first_year' END AS cat
+_COVER = f"""{REPORTS}, {COVERAGE}, cov AS (SELECT c.*, c.n_record / c.expected AS prop, r.annual_total, CASE c.t_res WHEN 'Week' THEN 'main' WHEN 'Month' THEN 'ad_hoc_data' ELSE 'first_year' END AS cat
   FROM cover c JOIN (SELECT series, year, t_res, CAST(sum(value) AS BIGINT) AS annual_total FROM reports WHERE s_res = 'Admin0' GROUP BY ALL) r USING (series, year, t_res))"""
 _GRID = f"{YEARLY}, grid AS (SELECT s.series, CAST(y.year AS INTEGER) AS year, v.region, v.value AS annual_total FROM (SELECT DISTINCT series FROM yearly) s, (SELECT unnest(range(1994, 2004)) AS year) y LEFT JOIN yearly v ON v.series = s.series AND v.year = y.year)"
 
@@ -179,7 +179,7 @@ def g_year_grid(spark, sf_dir):
     return _grid(spark, sf_dir)
 
 
-@query(f"""WITH {_COVER} SELECT series, year, t_res, cat, n_record FROM cov QUALIFY row_number() OVER (PARTITION BY series, year ORDER BY CASE cat WHEN 'ad_hoc_data' THEN 0 WHEN 'OD' THEN 1 ELSE 2 END) = 1""")
+@query(f"""WITH {_COVER} SELECT series, year, t_res, cat, n_record FROM cov QUALIFY row_number() OVER (PARTITION BY series, year ORDER BY CASE cat WHEN 'ad_hoc_data' THEN 0 WHEN 'main' THEN 1 ELSE 2 END) = 1""")
 def g_one_source(spark, sf_dir):
     return calibrate.one_source(_cover(spark, sf_dir)).select("series", "year", "t_res", "cat", "n_record")
 
@@ -198,10 +198,10 @@ def _first(spark, sf_dir):
     return nations.select(F.col("n_name").alias("series"), (1996 + F.col("n_nationkey") % 4).cast("int").alias("first_year"))
 
 
-@query(f"""WITH {YEARLY}, {_FIRST} SELECT y.series, y.region, y.year, y.value, 'Year' AS t_res, 'OD' AS cat FROM yearly y LEFT JOIN first f USING (series) WHERE f.first_year IS NULL OR y.year >= f.first_year
+@query(f"""WITH {YEARLY}, {_FIRST} SELECT y.series, y.region, y.year, y.value, 'Year' AS t_res, 'main' AS cat FROM yearly y LEFT JOIN first f USING (series) WHERE f.first_year IS NULL OR y.year >= f.first_year
   UNION ALL SELECT series, NULL, CAST(unnest(range(1994, first_year)) AS INTEGER), 0, 'Year', 'first_year' FROM first""")
 def g_zero_before_first(spark, sf_dir):
-    own = views.yearly(spark, sf_dir).withColumns({"t_res": F.lit("Year"), "cat": F.lit("OD")})
+    own = views.yearly(spark, sf_dir).withColumns({"t_res": F.lit("Year"), "cat": F.lit("main")})
     return calibrate.zero_before_first(own, _first(spark, sf_dir), 1994)
 
 
@@ -210,11 +210,11 @@ def g_before_first(spark, sf_dir):
     return calibrate.before_first_year(views.yearly(spark, sf_dir), _first(spark, sf_dir))
 
 
-@query(f"""WITH {_GRID}, f AS (SELECT g.*, g.annual_total IS NULL AND n.n_nationkey % 3 = 0 AS ees FROM grid g JOIN nation n ON n.n_name = g.series)
-  SELECT series, year, region, CASE WHEN ees THEN 0 ELSE annual_total END AS annual_total, CASE WHEN ees THEN 'ees' ELSE 'OD' END AS data_source, ees FROM f""")
+@query(f"""WITH {_GRID}, f AS (SELECT g.*, g.annual_total IS NULL AND n.n_nationkey % 3 = 0 AS assumed_zero FROM grid g JOIN nation n ON n.n_name = g.series)
+  SELECT series, year, region, CASE WHEN assumed_zero THEN 0 ELSE annual_total END AS annual_total, CASE WHEN assumed_zero THEN 'assumed_zero' ELSE 'main' END AS data_source, assumed_zero FROM f""")
 def g_assume_zero(spark, sf_dir):
     listed = views.table(spark, sf_dir, "nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("series"))
-    return calibrate.assume_zero(_grid(spark, sf_dir).withColumn("data_source", F.lit("OD")), listed)
+    return calibrate.assume_zero(_grid(spark, sf_dir).withColumn("data_source", F.lit("main")), listed)
 
 
 _CAL = f"""{_GRID}, {EXTERNAL}, joined AS (SELECT g.*, e.estimate, avg(g.annual_total) OVER w / nullif(avg(e.estimate) OVER w, 0) AS scalar
@@ -223,12 +223,12 @@ _CAL = f"""{_GRID}, {EXTERNAL}, joined AS (SELECT g.*, e.estimate, avg(g.annual_
 
 
 def _calibrated(spark, sf_dir):
-    grid = _grid(spark, sf_dir).withColumns({"data_source": F.lit("OD"), "cat_model": F.lit("No_modelling_required")})
+    grid = _grid(spark, sf_dir).withColumns({"data_source": F.lit("main"), "cat_model": F.lit("No_modelling_required")})
     return calibrate.calibrate(grid, views.external(spark, sf_dir))
 
 
 @query(f"""WITH {_CAL} SELECT series, year, estimate, round(scalar, 6) AS scalar, calibrated, coalesce(annual_total, calibrated) AS annual_total2,
-  CASE WHEN annual_total IS NOT NULL THEN 'OD' WHEN calibrated IS NOT NULL THEN 'calibrated' ELSE 'No_data' END AS data_source,
+  CASE WHEN annual_total IS NOT NULL THEN 'main' WHEN calibrated IS NOT NULL THEN 'calibrated' ELSE 'No_data' END AS data_source,
   CASE WHEN annual_total IS NOT NULL THEN 'No_modelling_required' WHEN calibrated <> 0 THEN 'Annual_disaggregation' WHEN calibrated = 0 THEN 'No_modelling_required' ELSE 'No_data' END AS cat_model FROM calib""")
 def g_calibrate(spark, sf_dir):
     return _calibrated(spark, sf_dir).select("series", "year", "estimate", F.round("scalar", 6).alias("scalar"), "calibrated", "annual_total2", "data_source", "cat_model")
@@ -239,7 +239,7 @@ def g_calibrate(spark, sf_dir):
 def g_no_scalar(spark, sf_dir):
     dark = views.table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.col("n_name").alias("series"), F.lit(True).alias("dark"))
     grid = _grid(spark, sf_dir).join(dark, "series", "left").withColumn("annual_total", F.when(F.col("dark").isNull(), F.col("annual_total"))).drop("dark")
-    return calibrate.no_scalar(calibrate.calibrate(grid.withColumns({"data_source": F.lit("OD"), "cat_model": F.lit("x")}), views.external(spark, sf_dir)))
+    return calibrate.no_scalar(calibrate.calibrate(grid.withColumns({"data_source": F.lit("main"), "cat_model": F.lit("x")}), views.external(spark, sf_dir)))
 
 
 @query("""WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey < 18), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_nationkey > 5)
@@ -265,9 +265,9 @@ def g_impute_nearest(spark, sf_dir):
     return calibrate.impute_nearest(_grid(spark, sf_dir), k=3).select("series", "year", "annual_total", "imputed")
 
 
-@query(f"""WITH {YEARLY}, {EXTERNAL} SELECT series, year, value, 'Year' AS t_res, 'OD' AS cat FROM yearly UNION ALL SELECT series, year, estimate, 'Year', 'assumed' FROM external""")
+@query(f"""WITH {YEARLY}, {EXTERNAL} SELECT series, year, value, 'Year' AS t_res, 'main' AS cat FROM yearly UNION ALL SELECT series, year, estimate, 'Year', 'assumed' FROM external""")
 def g_append_assumed(spark, sf_dir):
-    own = views.yearly(spark, sf_dir).select("series", "year", "value", F.lit("Year").alias("t_res"), F.lit("OD").alias("cat"))
+    own = views.yearly(spark, sf_dir).select("series", "year", "value", F.lit("Year").alias("t_res"), F.lit("main").alias("cat"))
     return calibrate.append_assumed(own, views.external(spark, sf_dir).withColumnRenamed("estimate", "annual_total"))
 
 

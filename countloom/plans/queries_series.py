@@ -296,10 +296,10 @@ def i_imputation_counts(spark, sf_dir):
     return reconcile.imputation_counts(own.withColumns({"imputed_weekly": F.col("scaled") % 2 == 0, "imputed_monthly": ~F.col("locked"), "disaggregated_yearly": F.col("annual_total").isNotNull() & ~F.col("locked")}))
 
 
-@query(f"WITH {ESTIMATES} SELECT series, year, month, scaled, region AS od_region FROM estimates")
+@query(f"WITH {ESTIMATES} SELECT series, year, month, scaled, region AS scheme_region FROM estimates")
 def i_publish(spark, sf_dir):
     own = _estimates(spark, sf_dir)
-    places = own.select("series", F.col("region").alias("od_region")).distinct()
+    places = own.select("series", F.col("region").alias("scheme_region")).distinct()
     return reconcile.publish(own, ["series", "year", "month", "scaled"], places)
 
 
@@ -473,9 +473,9 @@ def a_clean_population(spark, sf_dir):
     return tables.clean_population(tables.relabel(own, "code", "y", "n"), code="code", year="y", number="n")
 
 
-@query(f"""WITH {REPORTS} SELECT upper(series) AS series, CASE WHEN unit IS NULL THEN upper(series) ELSE upper(series) || ', ' || unit END AS full_name, unit AS unit1, start_date, end_date, year, value, s_res, t_res, source, 'OD' AS cat FROM reports""")
+@query(f"""WITH {REPORTS} SELECT upper(series) AS series, CASE WHEN unit IS NULL THEN upper(series) ELSE upper(series) || ', ' || unit END AS full_name, unit AS unit1, start_date, end_date, year, value, s_res, t_res, source, 'main' AS cat FROM reports""")
 def b_to_report(spark, sf_dir):
-    own = harmonise.to_report(views.reports(spark, sf_dir), series="series", unit1="unit", start_date="start_date", end_date="end_date", year="year", value="value", s_res="s_res", t_res="t_res", source="source", cat=F.lit("OD"))
+    own = harmonise.to_report(views.reports(spark, sf_dir), series="series", unit1="unit", start_date="start_date", end_date="end_date", year="year", value="value", s_res="s_res", t_res="t_res", source="source", cat=F.lit("main"))
     return own.select("series", "full_name", "unit1", "start_date", "end_date", "year", "value", "s_res", "t_res", "source", "cat")
 
 
@@ -527,14 +527,14 @@ def b_keys_and_overwrite(spark, sf_dir):
     return own.select("series", "year", "region", key.alias("key"), name.alias("name_part"), year.alias("year_part"))
 
 
-@query("""SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'PAHO' WHEN 1 THEN 'SEARO' WHEN 2 THEN 'AFRO' END AS region, CASE s_nationkey % 4 WHEN 0 THEN 'Caribbean' WHEN 1 THEN 'South Asia' WHEN 2 THEN 'Sub-Saharan Africa' ELSE 'Other' END AS od_region,
+@query("""SELECT s_suppkey, CASE s_nationkey % 4 WHEN 0 THEN 'PAHO' WHEN 1 THEN 'SEARO' WHEN 2 THEN 'AFRO' END AS region, CASE s_nationkey % 4 WHEN 0 THEN 'Caribbean' WHEN 1 THEN 'South Asia' WHEN 2 THEN 'Sub-Saharan Africa' ELSE 'Other' END AS scheme_region,
   CASE WHEN lat < -15 THEN '<-15' WHEN lat < -5 THEN '[-15,-5)' WHEN lat < 5 THEN '[-5,5)' WHEN lat < 15 THEN '[5,15)' ELSE '>=15' END AS band FROM (SELECT *, s_nationkey * 5.0 - 40 AS lat FROM supplier)""")
 def b_regions(spark, sf_dir):
     pick = lambda *values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.col("s_nationkey") % 4 + 1).cast("int"))
     own = views.table(spark, sf_dir, "supplier").select("s_suppkey", pick("CUBA", "INDIA", "KENYA", "NOWHERE").alias("series"), pick("CUB", "IND", "KEN", "XXX").alias("iso"), (F.col("s_nationkey") * 5.0 - 40).alias("lat"))
     codes = spark.createDataFrame([("CUB", "Americas", "Caribbean"), ("IND", "Asia", "Southern Asia"), ("KEN", "Africa", "Eastern Africa"), ("XXX", None, None)], "iso string, un_region string, un_subregion string")
     own = schemes.add_scheme(schemes.add_region(own, schemes.who_regions(spark)), codes)
-    return own.select("s_suppkey", "region", "od_region", harmonise.latitude_band(F.col("lat")).alias("band"))
+    return own.select("s_suppkey", "region", "scheme_region", harmonise.latitude_band(F.col("lat")).alias("band"))
 
 
 @query(f"""WITH {YEARLY} SELECT series, year, value FROM yearly WHERE series <> 'NATION_2' UNION ALL SELECT p, year, 0 FROM yearly, (SELECT unnest(['A', 'B', 'C']) AS p) WHERE series = 'NATION_2'""")
