@@ -1,4 +1,4 @@
-"""Operator 6: benchmark passages in training documents, by rare n-gram seeds and
+"""Operator 6: benchmark passages in training documents, by rare seeds and
 Smith-Waterman alignment of words."""
 
 from __future__ import annotations
@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import bounded_batches, map_batches, table, texts_of
 
-#: Words of a seed, and the alignment score (share of a perfect one) that convicts.
-SEED_WORDS, LEAST_SCORE = 3, 0.5
+#: Words of the shortest item, and the alignment score (share of a perfect one) that convicts.
+LEAST_WORDS, LEAST_SCORE = 3, 0.5
 #: Costs of the alignment: a match gains 1.
 MISMATCH, GAP = 0.5, 0.5
-#: Share of an item's seeds, the rarest in the corpus, that start alignments; and the
-#: number of documents up to which any seed is rare.
-RARE_SHARE, RARE_DOCS = 0.75, 20
+#: Share of an item's words, the rarest in the corpus, that are its seeds.
+RARE_SHARE = 0.75
+#: Items times words of a text that are bounded at once.
+BLOCK_CELLS = 500_000
 #: Words of benchmark text that one pass over the documents looks for.
 BLOCK_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
@@ -38,11 +39,11 @@ class Items:
     ids: list[int]
     vocabulary: dict[str, int]
     words: list[np.ndarray]
-    codes: np.ndarray  # of the seeds, sorted, each once
-    first: np.ndarray  # of each seed's postings
+    points: np.ndarray  # that an alignment with the item must reach
+    first: np.ndarray  # of each word's postings
     owner: np.ndarray  # item of each posting
-    offset: np.ndarray  # place in the item of each posting
-    rare: np.ndarray  # may the posting start an alignment?
+    times: np.ndarray  # how often the word is among the item's rare seeds
+    least_hits: np.ndarray  # rare seeds of the item that any such alignment holds
 
     @classmethod
     def of(cls, rows: list[tuple[int, list[str]]]) -> Items:
@@ -50,56 +51,63 @@ class Items:
         for _, words in rows:
             for word in words:
                 vocabulary.setdefault(word, len(vocabulary) + 1)
-        numbers = [np.array([vocabulary[w] for w in words], np.int64) for _, words in rows]
-        codes = [seed_codes(x, len(vocabulary) + 1) for x in numbers]
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(rows)), [len(x) for x in codes])
-        offset = np.concatenate([np.arange(len(x)) for x in codes]) if codes else flat
-        order = np.argsort(flat, kind="stable")
-        own, first = np.unique(flat[order], return_index=True)
-        return cls([k for k, _ in rows], vocabulary, numbers, own, np.append(first, len(flat)), owner[order], offset[order], np.ones(len(flat), bool))
+        none = np.zeros(0, np.int64)
+        return cls([k for k, _ in rows], vocabulary, [np.array([vocabulary[w] for w in words], np.int64) for _, words in rows], none, none, none, none, none)
 
     def numbers(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         get = self.vocabulary.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
-    def seeds_in(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the text where a seed begins, and which seed."""
-        codes = seed_codes(numbers, len(self.vocabulary) + 1)
-        places = np.flatnonzero(codes >= 0)
-        if not len(places) or not len(self.codes):
-            return places[:0], places[:0]
-        at = np.minimum(np.searchsorted(self.codes, codes[places]), len(self.codes) - 1)
-        hit = self.codes[at] == codes[places]
-        return places[hit], at[hit]
-
-    def keep_rare(self, document_counts: np.ndarray, share: float) -> None:
-        """Marks each item's rarest seeds: those up to its ``share`` quantile, and all
-        that few documents hold."""
-        counts = np.repeat(document_counts, np.diff(self.first))
-        for item in range(len(self.ids)):
-            own = np.flatnonzero(self.owner == item) if len(self.ids) < 50 else self._own(item)
-            if len(own):
-                self.rare[own] = counts[own] <= max(RARE_DOCS, np.quantile(counts[own], share, method="higher"))
-
-    def _own(self, item: int) -> np.ndarray:
-        if not hasattr(self, "_order"):
-            self._order = np.argsort(self.owner, kind="stable")
-            self._starts = np.searchsorted(self.owner[self._order], np.arange(len(self.ids) + 1))
-        return self._order[self._starts[item] : self._starts[item + 1]]
-
-
-def seed_codes(numbers: np.ndarray, base: int) -> np.ndarray:
-    """One number for each run of ``SEED_WORDS`` words; -1 if one isn't known."""
-    n = len(numbers) - SEED_WORDS + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    code, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(SEED_WORDS):
-        part = numbers[k : k + n]
-        code, known = code * base + part, known & (part > 0)
-    return np.where(known, code, -1)
+    def seed(self, document_counts: np.ndarray, share: float, least: float) -> None:
+        """Makes each item's rarest words, ``share`` of them, its seeds.
+
+        An alignment that reaches the score leaves at most (length - points) of the
+        item's words unmatched, so it holds all seeds but so many; there are always
+        enough seeds for one to be left, however frequent they are."""
+        sizes = np.array([len(x) for x in self.words], np.int64)
+        self.points = np.maximum(least * sizes, LEAST_WORDS)
+        spare = sizes - np.ceil(self.points).astype(np.int64)
+        n_seeds = np.minimum(np.maximum(np.ceil(share * sizes).astype(np.int64), spare + 1), sizes)
+        self.least_hits = n_seeds - spare
+        seeds = [np.unique(x[np.argsort(document_counts[x], kind="stable")[:n]], return_counts=True) for x, n in zip(self.words, n_seeds)]
+        word, self.times = np.concatenate([x for x, _ in seeds]), np.concatenate([n for _, n in seeds])
+        self.owner = np.repeat(np.arange(len(seeds)), [len(x) for x, _ in seeds])
+        order = np.argsort(word, kind="stable")
+        self.owner, self.times = self.owner[order], self.times[order]
+        self.first = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 2))
+
+    def regions_in(self, numbers: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(item, stretches of the text) that no bound excludes; every alignment that
+        reaches the item's points lies within one of them.
+
+        The first bound is the number of seeds in the text. The second is the best sum
+        over a stretch, where a word of the item counts 1 and any other word costs at
+        least what a mismatch or a gap does."""
+        words, place, times = np.unique(numbers, return_inverse=True, return_counts=True)
+        sizes = self.first[words + 1] - self.first[words]
+        if not sizes.any():
+            return
+        posting = np.repeat(self.first[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        hits = np.bincount(self.owner[posting], np.minimum(self.times[posting], np.repeat(times, sizes)), len(self.ids))
+        near = np.flatnonzero(hits >= self.least_hits)
+        step = max(1, BLOCK_CELLS // len(numbers))
+        kind = np.float32 if len(numbers) < 1 << 20 else np.float64  # sums stay exact
+        for some in (near[k : k + step] for k in range(0, len(near), step)):
+            own = np.concatenate([self.words[k] for k in some])
+            row = np.repeat(np.arange(len(some)), [len(self.words[k]) for k in some])
+            at = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            hit = words[at] == own
+            gain = np.full((len(some), len(words)), -min(MISMATCH, GAP), kind)
+            gain[row[hit], at[hit]] = 1.0
+            sums = np.zeros((len(some), len(numbers) + 1), kind)
+            np.cumsum(np.take(gain, place, axis=1), axis=1, out=sums[:, 1:])
+            before = sums - np.minimum.accumulate(sums, axis=1)  # best sum that ends here
+            for k in np.flatnonzero(before.max(axis=1) >= self.points[some]):
+                after = np.maximum.accumulate(sums[k, ::-1])[::-1]
+                through = after[1:] - sums[k, :-1] + before[k, :-1] >= self.points[some[k]]
+                edges = np.flatnonzero(np.diff(through, prepend=False, append=False))
+                yield int(some[k]), list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -118,54 +126,28 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def matches_in(items: Items, numbers: np.ndarray, least: float) -> Iterator[tuple[int, float, int, int]]:
+def matches_in(items: Items, numbers: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, last word + 1) of each item found in the text."""
-    places, seeds = items.seeds_in(numbers)
-    if not len(places):
-        return
-    sizes = items.first[seeds + 1] - items.first[seeds]
-    posting = np.repeat(items.first[seeds] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    place = np.repeat(places, sizes)[items.rare[posting]]
-    posting = posting[items.rare[posting]]
-    owner, start = items.owner[posting], place - items.offset[posting]
-    order = np.lexsort((start, owner))
-    owner, start = owner[order], start[order]
-    k = 0
-    while k < len(owner):
-        item = owner[k]
-        words = items.words[item]
-        slack = int((1 - least) * len(words) / GAP) + 1  # more words can't be skipped at that score
-        lo, hi = start[k] - slack, start[k] + len(words) + slack
-        best = (0.0, 0, 0)
-        while True:  # windows of one item that overlap are one
-            k += 1
-            more = k < len(owner) and owner[k] == item
-            if more and start[k] - slack <= hi:
-                hi = start[k] + len(words) + slack
-                continue
-            a, b = max(lo, 0), min(hi, len(numbers))
-            window = numbers[a:b]
-            if np.isin(window, words).sum() >= least * len(words):  # else no alignment can reach it
-                score, end = align(words, window)
-                if score / len(words) > best[0]:
-                    back = align(words[::-1], window[:end][::-1])[1]
-                    best = (score / len(words), a + end - back, a + end)
-            if not more:
-                break
-            lo, hi = start[k] - slack, start[k] + len(words) + slack
-        if best[0] >= least:
-            yield int(item), *best
+    for item, regions in items.regions_in(numbers) if len(numbers) else ():
+        words, best = items.words[item], (0.0, 0, 0)
+        for a, b in regions:
+            score, end = align(words, numbers[a:b])
+            if score > best[0]:
+                back = align(words[::-1], numbers[a : a + end][::-1])[1]
+                best = (score, a + end - back, a + end)
+        if best[0] >= items.points[item]:
+            yield item, best[0] / len(words), *best[1:]
 
 
 def benchmark_blocks(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Items]:
     """The benchmark, the stated query set, in blocks of bounded size.
 
-    Items shorter than a seed can't be told from chance and are left out."""
+    Items of fewer than ``LEAST_WORDS`` words can't be told from chance and are left out."""
     rows: list[tuple[int, list[str]]] = []
     held = 0
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).orderBy(item_col).toLocalIterator():
         words = words_of(row[1])
-        if row[0] is None or len(words) < SEED_WORDS:
+        if row[0] is None or len(words) < LEAST_WORDS:
             continue
         if rows and held + len(words) > block_words:
             yield Items.of(rows)
@@ -176,26 +158,26 @@ def benchmark_blocks(benchmark: DataFrame, *, item_col: str = "item_id", text_co
         yield Items.of(rows)
 
 
-def seed_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """Documents that hold each seed, counted over all documents."""
+def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
+    """Documents that hold each word of the block, counted over all documents."""
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total = np.zeros(len(sent.value.codes), np.int64)
+        total, get = np.zeros(len(sent.value.vocabulary) + 1, np.int64), sent.value.vocabulary.get
         for text in batch.column(1).to_pylist():
-            total[np.unique(sent.value.seeds_in(sent.value.numbers(text))[1])] += 1
+            total[[*{get(w, 0) for w in words_of(text)}]] += 1
         found = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["seed", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["word", "n"])
 
-    counts = np.zeros(len(items.codes), np.int64)
-    for seed, n in map_batches(docs, step, "seed long, n long").groupBy("seed").agg(F.sum("n")).collect():  # a row a seed of the block
-        counts[seed] = n
+    counts = np.zeros(len(items.vocabulary) + 1, np.int64)
+    for word, n in map_batches(docs, step, "word long, n long").groupBy("word").agg(F.sum("n")).collect():  # a row a word of the block
+        counts[word] = n
     return counts
 
 
-def prepared(docs: DataFrame, benchmark: DataFrame, *, rare_share: float = RARE_SHARE) -> Iterator[Items]:
+def prepared(docs: DataFrame, benchmark: DataFrame, *, least_score: float = LEAST_SCORE, rare_share: float = RARE_SHARE) -> Iterator[Items]:
     for items in benchmark_blocks(benchmark):
-        items.keep_rare(seed_counts(docs, items), rare_share)
+        items.seed(word_counts(docs, items), rare_share, least_score)
         yield items
 
 
@@ -203,11 +185,13 @@ def find_copies(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """One row per document row and benchmark item that it copies: doc_id, item_id,
     score (alignment score over the item's length), first_word, end_word.
 
-    A pass over all documents counts how many hold each 3-word seed of the
-    benchmark; the rarest three quarters of each item's seeds, and all that at most
-    ``RARE_DOCS`` documents hold, then start Smith-Waterman alignments of the whole item with the words around the seed.
-    Windows that hold too few of the item's words for the score are skipped before the
-    alignment, which loses none. Nothing of the documents is shuffled.
+    A pass over all documents counts how many hold each word of the benchmark; the
+    rarest three quarters of each item's words are its seeds. A text with enough seeds
+    for the score, and a stretch dense enough in the item's words, is aligned with the
+    item (Smith-Waterman). Both bounds lose no alignment, whatever the counts are, so
+    the result is that of aligning every item with every text. An alignment counts if
+    it also reaches ``LEAST_WORDS`` points, which bears on items of under six words.
+    Nothing of the documents is shuffled.
 
     Null and empty texts match nothing; equal items are all reported; repeated rows
     give repeated results; null ids stay null; other columns are ignored; an empty
@@ -216,13 +200,13 @@ def find_copies(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     docs = texts_of(df, id_col, text_col)
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     out = None
-    for items in prepared(docs, benchmark):
+    for items in prepared(docs, benchmark, least_score=least_score):
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
             own: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for item, *found in matches_in(sent.value, sent.value.numbers(text), least_score):
+                for item, *found in matches_in(sent.value, sent.value.numbers(text)):
                     own.append((doc_id, sent.value.ids[item], *found))
             columns = list(zip(*own)) if own else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -237,12 +221,12 @@ def drop_copies(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """The rows of ``df``, with all their columns, that copy no benchmark item."""
     bounded_batches(df.sparkSession)
     at, out = df.columns.index(text_col), df
-    for items in prepared(texts_of(df, id_col, text_col), benchmark):
+    for items in prepared(texts_of(df, id_col, text_col), benchmark, least_score=least_score):
         sent = df.sparkSession.sparkContext.broadcast(items)
 
         def run(batches, sent=sent):
             for batch in batches:
-                clean = [next(matches_in(sent.value, sent.value.numbers(t), least_score), None) is None for t in batch.column(at).to_pylist()]
+                clean = [next(matches_in(sent.value, sent.value.numbers(t)), None) is None for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, df.schema)

@@ -346,6 +346,42 @@ def test_decontaminate(spark):
     assert decontaminate.find_copies(df.limit(0), benchmark).count() == 0
 
 
+@pytest.mark.parametrize("copies", [30, 1000])
+def test_edited_passage_in_many_documents(spark, copies):
+    """Each third word replaced: no run of three words is left, and what is left is frequent."""
+    rng = random.Random(copies)
+    passage = [f"w{k}" for k in range(30)]
+    third = [w if k % 3 < 2 else f"z{k}" for k, w in enumerate(passage)]
+    early = [w if k < 8 or k >= 20 else f"z{k}" for k, w in enumerate(passage[:20])]  # 8 of 30 in a row: not enough
+    runs = [w if k not in range(8, 14) and k != 21 and k != 25 else f"y{k}" for k, w in enumerate(passage)]
+    inserted = [x for k, w in enumerate(passage) for x in ((w, f"x{k}") if k % 2 else (w,))]
+    kinds = [third, early, runs, inserted]
+    docs = [(k, " ".join([f"v{rng.randrange(50)}" for _ in range(rng.randrange(20))] + kinds[k % 4] + ["v0"] * (k % 3))) for k in range(4 * copies)]
+    items = [(1, " ".join(passage)), (2, " ".join(f"v{k}" for k in range(12)))]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(df, benchmark).collect()}
+    some = docs if copies < 100 else rng.sample(docs, 80)
+    assert {x for x in got if x[0] in dict(some)} == plain_copies(some, items, decontaminate.LEAST_SCORE)
+    assert {k for k, item in got if item == 1} == {k for k, _ in docs if k % 4 != 1}
+    assert {r["doc_id"] for r in decontaminate.drop_copies(df, benchmark).collect()} == {k for k, _ in docs} - {k for k, _ in got}
+
+
+def test_edited_by_chance_in_many_documents(spark):
+    """The same edit in 40 documents, for many edits, against brute force."""
+    rng = random.Random(11)
+    items, docs = [], []
+    for item in range(40):
+        words = [f"i{item}w{rng.randrange(60)}" for _ in range(rng.randint(12, 40))]
+        items.append((item, " ".join(words)))
+        share = rng.choice([0.3, 0.4, 0.5])
+        edited = " ".join(f"o{rng.randrange(99)}" if rng.random() < share else w for w in words)
+        docs += [(item * 40 + k, edited) for k in range(40)]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(df, benchmark).collect()}
+    one = {item for item in range(40) if plain_copies([(0, docs[item * 40][1])], [items[item]], decontaminate.LEAST_SCORE)}
+    assert 5 < len(one) < 40 and got == {(item * 40 + k, item) for item in one for k in range(40)}
+
+
 def test_benchmark_comes_in_blocks(spark):
     benchmark = spark.createDataFrame([(k, "a b c d e") for k in range(10)], "item_id long, text string")
     assert [len(x.ids) for x in decontaminate.benchmark_blocks(benchmark, block_words=20)] == [4, 4, 2]
