@@ -28,10 +28,12 @@ SYLLABLES = {
 }
 
 #: Every text with an entity matches this; Spark's regular expressions read it alike.
-SUSPECT = "[0-9@]|" + "|".join(TITLES)
+#: Each list of words comes behind the letters that its words begin with, for speed.
+_KEYWORDS = "token|password|passwd|pwd|secret|api[_-]?key"
+SUSPECT = f"[0-9@]|(?=[{''.join(sorted({t[0] for t in TITLES}))}])(?:{'|'.join(TITLES)})|(?=[TtPpSsſAa])(?iu:{_KEYWORDS})"
 _SUSPECT = re.compile(SUSPECT)
 _ENTITY = re.compile(
-    r"""(?:\b(?:token|password|passwd|pwd|secret|api[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?(?P<secret>[a-z0-9/+_-]{8,200}))"""
+    rf"""(?:\b(?:{_KEYWORDS})["']?\s{{0,3}}[:=]\s{{0,3}}(?:"(?P<secret2>[^"\r\n]+)"|'(?P<secret1>[^'\r\n]+)'|["']?(?P<secret>\S+)))"""
     r"""|(?P<access>(?<![a-z0-9])(?:akia|asia)[a-z0-9]{16}(?![a-z0-9]))"""
     r"""|(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8})"""
     r"""|(?P<iban>(?<!\w)[a-z]{2}[0-9]{2}(?:\ ?[a-z0-9]{4}){2,7}(?:\ ?[a-z0-9]{1,3})?(?!\w))"""
@@ -43,6 +45,10 @@ _ENTITY = re.compile(
 )
 _NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?[ ](\w+(?:[-'’]\w+)*)(?:[ ](\w+(?:[-'’]\w+)*))?")
 _DIGITS = re.compile(r"[0-9]")
+#: Marks behind an unquoted credential that aren't replaced with it.
+_TRAILING = ".,;:!?)]}>\"'`"
+#: Letters and digits that a credential's surrogate has at least, so that short ones stay distinct.
+LEAST_SECRET = 8
 
 
 def _script(word: str) -> str | None:
@@ -65,8 +71,12 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, str]]:
         kind = m.lastgroup
         start, end = m.span(kind)
         own = text[start:end]
-        if kind == "secret":
-            if not _DIGITS.search(own):
+        if kind in ("secret", "secret1", "secret2"):
+            kind = "secret"
+            if m["secret"]:
+                own = own.rstrip(_TRAILING)
+                end = start + len(own)
+            if not any(c.isalnum() for c in own):
                 continue
         elif kind == "email":
             local, _, domain = own.partition("@")
@@ -120,7 +130,7 @@ class _Stream:
 def _like(own: str, stream: _Stream) -> str:
     """The same pattern of letters and digits; hexadecimal stays hexadecimal."""
     letters = "abcdef" if set(own) <= set("0123456789abcdef") else "abcdefghijklmnopqrstuvwxyz"
-    return "".join(str(stream.below(10)) if c in "0123456789" else letters[stream.below(len(letters))] if c.isalpha() else c for c in own)
+    return "".join(str(stream.below(10)) if c in "0123456789" else letters[stream.below(len(letters))] if c.isalpha() else str(stream.below(10)) if c.isalnum() else c for c in own)
 
 
 def _luhn(digits: str) -> int:
@@ -142,7 +152,8 @@ def core_of(kind: str, canon: str, attempt: int, key: bytes) -> str:
         return _like(head, stream) + dot + top
     if kind == "secret":
         keep = 4 if canon[:4] in ("akia", "asia") and len(canon) == 20 else 0
-        return canon[:keep] + "".join("abcdefghijklmnopqrstuvwxyz234567"[stream.below(32)] if keep else _like(c, stream) if not set(canon) <= set("0123456789abcdef") else "0123456789abcdef"[stream.below(16)] for c in canon[keep:])
+        missing = LEAST_SECRET - sum(c.isalnum() for c in canon)
+        return canon[:keep] + "".join("abcdefghijklmnopqrstuvwxyz234567"[stream.below(32)] if keep else _like(c, stream) if not set(canon) <= set("0123456789abcdef") else "0123456789abcdef"[stream.below(16)] for c in canon[keep:]) + "".join("0123456789abcdef"[stream.below(16)] for _ in range(missing))
     if kind == "ip":
         first = canon.split(".")[0]
         private = {"10": ["10"], "127": ["127"], "192": ["192", "168"] if canon.startswith("192.168.") else []}.get(first, [])
@@ -176,7 +187,7 @@ def rendered(mention: str, kind: str, core: str) -> str:
     if kind in ("mailbox", "domain", "secret"):
         if mention.isupper():
             return core.upper()
-        return "".join(o.upper() if c.isupper() else o for o, c in zip(core, mention))
+        return "".join(o.upper() if c.isupper() else o for o, c in zip(core, mention)) + core[len(mention) :]
     if kind == "ip":
         return core
     return core.upper() if len(mention) > 1 and mention.isupper() else core[:1].upper() + core[1:]
@@ -222,8 +233,8 @@ def replace_personal(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_
     The same entity gets the same surrogate in all documents, different ones
     different surrogates, and the key decides which. Detected: mail addresses, IPv4
     addresses, phone, card, social-security and bank account numbers, credentials,
-    and names behind a title. Texts without a digit, an at sign or a title
-    hold no entity and pass in a narrow stage; the others join their entities'
+    (the whole quoted or unbroken value behind a keyword) and names behind a title. Texts
+    without a digit, an at sign, a keyword or a title hold no entity and pass in a narrow stage; the others join their entities'
     surrogates by a hash of the text, so copies share them.
 
     Null texts count as empty and hold nothing. Null ids stay null; repeated rows

@@ -493,6 +493,29 @@ def test_surrogates(spark, odd, empty):
     assert surrogates.replace_personal(empty, b"k").count() == 0
 
 
+def test_whole_credentials_are_replaced(spark):
+    long = "".join(random.Random(5).choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300))
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N"
+    texts = {
+        f'api_key="{long}" end': long, f"token: {jwt}, end": jwt, "password=p@ssW0rd! end": "p@ssW0rd", "password: correcthorsebattery end": "correcthorsebattery",
+        "PASSWORD = 'correct horse battery' end": "correct horse battery", "pwd=abc. end": "abc", "paſſword: longerword end": "longerword", "secret='x' end": "'x'",
+    }
+    rows = [(k, t) for k, t in enumerate(texts)] + [(98, "a token of secret password. end"), (99, "password: ******** end")]
+    got = {r["doc_id"]: r for r in surrogates.replace_personal(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    for k, (text, secret) in enumerate(texts.items()):
+        out = got[k]["text"]
+        assert got[k]["changed"] and got[k]["kinds"] == "secret" and out.endswith(" end") and secret not in out
+        pieces = re.findall(r"\w{4,}", secret)
+        assert out[: text.index(secret)] == text[: text.index(secret)] and not any(p in out for p in pieces)
+    assert not any(long[a : a + 8] in got[0]["text"] for a in range(0, 293))
+    assert [got[k]["text"] for k in (98, 99)] == [t for _, t in rows[-2:]]
+
+
+def test_short_credentials_stay_distinct(spark):
+    entities = spark.createDataFrame([("secret", c) for c in "0123456789abcdefghijklmnopqrstuvwxyz"], "kind string, canon string")
+    assert len({r["core"] for r in surrogates.assign(entities, b"k").collect()}) == 36
+
+
 def test_crowded_kinds_stay_distinct(spark):
     """Names of one gender have few surrogates in the first rounds."""
     entities = spark.createDataFrame([("given-f-latin", f"name{k}") for k in range(3000)], "kind string, canon string")
