@@ -56,7 +56,7 @@ def w3_publish_months(spark, sf_dir):
     weekly = weekly.select("series", "region", "start_date", "year", F.when(reported, F.col("value")).alias("value"))
     months = jobs.months_from_weeks(weekly)
     totals = views.daily(spark, sf_dir).groupBy(F.col("nation").alias("series"), F.year("day").alias("year")).agg(F.sum("value").alias("annual_total"))
-    return jobs.publish_months(months, totals, n_draws=50)
+    return jobs.publish_months(months, totals)
 
 
 @query(f"WITH {RUNS} SELECT series, run_id, count(*) AS run_len, min(start_date) AS first_week, max(start_date) AS last_week FROM numbered WHERE value IS NULL GROUP BY ALL")

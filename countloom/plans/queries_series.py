@@ -310,7 +310,7 @@ def _predicted(spark, sf_dir):
 @query()
 def i_draw_counts(spark, sf_dir):
     """Random draws of every month: the same for the same row, but nothing SQL could repeat."""
-    own = reconcile.draw_counts(_predicted(spark, sf_dir), "series", "year", "month", n_draws=100)
+    own = reconcile.draw_counts(_predicted(spark, sf_dir), "series", "year", "month")
     return own.select("series", "year", "month", F.size("draws").alias("n_draws"), F.round("pred_mean", 4).alias("pred_mean"), F.aggregate("draws", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("draw_sum"))
 
 

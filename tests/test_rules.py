@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from countloom.functions import calendar as cal
 from countloom.functions.sums import lenient_sum, quantile_type8, strict_sum
 from countloom.operators import calibrate, dedup, evaluate, harmonise, predict, reconcile, rollup, select, series
-from countloom.plans import queries_jobs
+from countloom.plans import queries_jobs, queries_series
 
 
 def rows(df, *columns):
@@ -171,6 +171,14 @@ def test_published_months_add_up(spark, sf_dir):
     assert got.where("scaled < 0 or scaled_lwr > scaled_upr").isEmpty()
 
 
+def test_queries_make_all_draws(spark, sf_dir, monkeypatch):
+    seen, summarise = [], reconcile.summarise_draws
+    monkeypatch.setattr(reconcile, "summarise_draws", lambda df: seen.append(df) or summarise(df))
+    queries_jobs.w3_publish_months(spark, sf_dir)
+    assert [r[0] for r in seen[0].select(F.size("raked")).distinct().collect()] == [300]
+    assert [r[0] for r in queries_series.i_draw_counts(spark, sf_dir).select("n_draws").distinct().collect()] == [300]
+
+
 def test_nearest_median(spark):
     data = [("x", y, v) for y, v in ((2000, 10), (2001, None), (2002, 20), (2003, 31), (2004, None))] + [("y", 2000, None)]
     got = calibrate.impute_nearest(spark.createDataFrame(data, "series string, year int, annual_total long"), k=2)
