@@ -102,7 +102,7 @@ def reassign_weeks(df: DataFrame, rules: DataFrame, *, series: str = "series", s
     """Moves weeks that span two epiweeks to the week of their start or of their end,
     as ``rules`` (series, side: start or end) says, and rebuilds both dates. A series
     without a rule gets null dates; weeks that fit stay."""
-    checked = span_check(df, start=start, end=end).join(F.broadcast(rules.select(F.col("series").alias(series), "side")), series, "left")
+    checked = span_check(df, start=start, end=end).join(rules.select(F.col("series").alias(series), "side"), series, "left")
     side = F.when(F.col("side") == "start", F.struct(F.col("start_epi_year").alias("y"), F.col("start_epi_week").alias("w")))
     side = side.when(F.col("side") == "end", F.struct(F.col("end_epi_year").alias("y"), F.col("end_epi_week").alias("w")))
     moved = checked.withColumn("_to", side)

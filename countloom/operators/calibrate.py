@@ -35,13 +35,13 @@ def model_category(df: DataFrame) -> DataFrame:
 
 def before_first_year(reports: DataFrame, first: DataFrame) -> DataFrame:
     """Reports of years before the first local transmission (first: series, first_year) with a count."""
-    return reports.join(F.broadcast(first), "series").where((F.col("year") < F.col("first_year")) & (F.col("value") > 0)).drop("first_year")
+    return reports.join(first, "series").where((F.col("year") < F.col("first_year")) & (F.col("value") > 0)).drop("first_year")
 
 
 def zero_before_first(reports: DataFrame, first: DataFrame, first_year: int) -> DataFrame:
     """Drops reports of years before the first transmission and adds one annual zero
     for each such year from ``first_year`` on."""
-    kept = reports.join(F.broadcast(first), "series", "left").where(F.col("first_year").isNull() | (F.col("year") >= F.col("first_year"))).drop("first_year")
+    kept = reports.join(first, "series", "left").where(F.col("first_year").isNull() | (F.col("year") >= F.col("first_year"))).drop("first_year")
     years = F.explode(F.when(F.col("first_year") > first_year, F.sequence(F.lit(first_year), F.col("first_year") - 1)))
     zeros = first.select("series", years.alias("year"))
     zeros = zeros.withColumns({"value": F.lit(0).cast(reports.schema["value"].dataType), "t_res": F.lit("Year"), "cat": F.lit("first_year")})
@@ -50,7 +50,7 @@ def zero_before_first(reports: DataFrame, first: DataFrame, first_year: int) ->
 
 def assume_zero(grid: DataFrame, listed: DataFrame) -> DataFrame:
     """Years without data of listed series count as zero, marked ``assumed_zero``."""
-    own = grid.join(F.broadcast(listed.select("series").distinct().withColumn("_listed", F.lit(True))), "series", "left")
+    own = grid.join(listed.select("series").distinct().withColumn("_listed", F.lit(True)), "series", "left")
     fill = F.coalesce(F.col("_listed"), F.lit(False)) & F.col("annual_total").isNull()
     return own.withColumns({"assumed_zero": fill, "annual_total": F.when(fill, 0).otherwise(F.col("annual_total")).cast("bigint"), "data_source": F.when(fill, "assumed_zero").otherwise(F.col("data_source"))}).drop("_listed")
 
@@ -97,16 +97,18 @@ def impute_nearest(df: DataFrame, *, k: int = 10, value: str = "annual_total") -
     """Fills years without a total by the median of the ``k`` nearest observed years of
     the series (ties: the earlier year), cut to a whole number; ``imputed`` marks them.
 
-    Only the gaps are joined with the observed years, on the series.
+    One shuffle by series: every row sees its series' observed years, an array of one
+    entry a year, from which a gap takes the nearest.
     """
-    gaps = df.where(F.col(value).isNull()).select("series", F.col("year").alias("gap_year"))
-    seen = df.where(F.col(value).isNotNull()).select("series", "year", value)
-    w = Window.partitionBy("series", "gap_year").orderBy(F.abs(F.col("year") - F.col("gap_year")), "year")
-    near = gaps.join(seen, "series").withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
-    medians = near.groupBy("series", F.col("gap_year").alias("year")).agg(F.median(value).cast("bigint").alias("_median"))
-    out = df.join(medians, ["series", "year"], "left")
+    known = F.collect_list(F.when(F.col(value).isNotNull(), F.struct("year", F.col(value).alias("v")))).over(Window.partitionBy("series"))
+    near = F.array_sort(F.transform("_known", lambda x: F.struct(F.abs(x["year"] - F.col("year")).alias("d"), x["year"].alias("y"), x["v"].alias("v"))))
+    own = F.array_sort(F.transform(F.slice(near, 1, k), lambda x: x["v"]))
+    n = F.size("_near")
+    middle = lambda at: F.try_element_at("_near", at.cast("int")).cast("double")
+    median = ((middle(F.floor((n + 1) / 2)) + middle(F.floor(n / 2) + 1)) / 2).cast("bigint")
+    out = df.withColumn("_known", known).withColumn("_near", F.when(F.col(value).isNull(), own)).withColumn("_median", F.when(F.col(value).isNull() & (n > 0), median))
     fill = F.col(value).isNull() & F.col("_median").isNotNull()
-    return out.withColumn("imputed", fill).withColumn(value, F.coalesce(value, "_median")).drop("_median")
+    return out.withColumn("imputed", fill).withColumn(value, F.coalesce(value, "_median")).drop("_known", "_near", "_median")
 
 
 def append_assumed(df: DataFrame, assumed: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def agreement(df: DataFrame, left: str, right: str) -> DataFrame:
 def zero_complete_months(df: DataFrame, listed: DataFrame) -> DataFrame:
     """All twelve months of each series and year of listed series, absent ones with a
     count of zero; the source is filled downwards, then upwards."""
-    own = df.join(F.broadcast(listed.select("series").distinct()), "series", "left_semi")
+    own = df.join(listed.select("series").distinct(), "series", "left_semi")
     grid = own.select("series", "year").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
     w = Window.partitionBy("series", "year").orderBy("month")
     down = F.last("source", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))

@@ -23,20 +23,20 @@ def conflicting(df: DataFrame, *key: str, value: str = "value") -> DataFrame:
     return counted.where("_n > 1 and _same = 1").drop("_n", "_same")
 
 
-def losing_spans(df: DataFrame, *extra: str) -> DataFrame:
-    """Of sources that report duplicates over the same span of a series and year, all
-    but the one with the largest total (ties: the least source)."""
-    spans = duplicates(df).groupBy("series", "year", "source", "t_res", *extra).agg(
+def losing_spans(df: DataFrame, *extra: str, place: str = "series") -> DataFrame:
+    """Of sources that report duplicates (of a place and period) over the same span of a
+    series and year, all but the one with the largest total (ties: the least source)."""
+    spans = duplicates(df, place, "start_date", "end_date").groupBy("series", "year", "source", "t_res", *extra).agg(
         F.min("start_date").alias("first_date"), F.max("end_date").alias("last_date"), strict_sum("value").alias("total")
     )
     order = Window.partitionBy("series", "year", "first_date", "last_date").orderBy(F.desc_nulls_last("total"), "source", *extra)
     return spans.withColumn("_k", F.row_number().over(order)).where("_k > 1").drop("_k", "total")
 
 
-def drop_losing_spans(df: DataFrame, t_res: str, *extra: str) -> DataFrame:
+def drop_losing_spans(df: DataFrame, t_res: str, *extra: str, place: str = "series") -> DataFrame:
     """Removes every record of a losing source that lies inside its span, for one
     resolution; other resolutions stay."""
-    losers = losing_spans(df.where(F.col("t_res") == t_res), *extra)
+    losers = losing_spans(df.where(F.col("t_res") == t_res), *extra, place=place)
     r = losers.alias("r")
     same = [F.col(f"d.{k}") == F.col(f"r.{k}") for k in ("series", "year", "t_res", *extra)]
     rule = F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.start_date") >= F.col("r.first_date")) & (F.col("d.end_date") <= F.col("r.last_date"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from countloom.functions.numbering import running_before
+
 FOLD = ("model", "mask_type", "fold")
 
 
@@ -107,7 +109,6 @@ def with_row_id(df: DataFrame, *, series: str = "series", order: str = "time_seq
     """Position after sorting by series and time: the number within the series plus an
     offset from a running sum over one row a series, so the fact isn't sorted as a whole."""
     counts = df.groupBy(series).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(series).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(series, before.alias("_before"))
+    offsets = running_before(counts, series, "_n", "_before").select(series, "_before")
     own = df.withColumn("_k", F.row_number().over(Window.partitionBy(series).orderBy(order)))
     return own.join(offsets, series).withColumn("row_id", F.col("_k") + F.col("_before")).drop("_k", "_before")

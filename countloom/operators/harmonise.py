@@ -28,14 +28,14 @@ def standardise(df: DataFrame, aliases: DataFrame, *, columns: tuple[str, ...] =
     """Replaces names by those of an alias list (alias, name) in each column."""
     out = df
     for column in columns:
-        own = F.broadcast(aliases.select(F.col("alias").alias(column), F.col("name").alias("_name")))
+        own = aliases.select(F.col("alias").alias(column), F.col("name").alias("_name"))
         out = out.join(own, column, "left").withColumn(column, F.coalesce("_name", column)).drop("_name")
     return out.select(*df.columns)
 
 
 def add_code(df: DataFrame, codes: DataFrame, *, name: str = "series", overrides: dict[str, str] | None = None, drop_unmatched: bool = False) -> DataFrame:
     """Code of each name (codes: name, iso); ``overrides`` decide first."""
-    own = F.broadcast(codes.select(F.col("name").alias(name), F.col("iso").alias("_iso")))
+    own = codes.select(F.col("name").alias(name), F.col("iso").alias("_iso"))
     code = F.col("_iso")
     for text, iso in (overrides or {}).items():
         code = F.when(F.col(name) == text, iso).otherwise(code)
@@ -45,13 +45,13 @@ def add_code(df: DataFrame, codes: DataFrame, *, name: str = "series", overrides
 
 def name_of_code(df: DataFrame, codes: DataFrame, *, iso: str = "iso", raw: str = "raw_name") -> DataFrame:
     """Name of each code, or the raw name in capitals where the code is unknown."""
-    own = F.broadcast(codes.select(F.col("iso").alias(iso), F.col("name").alias("_name")))
+    own = codes.select(F.col("iso").alias(iso), F.col("name").alias("_name"))
     return df.join(own, iso, "left").withColumn("series", F.coalesce("_name", F.upper(raw))).drop("_name")
 
 
 def unknown_names(df: DataFrame, codes: DataFrame, *, name: str = "series") -> DataFrame:
     own = codes.select(F.col("name").alias(name))
-    return df.select(name).distinct().join(F.broadcast(own), name, "left_anti")
+    return df.select(name).distinct().join(own, name, "left_anti")
 
 
 def ambiguous_codes(df: DataFrame, *, iso: str = "iso", name: str = "series") -> DataFrame:
@@ -62,7 +62,7 @@ def ambiguous_codes(df: DataFrame, *, iso: str = "iso", name: str = "series") ->
 def exclude(df: DataFrame, rules: DataFrame) -> DataFrame:
     """Drops rows that fit a rule. A rule's fields are series, year, t_res, from_date,
     to_date and source_like; a null field fits everything, a null value nothing."""
-    r = F.broadcast(rules.alias("r"))
+    r = rules.alias("r")
 
     def fits(field: str, test: Column) -> Column:
         return F.col(f"r.{field}").isNull() | F.coalesce(test, F.lit(False))

@@ -15,9 +15,10 @@ from countloom.functions.sums import quantile_type8
 
 def draw_counts(df: DataFrame, *keys: str, mu: str = "pred_mean", size: str = "size", n_draws: int = 300, seed: int = 1) -> DataFrame:
     """``draws``: negative binomial counts of the given mean and size, Poisson where the
-    size is infinite or null, zero where the mean isn't positive, and null
-    where it is null. The seed of a row is a hash of its keys: the same
-    row gives the same draws wherever it runs."""
+    size is infinite or null, zero where the mean isn't positive. A mean that is null or
+    not finite is replaced by the mean of all finite ones; draws are null only where there
+    is none. The seed of a row is a hash of its keys: the same row gives the same draws
+    wherever it runs. ``df`` is read twice: write it first if it is dear."""
 
     @F.pandas_udf("array<bigint>")
     def sample(key: pd.Series, mean: pd.Series, dispersion: pd.Series) -> pd.Series:
@@ -31,7 +32,11 @@ def draw_counts(df: DataFrame, *keys: str, mu: str = "pred_mean", size: str = "s
             out.append(rng.poisson(rate))
         return pd.Series(out)
 
-    return df.withColumn("draws", sample(F.xxhash64(*keys), F.col(mu).cast("double"), F.col(size).cast("double")))
+    own = F.col(mu).cast("double")
+    finite = own.isNotNull() & ~F.isnan(own) & (F.abs(own) < F.lit(float("inf")))
+    mean = df.agg(F.avg(F.when(finite, own)).alias("_mean"))  # one row
+    out = df.crossJoin(F.broadcast(mean)).withColumn("_mu", F.when(finite, own).otherwise(F.col("_mean")))
+    return out.withColumn("draws", sample(F.xxhash64(*keys), F.col("_mu"), F.col(size).cast("double"))).drop("_mean", "_mu")
 
 
 def rake(df: DataFrame, *keys: str, order: str = "month", draws: str = "draws", mu: str = "pred_mean", value: str = "value", locked: str = "locked", annual: str = "annual_total", seed: int = 1) -> DataFrame:
@@ -40,7 +45,9 @@ def rake(df: DataFrame, *keys: str, order: str = "month", draws: str = "draws",
     Locked months keep their observation; what is left of the total is dealt to the
     others in proportion to the draw, by floors and largest remainders (ties: the earlier
     month). If nothing is left, they are zero; if a draw has only zeros there, the rest
-    is dealt by a multinomial on the means. Without a total draws stay as they are.
+    is dealt by a multinomial on the means, seeded by a hash of the keys, so that series
+    don't share random numbers. Without a total draws stay as they are. Null draws
+    count as zeros where there is a total, and stay null where there is none.
 
     A group is one key's year, some twelve rows with all draws, handled as one block.
     """
@@ -48,39 +55,50 @@ def rake(df: DataFrame, *keys: str, order: str = "month", draws: str = "draws",
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        block = np.stack([np.asarray(x, np.int64) for x in pdf[draws]])
-        fixed = pdf[locked].to_numpy(bool)
+        own, fixed, total = list(pdf[draws]), pdf[locked].to_numpy(bool), pdf[annual].iloc[0]
+        n = max((len(x) for x in own if x is not None), default=0)
+        block = np.stack([np.zeros(n, np.int64) if x is None else np.asarray(x, np.int64) for x in own])
         block[fixed] = pdf.loc[fixed, value].to_numpy(np.int64)[:, None]
-        total = pdf[annual].iloc[0]
         free = np.flatnonzero(~fixed)
         if not pd.isna(total) and len(free):
-            budget = int(total) - int(block[fixed, 0].sum() if fixed.any() else 0)
-            block[free] = _dealt(block[free], pdf[mu].to_numpy(float)[free], budget, seed)
-        pdf["raked"] = list(block)
-        return pdf
+            budget = int(total) - int(pdf.loc[fixed, value].sum())
+            block[free] = _dealt(block[free], pdf[mu].to_numpy(float)[free], budget, [seed, int(pdf["_key"].iloc[0]) & (1 << 64) - 1])
+        unknown = [x is None and not f and pd.isna(total) for x, f in zip(own, fixed)]
+        pdf["raked"] = [None if lost else x for lost, x in zip(unknown, block)]
+        return pdf.drop(columns="_key")
 
-    return df.groupBy(*keys).applyInPandas(one, schema)
+    return df.withColumn("_key", F.xxhash64(*keys)).groupBy(*keys).applyInPandas(one, schema)
 
 
-def _dealt(block: np.ndarray, mu: np.ndarray, budget: int, seed: int) -> np.ndarray:
+#: Sums below this have products of two remainders within 63 bits.
+SMALL_SUM = 3_000_000_000
+
+
+def _shares(block: np.ndarray, sums: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Floors of block * budget / sums, and the remainders, in exact whole numbers."""
+    whole, rest = budget // sums, budget % sums
+    if sums.max() < SMALL_SUM:
+        return block * whole + block * rest // sums, block * rest % sums
+    product = block.astype(object) * rest  # rare: beyond 63 bits
+    return block * whole + (product // sums).astype(np.int64), (product % sums).astype(np.int64)
+
+
+def _dealt(block: np.ndarray, mu: np.ndarray, budget: int, seed: list[int]) -> np.ndarray:
+    out = np.zeros_like(block)
     if budget <= 0:
-        return np.zeros_like(block)
+        return out
     sums = block.sum(0)
-    out = np.zeros_like(block)
     some = sums > 0
     if some.any():
-        own = block[:, some].astype(object) * budget  # exact whole numbers
-        floors = own // sums[some]
-        rest = own - floors * sums[some]
-        order = np.argsort(-rest.astype(np.float64), axis=0, kind="stable")
+        floors, rest = _shares(block[:, some], sums[some], budget)
+        order = np.argsort(-rest, axis=0, kind="stable")
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(len(block))[:, None], 0)
-        out[:, some] = (floors + (rank < budget - floors.sum(0))).astype(np.int64)
-    if (~some).any():
+        out[:, some] = floors + (rank < budget - floors.sum(0))
+    if not some.all():
         weights = np.where(np.isfinite(mu) & (mu > 0), mu, 0.0)
         weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(mu), 1 / len(mu))
-        rng = np.random.default_rng([seed, budget])
-        out[:, ~some] = rng.multinomial(budget, weights, int((~some).sum())).T
+        out[:, ~some] = np.random.default_rng(seed).multinomial(budget, weights, int((~some).sum())).T
     return out
 
 
@@ -92,8 +110,8 @@ def rake_by_windows(df: DataFrame, *keys: str, order: str = "month", draw: str =
     own = df.withColumn("_budget", F.col(annual) - F.coalesce(F.sum(F.when(F.col(locked), F.col(value))).over(w), F.lit(0)))
     own = own.withColumn("_sum", F.sum(F.when(free, F.col(y))).over(w))
     deal = free & (F.col("_budget") > 0) & (F.col("_sum") > 0)
-    own = own.withColumn("_floor", F.when(deal, F.expr(f"({y} * _budget) div _sum")))
-    own = own.withColumn("_rest", F.when(deal, F.expr(f"({y} * _budget) % _sum")))
+    own = own.withColumn("_floor", F.when(deal, F.expr(f"{y} * (_budget div _sum) + ({y} * (_budget % _sum)) div _sum")))
+    own = own.withColumn("_rest", F.when(deal, F.expr(f"({y} * (_budget % _sum)) % _sum")))
     own = own.withColumn("_left", F.col("_budget") - F.sum("_floor").over(w)).withColumn("_k", F.row_number().over(w.orderBy(F.desc_nulls_last("_rest"), order)))
     raked = (
         F.when(F.col(locked), F.col(value)).when(F.col(annual).isNull(), F.col(y)).when(deal, F.col("_floor") + F.when(F.col("_k") <= F.col("_left"), 1).otherwise(0)).otherwise(0)
@@ -140,6 +158,14 @@ def unreconciled(df: DataFrame, *keys: str, scaled: str = "scaled", annual: str
     return df.groupBy(*keys).agg(F.sum(scaled).alias("months"), F.max(annual).alias("total")).where("total is not null and months <> total")
 
 
+def assert_reconciled(df: DataFrame, *keys: str, scaled: str = "scaled", annual: str = "annual_total") -> DataFrame:
+    """``df``, if the months of every year with a total add up to it; else an error."""
+    wrong = unreconciled(df, *keys, scaled=scaled, annual=annual).first()
+    if wrong is not None:
+        raise ValueError(f"months don't add up to the total: {wrong.asDict()}")
+    return df
+
+
 def key_alignment(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Keys that repeat in a table or are missing from the other, with ``issue``."""
     out = None
@@ -152,7 +178,7 @@ def key_alignment(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
 
 
 def publish(df: DataFrame, columns: list[str], regions: DataFrame) -> DataFrame:
-    return df.select(*columns).join(F.broadcast(regions), "series", "left")
+    return df.select(*columns).join(regions, "series", "left")
 
 
 def imputation_counts(df: DataFrame) -> DataFrame:

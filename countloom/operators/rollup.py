@@ -77,7 +77,11 @@ def level_counts(df: DataFrame) -> DataFrame:
 
 def coverage(df: DataFrame) -> DataFrame:
     """series, year, t_res, n_record, expected (12, 1 or the year's weeks), prop."""
-    counted = df.groupBy("series", "year", "t_res").agg(F.count(F.lit(1)).alias("n_record"))
+    return share_of_year(df.groupBy("series", "year", "t_res").agg(F.count(F.lit(1)).alias("n_record")))
+
+
+def share_of_year(counted: DataFrame) -> DataFrame:
+    """Adds expected and prop to numbers of records (year, t_res, n_record)."""
     expected = F.when(F.col("t_res") == "Month", 12).when(F.col("t_res") == "Year", 1).otherwise(cal.weeks_in_year("year"))
     return counted.withColumn("expected", expected.cast("int")).withColumn("prop", F.col("n_record") / F.col("expected"))
 
@@ -97,5 +101,10 @@ def source_totals(df: DataFrame, *extra: str) -> DataFrame:
     return df.groupBy("series", "year", "source", *extra).agg(F.min("start_date").alias("first_date"), F.max("end_date").alias("last_date"), strict_sum("value").alias("total"))
 
 
+def split_levels(df: DataFrame, *, level: str = "s_res") -> dict[str, DataFrame]:
+    """The reports of each spatial level, by its name."""
+    return {name: df.where(F.col(level) == name) for name in ("Admin0", "Admin1", "Admin2")}
+
+
 def tally(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("series").alias("n_series"))

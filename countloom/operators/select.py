@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +32,13 @@ def _candidates(levels: DataFrame, special: tuple[str, ...]) -> DataFrame:
     return out.withColumns({"complete": F.coalesce(complete, F.lit(False)), "annual": F.col("t_res") == "Year", "proportion": F.col("max_count") / F.col("expected")})
 
 
-def best_records(levels: DataFrame, *, special: tuple[str, ...] = SPECIAL) -> DataFrame:
-    """One row a series and year: t_res, level, final_count, final_sum, category,
-    pct_of_annual, annual_total, complete, and case (which of annual and sub-annual
-    records there were), from ``rollup.level_counts``.
+def judged(levels: DataFrame, *, special: tuple[str, ...] = SPECIAL) -> DataFrame:
+    """One row a series and year: the best annual record y and the best sub-annual one s (of
+    ``rollup.level_counts``), the chosen one c, and what the choice went by: category,
+    case, pct_of_annual, annual_total, done (s is complete and counts), two (there are both).
 
-    A single pass: the best annual and the best sub-annual record of each series and
-    year are found by ordering, and a chain of conditions chooses between them.
+    A single pass: the best of either kind is found by ordering, and a chain of
+    conditions chooses between them.
     """
     rows = _candidates(levels, special)
     order = (
@@ -45,7 +47,7 @@ def best_records(levels: DataFrame, *, special: tuple[str, ...] = SPECIAL) -> Da
         F.col("proportion"),
     )
     w = Window.partitionBy("series", "year", "annual").orderBy(*(F.desc_nulls_last(o) for o in order), "t_res")
-    fields = F.struct("t_res", "level", "level_by_count", "level_count", "max_sum", "complete")
+    fields = F.struct("t_res", "level", "level_by_count", "level_count", "max_count", "max_sum", "complete")
     ranked = rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").withColumn("rec", fields)
     both = ranked.groupBy("series", "year").agg(
         F.max(F.when(F.col("annual"), F.col("rec"))).alias("y"), F.max(F.when(~F.col("annual"), F.col("rec"))).alias("s"), F.first("special").alias("special")
@@ -78,17 +80,61 @@ def best_records(levels: DataFrame, *, special: tuple[str, ...] = SPECIAL) -> Da
     chosen = F.when(take_annual, F.col("y")).otherwise(F.col("s"))
     case = F.when(two, CASES[2]).when(F.col("y").isNull(), CASES[1]).otherwise(CASES[0])
     level = F.when(F.col("special") & F.col("y").isNull(), F.col("c.level_by_count")).otherwise(F.col("c.level"))
-    return both.withColumns({"c": chosen, "case": case, "chosen_level": level, "category": category, "pct_of_annual": pct, "annual_total": total, "done": done, "two": two}).select(
+    return both.withColumns({"c": chosen, "case": case, "chosen_level": level, "category": category, "pct_of_annual": pct, "annual_total": total, "done": done, "two": two})
+
+
+def best_records(levels: DataFrame, *, special: tuple[str, ...] = SPECIAL) -> DataFrame:
+    """One row a series and year: t_res, level, final_count, final_sum, category,
+    pct_of_annual, annual_total, complete, and case (which of annual and sub-annual
+    records there were), from ``rollup.level_counts``."""
+    return judged(levels, special=special).select(
         "series", "year", "c.t_res", F.col("chosen_level").alias("level"), F.col("c.level_count").alias("final_count"), F.col("c.max_sum").alias("final_sum"), "category", "pct_of_annual", "annual_total",
         F.when(F.col("s").isNotNull(), F.when(F.col("two"), F.col("done")).otherwise(F.col("s.complete"))).alias("complete"), "case",
     )
 
 
-def unselected(levels: DataFrame, best: DataFrame) -> DataFrame:
-    """Candidates that weren't taken, with the reason."""
-    own = best.select("series", "year", F.col("t_res").alias("taken"), "category")
-    reason = F.when(F.col("t_res") == "Year", "annual: ").otherwise("sub-annual: ")
-    return levels.join(own, ["series", "year"]).where(F.col("t_res") != F.col("taken")).select("series", "year", "t_res", F.concat(reason, "category").alias("reason_unselected"))
+# The reasons' wording.
+_REASONS = {
+    "Sub-annual sum zero - annual selected": "Sub-annual complete but sum is zero (annual = {annual})",
+    "Incomplete sub-annual - annual selected": "Sub-annual incomplete ({count} {periods}) and annual ({annual}) > sub-annual ({sub})",
+    "Incomplete sub-annual - sub-annual selected": "Sub-annual incomplete ({count} {periods}) but sub-annual ({sub}) >= annual ({annual})",
+    "Annual > sub-annual": "Annual ({annual}) > complete sub-annual ({sub})",
+}
+_REASON_OF_REST = "Complete sub-annual selected ({share}% of annual)"
+_OTHER_SUB, _OTHER_ANNUAL = "Other sub-annual record", "Other annual record"
+
+
+def _filled_in(wording: str) -> Column:
+    """The wording with columns of ``judged`` in place of the names in braces."""
+    share = F.regexp_replace(F.round("pct_of_annual", 1).cast("decimal(20,1)").cast("string"), r"\.0$", "")
+    values = {"annual": F.col("y.max_sum"), "sub": F.col("s.max_sum"), "count": F.col("s.max_count"), "periods": F.concat(F.lower("s.t_res"), F.lit("s")), "share": F.coalesce(share, F.lit("NA"))}
+    parts = [F.lit(text) if k % 2 == 0 else values[text].cast("string") for k, text in enumerate(re.split("[{}]", wording)) if text]
+    return F.concat(*parts)
+
+
+def unselected(levels: DataFrame, *, special: tuple[str, ...] = SPECIAL) -> DataFrame:
+    """Candidates that weren't taken: series, year, t_res, reason_unselected and the
+    category of the choice that it was part of. The best annual and the best sub-annual
+    record are compared, so a record of the taken record's own kind, and a sub-annual one
+    beside no annual one, is just another record, without a category."""
+    reason = _filled_in(_REASON_OF_REST)
+    for category, wording in _REASONS.items():
+        reason = F.when(F.col("category") == category, _filled_in(wording)).otherwise(reason)
+    own = judged(levels, special=special).select("series", "year", F.col("c.t_res").alias("taken"), "two", "category", reason.alias("reason"))
+    annual, taken_annual = F.col("t_res") == "Year", F.col("taken") == "Year"
+    other = F.when(~F.col("two") | (annual == taken_annual), F.when(annual, _OTHER_ANNUAL).otherwise(_OTHER_SUB))
+    rest = levels.join(own, ["series", "year"]).where(F.col("t_res") != F.col("taken"))
+    return rest.select("series", "year", "t_res", F.coalesce(other, "reason").alias("reason_unselected"), F.when(other.isNull(), F.col("category")).alias("relationship_category"))
+
+
+def relationships(levels: DataFrame, *, special: tuple[str, ...] = SPECIAL) -> DataFrame:
+    """One row for each series and year with both kinds: how the two compare."""
+    own = judged(levels, special=special).where("two")
+    return own.select(
+        "series", "year", F.col("y.max_sum").alias("annual_sum"), F.col("y.level").alias("annual_level"), F.col("s.max_sum").alias("subannual_sum"), F.col("s.level").alias("subannual_level"),
+        F.col("s.t_res").alias("subannual_type"), F.col("s.level_count").alias("subannual_count"), F.col("done").alias("subannual_is_complete"), "pct_of_annual",
+        F.col("category").alias("relationship_category"), F.col("c.t_res").alias("selected_type"), F.col("special").alias("is_special_series"),
+    )
 
 
 def relationship_summary(best: DataFrame) -> DataFrame:

@@ -6,21 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.functions import calendar as cal
+from countloom.functions.numbering import running_before
 from countloom.functions.sums import share_of_null, strict_sum_over
+from countloom.sources.shared import saved
 
 
 def complete_weeks(df: DataFrame, *keys: str, start: str = "start_date", year: str = "year") -> DataFrame:
     """Every epiweek of each (key, year) that has data, with week and time_seq; weeks
     without data have nulls, and rows off the calendar stay with a null week.
 
-    The weeks of a year are made from the year itself, so no calendar is joined.
+    The table is written once. Each row then makes the empty weeks between itself and the next row
+    of its (key, year): one window, no calendar and no join.
     """
-    pairs = df.select(*keys, year).distinct()
-    weeks = pairs.withColumn("week", F.explode(F.sequence(F.lit(1), cal.weeks_in_year(year))))
-    grid = weeks.withColumn(start, cal.epi_week_start(year, "week"))
-    out = df.join(grid, [*keys, year, start], "full")
+    df = saved(df, "weeks")
     first = df.agg(cal.epi_week_start(F.min(year), F.lit(1)).alias("_first"))
-    out = out.crossJoin(F.broadcast(first))  # one row
+    days, n = F.datediff(start, cal.epi_week_start(year, F.lit(1))), F.coalesce(cal.weeks_in_year(year), F.lit(0))
+    own = df.withColumns({"_n": n, "_on": F.when((days % 7 == 0) & days.between(0, 7 * n - 1), (days / 7 + 1).cast("int"))})
+    w = Window.partitionBy(*keys, year).orderBy(F.asc_nulls_last("_on"))
+    own = own.withColumns({"_next": F.lead("_on").over(w), "_k": F.row_number().over(w)})
+
+    def empty(a: Column, b: Column) -> Column:
+        weeks = F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
+        return F.transform(weeks, lambda k: F.struct(k.alias("week"), F.lit(False).alias("own")))
+
+    before = empty(F.lit(1), F.when(F.col("_k") == 1, F.coalesce("_on", F.col("_n") + 1) - 1).otherwise(0))
+    after = empty(F.coalesce(F.col("_on") + 1, F.lit(1)), F.when(F.col("_on").isNull(), 0).otherwise(F.coalesce("_next", F.col("_n") + 1) - 1))
+    here = F.array(F.struct(F.col("_on").alias("week"), F.lit(True).alias("own")))
+    own = own.withColumn("_w", F.explode(F.concat(before, here, after)))
+    columns = [F.col(c) if c in (*keys, year) else F.when(F.col("_w.own"), F.col(c)).alias(c) for c in df.columns if c != start]
+    date = F.when(F.col("_w.own"), F.col(start)).otherwise(cal.epi_week_start(year, F.col("_w.week"))).alias(start)
+    out = own.select(*columns, date, F.col("_w.week").alias("week")).crossJoin(F.broadcast(first))  # one row
     return out.withColumn("time_seq", F.when(F.col("week").isNotNull(), (F.datediff(start, F.col("_first")) / 7 + 1).cast("int"))).drop("_first")
 
 
@@ -109,9 +124,9 @@ def split_pattern(df: DataFrame, patterns: DataFrame, *keys: str) -> tuple[DataF
 
 
 def with_code(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Number of each value in sorted order. The window runs over the distinct values."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = values.withColumn(name, F.row_number().over(Window.orderBy(column)))
+    """Number of each value in sorted order, made on the distinct values."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    codes = running_before(values, column, "_one", name).select(column, (F.col(name) + 1).cast("int").alias(name))
     return df.join(codes, column, "left")
 
 

@@ -68,11 +68,26 @@ def f_best_records(spark, sf_dir):
     return _best(spark, sf_dir).withColumn("pct_of_annual", F.round("pct_of_annual", 6))
 
 
-@query(f"""WITH {BEST} SELECT l.series, l.year, l.t_res, CASE WHEN l.t_res = 'Year' THEN 'annual: ' ELSE 'sub-annual: ' END || category AS reason_unselected
-  FROM levels l JOIN best b ON l.series = b.series AND l.year = b.year WHERE l.t_res <> b.t_res""")
+_WHY = f"""{BEST}, why AS (SELECT b.series, b.year, b.t_res AS taken, b.category, j.has_a AND j.has_s AS two, CASE b.category
+    WHEN 'Sub-annual sum zero - annual selected' THEN 'Sub-annual complete but sum is zero (annual = ' || j.y || ')'
+    WHEN 'Incomplete sub-annual - annual selected' THEN 'Sub-annual incomplete (' || u.mc || ' ' || lower(u.t_res) || 's) and annual (' || j.y || ') > sub-annual (' || j.s || ')'
+    WHEN 'Incomplete sub-annual - sub-annual selected' THEN 'Sub-annual incomplete (' || u.mc || ' ' || lower(u.t_res) || 's) but sub-annual (' || j.s || ') >= annual (' || j.y || ')'
+    WHEN 'Annual > sub-annual' THEN 'Annual (' || j.y || ') > complete sub-annual (' || j.s || ')'
+    ELSE 'Complete sub-annual selected (' || coalesce(regexp_replace(CAST(CAST(round(b.pct_of_annual, 1) AS DECIMAL(20, 1)) AS VARCHAR), '\\.0$', ''), 'NA') || '% of annual)' END AS reason
+  FROM best b JOIN judged j ON j.series = b.series AND j.year = b.year LEFT JOIN sub u ON u.series = b.series AND u.year = b.year),
+  rest AS (SELECT l.series, l.year, l.t_res, two, taken, category, reason, NOT two OR (l.t_res = 'Year') = (taken = 'Year') AS other FROM levels l JOIN why w ON l.series = w.series AND l.year = w.year WHERE l.t_res <> taken)"""
+
+
+@query(f"""WITH {_WHY} SELECT series, year, t_res, CASE WHEN other AND t_res = 'Year' THEN 'Other annual record' WHEN other THEN 'Other sub-annual record' ELSE reason END AS reason_unselected,
+  CASE WHEN NOT other THEN category END AS relationship_category FROM rest""")
 def f_unselected(spark, sf_dir):
-    levels = _levels(spark, sf_dir)
-    return select.unselected(levels, select.best_records(levels, special=_SPECIAL))
+    return select.unselected(saved(_levels(spark, sf_dir), "levels"), special=_SPECIAL)
+
+
+@query(f"""WITH {BEST} SELECT j.series, j.year, j.y AS annual_sum, alvl AS annual_level, j.s AS subannual_sum, slvl AS subannual_level, st AS subannual_type, sn AS subannual_count, done AS subannual_is_complete,
+  round(pct, 6) AS pct_of_annual, b.category AS relationship_category, b.t_res AS selected_type, j.special AS is_special_series FROM judged j JOIN best b ON j.series = b.series AND j.year = b.year WHERE has_a AND has_s""")
+def f_relationship_table(spark, sf_dir):
+    return select.relationships(_levels(spark, sf_dir), special=_SPECIAL).withColumn("pct_of_annual", F.round("pct_of_annual", 6))
 
 
 @query(f"""WITH {BEST} SELECT category, count(*) AS n, count(DISTINCT series) AS n_series, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct
@@ -259,10 +274,10 @@ def g_drop_zero_series(spark, sf_dir):
 
 
 @query(f"""WITH {_GRID}, near AS (SELECT g.series, g.year, o.annual_total AS v FROM grid g JOIN grid o ON o.series = g.series AND o.annual_total IS NOT NULL WHERE g.annual_total IS NULL
-    QUALIFY row_number() OVER (PARTITION BY g.series, g.year ORDER BY abs(o.year - g.year), o.year) <= 3), med AS (SELECT series, year, CAST(trunc(median(v)) AS BIGINT) AS m FROM near GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY g.series, g.year ORDER BY abs(o.year - g.year), o.year) <= 10), med AS (SELECT series, year, CAST(trunc(median(v)) AS BIGINT) AS m FROM near GROUP BY ALL)
   SELECT g.series, g.year, coalesce(g.annual_total, m) AS annual_total, g.annual_total IS NULL AND m IS NOT NULL AS imputed FROM grid g LEFT JOIN med ON med.series = g.series AND med.year = g.year""")
 def g_impute_nearest(spark, sf_dir):
-    return calibrate.impute_nearest(_grid(spark, sf_dir), k=3).select("series", "year", "annual_total", "imputed")
+    return calibrate.impute_nearest(_grid(spark, sf_dir)).select("series", "year", "annual_total", "imputed")
 
 
 @query(f"""WITH {YEARLY}, {EXTERNAL} SELECT series, year, value, 'Year' AS t_res, 'main' AS cat FROM yearly UNION ALL SELECT series, year, estimate, 'Year', 'assumed' FROM external""")

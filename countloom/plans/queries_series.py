@@ -3,6 +3,7 @@ operators, and of the harmonising ones (A, B)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from countloom.functions import calendar as cal
@@ -11,7 +12,7 @@ from countloom.operators import evaluate, harmonise, predict, reconcile, rollup,
 from countloom.plans.queries_time import sql_month_of_week
 from countloom.plans.registry import query
 from countloom.sources import tables, views
-from countloom.sources.shared import fresh_path
+from countloom.sources.shared import fresh_path, saved
 from countloom.sources.views import REPORTS, WEEKLY, YEARLY, sql_epi_start, sql_weeks
 
 COMPLETE = f"""{WEEKLY}, pairs AS (SELECT DISTINCT series, region, year FROM weekly), wk AS (SELECT *, CAST(unnest(range(1, {sql_weeks('year')} + 1)) AS INTEGER) AS week FROM pairs),
@@ -88,15 +89,15 @@ FILLED = f"""{COMPLETE}, pred AS (SELECT series, week, CAST(floor(avg(CASE WHEN
   wp AS (SELECT c.*, p.pred_mean FROM complete c LEFT JOIN pred p ON p.series = c.series AND p.week = c.week),
   mk AS (SELECT *, CASE WHEN (value IS NULL) IS NOT DISTINCT FROM lag(value IS NULL) OVER (PARTITION BY series, year ORDER BY time_seq) THEN 0 ELSE 1 END AS b FROM wp),
   rn AS (SELECT *, sum(b) OVER (PARTITION BY series, year ORDER BY time_seq) AS r FROM mk), ln AS (SELECT *, count(*) OVER (PARTITION BY series, year, r) AS len FROM rn),
-  filled AS (SELECT series, region, year, start_date, week, time_seq, value, pred_mean, value IS NULL AND len BETWEEN 1 AND 2 AND pred_mean IS NOT NULL AS filled_gap,
-    CASE WHEN value IS NULL AND len BETWEEN 1 AND 2 AND pred_mean IS NOT NULL THEN pred_mean ELSE value END AS filled FROM ln)"""
+  filled AS (SELECT series, region, year, start_date, week, time_seq, value, pred_mean, value IS NULL AND len BETWEEN 1 AND 4 AND pred_mean IS NOT NULL AS filled_gap,
+    CASE WHEN value IS NULL AND len BETWEEN 1 AND 4 AND pred_mean IS NOT NULL THEN pred_mean ELSE value END AS filled FROM ln)"""
 
 
 def _filled(spark, sf_dir):
     own = _complete(spark, sf_dir)
     known = F.when(F.col("week") % 10 != 0, F.col("value"))  # some weeks have no prediction
     means = own.groupBy("series", "week").agg(F.floor(F.avg(known) + 0.5).alias("pred_mean"))
-    return series.fill_gaps(own.join(means, ["series", "week"], "left"), "series", most=2)
+    return series.fill_gaps(own.join(means, ["series", "week"], "left"), "series", most=4)
 
 
 @query(f"WITH {FILLED} SELECT * FROM filled")
@@ -196,11 +197,12 @@ def h_coverage_view(spark, sf_dir):
 
 # -- I: pseudo-draws by arithmetic on the row, so that SQL can repeat them
 
-N_DRAWS = 20
+N_DRAWS = 300
+SQL_Y = "(month * 31 + draw * 17 + year) % 97 * (CASE WHEN draw % 7 = 3 AND month < 7 THEN 0 ELSE 1 END)"
 RAKING = f"""{MONTHLY}, tt AS (SELECT series, year, CAST(sum(value) AS BIGINT) AS t FROM monthly GROUP BY ALL),
   cells AS (SELECT m.series, m.region, m.year, m.month, m.value, m.value IS NOT NULL AS locked, CASE WHEN m.year % 4 = 0 THEN NULL WHEN m.year % 4 = 1 THEN t ELSE t + t // 5 + 7 END AS annual_total,
     100 + m.month * 13 + m.year % 10 AS pred_mean FROM monthly m JOIN tt USING (series, year)),
-  drawn AS (SELECT *, unnest(range(0, {N_DRAWS})) AS draw FROM cells), ys AS (SELECT *, (month * 31 + draw * 17 + year) % 97 * (CASE WHEN draw % 7 = 3 AND month < 7 THEN 0 ELSE 1 END) AS y FROM drawn),
+  drawn AS (SELECT *, unnest(range(0, {N_DRAWS})) AS draw FROM cells), ys AS (SELECT *, {SQL_Y} AS y FROM drawn),
   bud AS (SELECT *, annual_total - coalesce(sum(CASE WHEN locked THEN value END) OVER w, 0) AS budget, sum(CASE WHEN NOT locked THEN y END) OVER w AS s FROM ys WINDOW w AS (PARTITION BY series, year, draw)),
   low AS (SELECT *, CASE WHEN NOT locked AND budget > 0 AND s > 0 THEN y * budget // s END AS f, CASE WHEN NOT locked AND budget > 0 AND s > 0 THEN y * budget % s END AS rest FROM bud),
   rk AS (SELECT *, row_number() OVER (PARTITION BY series, year, draw ORDER BY rest DESC NULLS LAST, month) AS k, budget - sum(f) OVER (PARTITION BY series, year, draw) AS left_over FROM low),
@@ -208,10 +210,11 @@ RAKING = f"""{MONTHLY}, tt AS (SELECT series, year, CAST(sum(value) AS BIGINT) A
 
 
 def _cells(spark, sf_dir):
-    own = _monthly(spark, sf_dir)
+    own = saved(_monthly(spark, sf_dir), "monthly")
     totals = own.groupBy("series", "year").agg(F.sum("value").alias("t"))
     annual = F.when(F.col("year") % 4 == 0, None).when(F.col("year") % 4 == 1, F.col("t")).otherwise(F.expr("t + t div 5 + 7")).cast("bigint")
-    return own.join(totals, ["series", "year"]).select("series", "region", "year", "month", "value", F.col("value").isNotNull().alias("locked"), annual.alias("annual_total"), (100 + F.col("month") * 13 + F.col("year") % 10).alias("pred_mean"))
+    own = own.join(totals, ["series", "year"]).select("series", "region", "year", "month", "value", F.col("value").isNotNull().alias("locked"), annual.alias("annual_total"), (100 + F.col("month") * 13 + F.col("year") % 10).alias("pred_mean"))
+    return saved(own, "cells")
 
 
 _Y = "(month * 31 + draw * 17 + year) % 97 * (case when draw % 7 = 3 and month < 7 then 0 else 1 end)"
@@ -232,15 +235,19 @@ def i_rake_windows(spark, sf_dir):
     return _long(spark, sf_dir).select("series", "year", "month", "draw", "y", "raked")
 
 
-@query(f"""WITH {RAKING}, z AS (SELECT series, year, draw, sum(CASE WHEN NOT locked THEN y END) AS s FROM raked GROUP BY ALL)
-  SELECT r.series, r.year, r.month, CAST(r.draw AS INTEGER) AS draw, r.raked FROM raked r JOIN z USING (series, year, draw) WHERE z.s > 0 OR r.locked OR r.annual_total IS NULL""")
+@query(f"""WITH {RAKING}, z AS (SELECT series, year, draw, sum(CASE WHEN NOT locked THEN y END) = 0 AND max(annual_total) > coalesce(sum(CASE WHEN locked THEN value END), 0) AS random, max(annual_total) AS t, sum(raked) AS s
+    FROM raked GROUP BY ALL)
+  SELECT r.series, r.year, r.month, CAST(r.draw AS INTEGER) AS draw, coalesce(z.random, false) AND NOT r.locked AS random, CASE WHEN z.random AND NOT r.locked THEN NULL ELSE r.raked END AS raked,
+    CAST(CASE WHEN z.random THEN t ELSE s END AS BIGINT) AS draw_total FROM raked r JOIN z USING (series, year, draw)""")
 def i_rake(spark, sf_dir):
-    """The block form of raking; draws that are zero in all free months need random
-    numbers and are left out of the comparison, as are their totals."""
-    own = _arrays(spark, sf_dir).select("series", "year", "month", "locked", "annual_total", F.posexplode(F.arrays_zip("draws", "raked")).alias("draw", "x"))
-    own = own.select("series", "year", "month", "locked", "annual_total", "draw", F.col("x.draws").alias("y"), F.col("x.raked").alias("raked"))
-    sums = own.groupBy("series", "year", "draw").agg(F.sum(F.when(~F.col("locked"), F.col("y"))).alias("s"))
-    return own.join(sums, ["series", "year", "draw"]).where("s > 0 or locked or annual_total is null").select("series", "year", "month", "draw", "raked")
+    """The block form of raking, all cells and draws. What is dealt by random numbers has
+    no value here; ``draw_total`` sums the months of each draw, these included."""
+    own = _arrays(spark, sf_dir).select("series", "year", "month", "locked", "annual_total", "value", F.posexplode(F.arrays_zip("draws", "raked")).alias("draw", "x"))
+    w = Window.partitionBy("series", "year", "draw")
+    free = ~F.col("locked")
+    random = (F.sum(F.when(free, F.col("x.draws"))).over(w) == 0) & (F.col("annual_total") > F.coalesce(F.sum(F.when(F.col("locked"), F.col("value"))).over(w), F.lit(0)))
+    random = F.coalesce(random, F.lit(False)) & free
+    return own.select("series", "year", "month", "draw", random.alias("random"), F.when(~random, F.col("x.raked")).alias("raked"), F.sum("x.raked").over(w).alias("draw_total"))
 
 
 SUMMARY = f"""{RAKING}, su AS (SELECT series, region, year, month, value, locked, annual_total, sum(raked) AS draw_sum, count(*) AS n_draws, list_sort(list(raked)) AS v FROM raked GROUP BY ALL),
@@ -447,15 +454,28 @@ def j_fallback_bounds(spark, sf_dir):
 # -- A and B
 
 
-@query(f"WITH {REPORTS} SELECT series, unit, t_res, start_date, end_date, year, value, nullif(source, 'O') AS source FROM reports WHERE s_res = 'Admin1'")
+@query(f"WITH {REPORTS} SELECT series, unit, s_res, t_res, start_date, end_date, year, value, nullif(source, 'O') AS source FROM reports")
 def a_csv_round_trip(spark, sf_dir):
     """Reports written as text files, with NA for null, and read with a given schema."""
-    own = views.reports(spark, sf_dir).where("s_res = 'Admin1'").select("series", "unit", "t_res", "start_date", "end_date", "year", "value", F.nullif("source", F.lit("O")).alias("source"))
+    own = _reports_out(spark, sf_dir)
     path = fresh_path(spark, "reports")
     tables.write_table(own, path, kind="csv", partition_by=None)
     return tables.read_delimited(spark, path, own.schema)
 
 
+def _reports_out(spark, sf_dir):
+    return views.reports(spark, sf_dir).select("series", "unit", "s_res", "t_res", "start_date", "end_date", "year", "value", F.nullif("source", F.lit("O")).alias("source"))
+
+
+@query(f"WITH {REPORTS} SELECT series, unit, s_res, t_res, start_date, end_date, year, value, nullif(source, 'O') AS source FROM reports")
+def a_partitioned_round_trip(spark, sf_dir):
+    """Reports written as Parquet in a folder a year, and read back whole."""
+    own = _reports_out(spark, sf_dir)
+    path = fresh_path(spark, "reports")
+    tables.write_table(own, path)
+    return spark.read.schema(own.schema).parquet(path).select(*own.columns)
+
+
 @query(f"""WITH {SCORED} SELECT model, fold, CAST(truth AS DOUBLE) AS pred, CASE WHEN model = '1' THEN CAST(pop AS DOUBLE) END AS "WIS80", CASE WHEN model = '2' THEN CAST(year AS DOUBLE) END AS cov90 FROM scored""")
 def a_stack_results(spark, sf_dir):
     """Result files of two runs: one has an old column name, one lacks a column."""
@@ -559,6 +579,7 @@ def b_population(spark, sf_dir):
 
 @query(f"WITH {REPORTS} SELECT s_res, count(*) AS n FROM reports GROUP BY s_res")
 def b_by_level(spark, sf_dir):
-    return views.reports(spark, sf_dir).groupBy("s_res").agg(F.count(F.lit(1)).alias("n"))
+    levels = rollup.split_levels(saved(views.reports(spark, sf_dir), "reports"))
+    return harmonise.stack(*(own.groupBy("s_res").agg(F.count(F.lit(1)).alias("n")) for own in levels.values()))
 
 

@@ -68,16 +68,16 @@ def c_reassign_weeks(spark, sf_dir):
     return cal.reassign_weeks(_periods(spark, sf_dir), rules)
 
 
-_ALIGN = f"""{REPORTS}, r AS (SELECT series, unit, t_res, start_date, end_date, CAST(year(start_date) AS INTEGER) AS year, value FROM reports WHERE s_res = 'Admin1'),
+_ALIGN = f"""{REPORTS}, r AS (SELECT series, unit, s_res, t_res, start_date, end_date, CAST(year(start_date) AS INTEGER) AS year, value FROM reports),
   turns AS (SELECT DISTINCT start_date, end_date, year FROM r WHERE t_res = 'Week' AND ({sql_epi_week('start_date')} = 1 OR {sql_epi_week('start_date')} >= 52)
     AND NOT (month(start_date) = 1 AND year(start_date) = year) AND NOT (month(end_date) = 1 AND year(end_date) = year)
     AND NOT (month(start_date) = 12 AND {sql_epi_week('start_date')} >= 52))"""
 
 
-@query(f"""WITH {_ALIGN} SELECT r.series, r.unit, r.t_res, r.start_date, r.end_date, CAST(r.year + CASE WHEN turns.year IS NULL THEN 0 ELSE 1 END AS INTEGER) AS year, r.value
+@query(f"""WITH {_ALIGN} SELECT r.series, r.unit, r.s_res, r.t_res, r.start_date, r.end_date, CAST(r.year + CASE WHEN turns.year IS NULL THEN 0 ELSE 1 END AS INTEGER) AS year, r.value
   FROM r LEFT JOIN turns USING (start_date, end_date, year)""")
 def c_align_year(spark, sf_dir):
-    own = views.reports(spark, sf_dir).where("s_res = 'Admin1'").select("series", "unit", "t_res", "start_date", "end_date", F.year("start_date").alias("year"), "value")
+    own = saved(views.reports(spark, sf_dir).select("series", "unit", "s_res", "t_res", "start_date", "end_date", F.year("start_date").alias("year"), "value"), "reports")
     return cal.align_year(own)
 
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from countloom.functions import calendar as cal
 from countloom.functions.sums import lenient_sum, quantile_type8, strict_sum
+from countloom.functions.numbering import running_before
 from countloom.operators import calibrate, dedup, evaluate, harmonise, predict, reconcile, rollup, select, series
-from countloom.plans import queries_jobs, queries_series
+from countloom.plans import jobs, queries_jobs, queries_series
 
 
 def rows(df, *columns):
@@ -96,7 +97,20 @@ def test_best_record_rules(spark):
         "NOTHING": ("Month", "a0", "Sub-annual >= Annual", None, True),
         "LEVELS": ("Month", "a1", "Case 2: Sub-annual only", 30, False),
     }
-    assert rows(select.unselected(spark.createDataFrame(data, LEVEL), best).where("series = 'LESS'"), "t_res", "reason_unselected") == [("Month", "sub-annual: Annual > sub-annual")]
+    rest = {(r["series"], r["t_res"]): (r["reason_unselected"], r["relationship_category"]) for r in select.unselected(spark.createDataFrame(data, LEVEL)).collect()}
+    assert rest == {
+        ("TWO SUB", "Month"): ("Other sub-annual record", None),
+        ("INCOMPLETE HIGH", "Month"): ("Sub-annual incomplete (8 months) and annual (100) > sub-annual (60)", "Incomplete sub-annual - annual selected"),
+        ("INCOMPLETE LOW", "Year"): ("Sub-annual incomplete (8 months) but sub-annual (160) >= annual (100)", "Incomplete sub-annual - sub-annual selected"),
+        ("ZERO", "Month"): ("Sub-annual complete but sum is zero (annual = 100)", "Sub-annual sum zero - annual selected"),
+        ("LESS", "Month"): ("Annual (100) > complete sub-annual (90)", "Annual > sub-annual"),
+        ("MORE", "Year"): ("Complete sub-annual selected (100% of annual)", "Sub-annual >= Annual"),
+        ("JAPAN", "Year"): ("Complete sub-annual selected (85% of annual)", "Special country - sub-annual selected"),
+        ("TAIWAN", "Year"): ("Complete sub-annual selected (0% of annual)", "Special country - sub-annual selected"),
+        ("NOTHING", "Year"): ("Complete sub-annual selected (NA% of annual)", "Sub-annual >= Annual"),
+    }
+    both = {r["series"]: (r["annual_sum"], r["subannual_sum"], r["is_special_series"]) for r in select.relationships(spark.createDataFrame(data, LEVEL)).collect()}
+    assert both["JAPAN"] == (100, 85, True) and both["LESS"] == (100, 90, False) and "ONLY YEAR" not in both
 
 
 def test_span_dedup(spark):
@@ -143,6 +157,51 @@ def test_completed_weeks(spark):
     assert df.where("time_seq = 1").first()["start_date"] == date(1996, 12, 29)
 
 
+def test_weeks_in_odd_places(spark):
+    """Repeated weeks, only rows off the calendar, null dates and years."""
+    data = [("x", date(1997, 1, 5), 1997, 3), ("x", date(1997, 1, 5), 1997, 4), ("y", date(1998, 2, 3), 1998, 9), ("z", None, 1998, 1), ("z", date(1998, 1, 4), None, 2)]
+    df = series.complete_weeks(spark.createDataFrame(data, "series string, start_date date, year int, value int"), "series")
+    assert [df.where(f"series = '{s}' and week is not null").count() for s in "xyz"] == [54, 52, 52]
+    assert rows(df.where("value is not null"), "value", "week") == [(1, None), (2, None), (3, 2), (4, 2), (9, None)]
+    assert df.where("week is not null and (start_date is null or time_seq is null)").isEmpty()
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.createDataFrame([(f"k{k:03d}", k % 5) for k in range(200)], "k string, n long")
+    got = rows(running_before(df, "k", "n", "before"), "k", "before")
+    assert [b for _, b in got] == np.concatenate([[0], np.cumsum([k % 5 for k in range(199)])]).tolist()
+
+
+def test_clean_reports(spark):
+    d = lambda k: date(2001, 1, 7) + timedelta(7 * k)
+    rec = lambda k, v, s: ("P", "X", d(k), d(k) + timedelta(6), 2001, "Week", s, v)
+    month = lambda v, s: ("P", "X", date(2001, 1, 1), date(2001, 1, 31), 2001, "Month", s, v)
+    data = [rec(0, 5, "a"), rec(0, 4, "b"), rec(1, 5, "a"), rec(1, 5, "b"), rec(2, 9, "b"), rec(3, 1, "bad"), month(7, "a"), month(8, "b")]
+    df = spark.createDataFrame(data, "full_name string, series string, start_date date, end_date date, year int, t_res string, source string, value int")
+    rules = spark.createDataFrame([(None, None, None, None, None, "bad%")], "series string, year int, t_res string, from_date date, to_date date, source_like string")
+    assert rows(jobs.clean_reports(df, rules), "t_res", "start_date", "source") == [("Month", date(2001, 1, 1), "b"), ("Week", d(0), "a"), ("Week", d(1), "a"), ("Week", d(2), "b")]
+
+
+def test_shared_folder_and_clearing(spark):
+    from countloom.sources import shared
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Far)
+    Far.sparkContext.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError):
+        shared.shared_dir(Far)
+    table = shared.saved(spark.range(3), "three")
+    assert table.count() == 3 and all("/countloom-" in path for path in table.inputFiles())
+
+
 def test_raking(spark):
     draws = [[4, 0, 9], [1, 0, 9], [5, 0, 9]]
     data = [("a", 2001, m, [10, None, None][m], m == 0, 20, draws[m], 1.0 + m) for m in range(3)]
@@ -156,19 +215,72 @@ def test_raking(spark):
     assert got["c", 2] == [5, 0, 9]
 
 
+def test_raking_by_chance(spark):
+    """Draws of zeros: sums hold, series don't share random numbers, null draws count as zeros."""
+    n = 40
+    data = [(s, 2001, m, None, False, 1000, None if s == "c" else [0] * n, 1.0 + m) for s in "abc" for m in range(4)]
+    data += [("d", 2001, m, None, False, None, None, 1.0) for m in range(2)] + [("e", 2001, m, 5, True, 20, [1] * n, 1.0) for m in range(2)]
+    df = spark.createDataFrame(data, "series string, year int, month int, value long, locked boolean, annual_total long, draws array<bigint>, pred_mean double")
+    got = {(r["series"], r["month"]): r["raked"] for r in reconcile.rake(df, "series", "year").collect()}
+    for s in "ab":
+        block = np.array([got[s, m] for m in range(4)])
+        assert (block.sum(0) == 1000).all() and block.shape == (4, n)
+        assert np.allclose(block.mean(1), [100, 200, 300, 400], atol=30)
+    assert [got["a", m] for m in range(4)] != [got["b", m] for m in range(4)]
+    assert abs(np.corrcoef(got["a", 0], got["b", 0])[0, 1]) < 0.6
+    assert got["d", 0] is None and got["e", 0] == [5] * n and [got["c", m] for m in range(4)] == [[]] * 4
+    again = {(r["series"], r["month"]): r["raked"] for r in reconcile.rake(df.repartition(7), "series", "year").collect()}
+    assert again == got
+
+
+def test_raking_is_exact_beyond_63_bits():
+    block = np.array([[3, 10**12], [5, 1], [7, 10**12 - 1]], np.int64)
+    got = reconcile._dealt(block, np.ones(3), 10**15 + 7, [1, 2])
+    for k in range(2):
+        y, total = [int(x) for x in block[:, k]], sum(int(x) for x in block[:, k])
+        low, rest = zip(*(divmod(x * (10**15 + 7), total) for x in y))
+        more = sorted(range(3), key=lambda j: (-rest[j], j))[: 10**15 + 7 - sum(low)]
+        assert got[:, k].tolist() == [n + (j in more) for j, n in enumerate(low)]
+
+
 def test_draws_follow_their_distribution(spark):
-    df = spark.createDataFrame([("p", 40.0, float("inf")), ("n", 40.0, 5.0), ("z", 0.0, 5.0), ("m", None, 5.0)], "series string, pred_mean double, size double")
+    df = spark.createDataFrame([("p", 40.0, float("inf")), ("n", 40.0, 5.0), ("z", 0.0, 5.0), ("m", None, 5.0), ("i", float("inf"), None), ("x", float("nan"), None)], "series string, pred_mean double, size double")
     got = {r["series"]: r["draws"] for r in reconcile.draw_counts(df, "series", n_draws=4000).collect()}
-    assert got["m"] is None and set(got["z"]) == {0}
+    assert set(got["z"]) == {0}
     assert np.mean(got["p"]) == pytest.approx(40, abs=1) and np.var(got["p"]) == pytest.approx(40, rel=0.15)
     assert np.mean(got["n"]) == pytest.approx(40, abs=2) and np.var(got["n"]) == pytest.approx(40 + 320, rel=0.2)
+    for s in "mix":  # the mean of the finite means
+        assert np.mean(got[s]) == pytest.approx(80 / 3, abs=1)
+    nothing = reconcile.draw_counts(df.where("series in ('m', 'x')"), "series", n_draws=3)
+    assert [r["draws"] for r in nothing.collect()] == [None, None]
+
+
+MONTHS = "series string, region string, year int, month int, value long, annual_total long, imputed_weekly boolean, imputed_monthly boolean, draws array<bigint>, pred_mean double"
+
+
+def test_years_without_a_total_keep_their_estimates(spark):
+    data = [("no total", "r", 2001, m, 4 if m < 3 else None, None, False, False, [9, 9, 10], 9.0) for m in range(1, 13)]
+    data += [("total", "r", 2001, m, 4 if m < 3 else None, 108, False, False, [9, 9, 9], 9.0) for m in range(1, 13)]
+    data += [("below zero", "r", 2001, m, None, -3, False, False, [9, 9, 9], 9.0) for m in range(1, 13)]
+    got = jobs.publish_months(spark.createDataFrame(data, MONTHS))
+    by = {(r["series"], r["month"]): (r["annual_total"], r["locked"], r["scaled"], r["scaled_lwr"], r["scaled_upr"], r["disaggregated_yearly"]) for r in got.collect()}
+    assert by["no total", 1] == (None, True, 4, 4, 4, False) and by["no total", 7] == (None, False, 9, 9, 10, True)
+    assert by["total", 7][:3] == (108, False, 10) and sum(by["total", m][2] for m in range(1, 13)) == 108
+    assert by["below zero", 5][:3] == (0, False, 0)
+
+
+def test_months_that_do_not_add_up_end_the_job(spark):
+    data = [("x", "r", 2001, m, 4, 40, False, False, [9], 9.0) for m in range(1, 13)]
+    with pytest.raises(ValueError, match="add up"):
+        jobs.publish_months(spark.createDataFrame(data, MONTHS))
 
 
 def test_published_months_add_up(spark, sf_dir):
     got = queries_jobs.w3_publish_months(spark, sf_dir)
-    assert reconcile.unreconciled(got.where("annual_total is not null"), "series", "year").where("months < total").isEmpty()
+    assert reconcile.unreconciled(got, "series", "year").isEmpty()
     assert series.not_twelve(got, "series", "year").isEmpty()
     assert got.where("scaled < 0 or scaled_lwr > scaled_upr").isEmpty()
+    assert {r["kind"] for r in got.selectExpr("case when imputed_weekly then 'w' when imputed_monthly then 'm' when disaggregated_yearly then 'y' else 'o' end as kind").distinct().collect()} == set("wmyo")
 
 
 def test_queries_make_all_draws(spark, sf_dir, monkeypatch):
