@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -15,11 +16,12 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import BATCH_BYTES, bounded_batches, fresh_path, saved, table
 
-#: Fields of an ARC header line, by the version that the file's first block declares.
+#: Titles of an ARC header line's fields, in the file's second line, and what each looks like.
 ARC_FIELDS = {
-    "1": ("url", "ip", "date", "mime", "length"),
-    "2": ("url", "ip", "date", "mime", "status", "checksum", "location", "offset", "filename", "length"),
-}
+    "URL": ("url", r"(?P<url>.*)"), "IP-address": ("ip", r"(?P<ip>\S+)"), "Archive-date": ("date", r"(?P<date>[0-9]{4,14})"), "Content-type": ("mime", r"(?P<mime>.*?)"),
+    "Result-code": ("status", r"(?P<status>\S+)"), "Checksum": ("checksum", r"(?P<checksum>\S+)"), "Location": ("location", r"(?P<location>\S+)"), "Offset": ("offset", r"(?P<offset>\S+)"),
+    "Filename": ("filename", r"(?P<filename>\S+)"), "Archive-length": ("length", r"(?P<length>[0-9]+)"),
+}
 ARC_TITLES = {
     "1": "URL IP-address Archive-date Content-type Archive-length",
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
@@ -102,16 +104,24 @@ def _http(page_id: int | None, payload: bytes) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode()
 
 
-def _split_http(content: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, payload = content.partition(b"\r\n\r\n")
-    fields = (line.partition(":") for line in head.decode("latin-1").split("\r\n")[1:])
-    return {name.lower(): value.strip() for name, _, value in fields}, payload
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
+def _head_size(content: bytes) -> int:
+    """Bytes of the HTTP head with its blank line; all of it if there is no blank line."""
+    end = _HEAD_END.search(content)
+    return end.end() if end else len(content)
+
+
+def _head_fields(head: bytes) -> dict[str, str]:
+    lines = head.decode("latin-1").splitlines()[1:]
+    return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
 
 
-def arc_record(version: str, url: str | None, date: str, content: bytes, ip: str = "0.0.0.0", mime: str = "text/html") -> bytes:
+def arc_record(version: str, url: str | None, date: str, content: bytes, ip: str = "0.0.0.0", mime: str = "text/html", status: str = "200") -> bytes:
     own = {"url": quote(url or "-", safe=_VISIBLE) or "-", "ip": ip, "date": date, "mime": mime, "length": str(len(content))}
-    own |= {"status": "200", "checksum": "-", "location": "-", "offset": "0", "filename": "-"}
-    return " ".join(own[name] for name in ARC_FIELDS[version]).encode() + b"\n" + content
+    own |= {"status": status, "checksum": "-", "location": "-", "offset": "0", "filename": "-"}
+    return " ".join(own[ARC_FIELDS[title][0]] for title in ARC_TITLES[version].split()).encode() + b"\n" + content
 
 
 def arc_version_block(version: str, date: str) -> bytes:
@@ -135,35 +145,56 @@ def write_arc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     _write_records(own.mapInArrow(run, "record binary"), path, "\n")
 
 
-def parse_arc(lines: Iterator[bytes], with_payload: bool) -> Iterator[dict]:
-    """Records of one ARC file. The first block tells the version, the version the
-    fields of all header lines, and the last field the content's length."""
-    fields = ARC_FIELDS["1"]
+def _header_pattern(titles: str) -> re.Pattern:
+    unknown = set(titles.split()) - set(ARC_FIELDS)
+    if unknown:
+        raise ValueError(f"unknown fields of ARC header lines: {sorted(unknown)}")
+    return re.compile(" ".join(ARC_FIELDS[title][1] for title in titles.split()))
+
+
+def parse_arc(lines: Iterator[bytes], with_content: bool) -> Iterator[dict]:
+    """Records of one ARC file. The first block tells the version and the fields of all header
+    lines; a record's last field is its content's length. URLs and types may hold
+    blanks. kind is http (the URL is one and the content begins with an HTTP head),
+    filedesc (the first block) or other; the payload of http is what follows the head, of
+    others all content."""
+    header = _header_pattern(ARC_TITLES["1"])
     for place, line in enumerate(lines):
-        own = line.decode("utf-8", "replace").split(" ")
-        if own[0].startswith("filedesc://"):
-            body = _body(lines, int(own[-1]))
-            fields = ARC_FIELDS[body.split(b" ", 1)[0].decode()]
+        text = line.decode("utf-8", "replace").rstrip("\r")
+        if not text:
             continue
-        if len(own) != len(fields):
-            raise ValueError(f"an ARC header line has {len(own)} fields")
-        record = dict(zip(fields, own))
-        headers, payload = _split_http(_body(lines, int(record["length"])))
-        page_id = headers.get("x-page-id")
-        row = {"place": place, "page_id": int(page_id) if page_id else None, "url": record["url"], "date": record["date"], "ip": record["ip"]}
-        yield row | {"length": len(payload), "digest": payload_digest(payload), "packed": zlib.compress(payload, 1) if with_payload else None}
+        if text.startswith("filedesc://"):
+            url, ip, date, *_ = text.split(" ")
+            body = _body(lines, int(text.rpartition(" ")[2]))
+            first, titles = [*body.decode("utf-8", "replace").splitlines(), "", ""][:2]
+            header = _header_pattern(titles.strip() or ARC_TITLES[first.split(" ")[0]])
+            record, content = {"url": url, "ip": ip, "date": date, "mime": "text/plain", "status": first}, body
+            kind, head = "filedesc", 0
+        else:
+            m = header.fullmatch(text)
+            if m is None:
+                raise ValueError(f"an ARC header line doesn't fit its version: {text[:200]}")
+            record, content = m.groupdict(), _body(lines, int(m["length"]))
+            is_http = record["url"][:7].lower().startswith(("http://", "https:/")) or "://" not in record["url"].split(" ")[0] and not record["url"].startswith("dns:")
+            kind, head = ("http", _head_size(content)) if is_http and content.startswith(b"HTTP/") else ("other", 0)
+        payload = content[head:]
+        page_id = _head_fields(content[:head]).get("x-page-id", "")
+        row = {"place": place, "kind": kind, "page_id": int(page_id) if page_id.isdecimal() or page_id[:1] == "-" and page_id[1:].isdecimal() else None}
+        row |= {name: record.get(name) for name in ("url", "date", "ip", "mime", "status")}
+        yield row | {"length": len(payload), "digest": payload_digest(payload), "head": head, "packed": zlib.compress(content, 1) if with_content else None}
 
 
 _ARC_SCHEMA = pa.schema(
-    [("file", pa.string()), ("place", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("ip", pa.string())]
-    + [("length", pa.int64()), ("digest", pa.string()), ("packed", pa.binary())]
+    [("file", pa.string()), ("place", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64())]
+    + [(name, pa.string()) for name in ("url", "date", "ip", "mime", "status")]
+    + [("length", pa.int64()), ("digest", pa.string()), ("head", pa.int64()), ("packed", pa.binary())]
 )
 
 
-def read_arc(spark: SparkSession, path: str, *, with_payload: bool = True) -> DataFrame:
-    """file, place, page_id, url, date, ip, length, digest, packed (the payload,
-    deflated) of each record of the ARC files in ``path``."""
-    return _parsed(spark, path, lambda lines: parse_arc(lines, with_payload), _ARC_SCHEMA)
+def read_arc(spark: SparkSession, path: str, *, with_content: bool = True) -> DataFrame:
+    """file, place, kind, page_id, url, date, ip, mime, status, length and digest of the payload, head
+    (bytes before it), packed (all content, deflated) of each record of the ARC files in ``path``."""
+    return _parsed(spark, path, lambda lines: parse_arc(lines, with_content), _ARC_SCHEMA)
 
 
 # -- WARC
@@ -175,7 +206,8 @@ def record_id(file: str, place: int, page_id: int | None, url: str, date: str, d
 
 
 def iso_date(date: str) -> str:
-    d = date.ljust(14, "0")
+    """The earliest time that fits the digits."""
+    d = date + "00000101000000"[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -185,50 +217,60 @@ def warc_record(kind: str, headers: list[tuple[str, str]], block: bytes) -> byte
 
 
 def _converted(row: dict) -> bytes:
-    """The WARC record of one ARC record. ``best`` is the record whose payload stays."""
+    """The WARC record of one ARC record, whose content is carried over byte for byte.
+    ``best`` is the record whose payload stays: the others keep their HTTP head only."""
     names = ("file", "place", "page_id", "url", "date")
-    best, own_id = row["best"], record_id(*(row[n] for n in names), row["digest"])
-    headers = [("WARC-Record-ID", own_id), ("WARC-Date", iso_date(row["date"])), ("WARC-Target-URI", row["url"]), ("WARC-IP-Address", row["ip"])]
-    headers.append(("WARC-Payload-Digest", f"sha1:{row['digest']}"))
+    own_id, best, content = record_id(*(row[n] for n in names), row["digest"]), row["best"], zlib.decompress(row["packed"])
+    headers = [("WARC-Record-ID", own_id), ("WARC-Date", iso_date(row["date"]))]
+    if row["kind"] == "filedesc":
+        fields = f"software: countloom\r\nformat: WARC File Format 1.1\r\nconverted-from: {row['url'].removeprefix('filedesc://')}\r\narc-version: {row['status'].strip()}\r\n"
+        return warc_record("warcinfo", [*headers, ("WARC-Filename", row["file"].rpartition("/")[2]), ("Content-Type", "application/warc-fields")], fields.encode())
+    headers += [("WARC-Target-URI", row["url"]), ("WARC-Payload-Digest", f"sha1:{row['digest']}")]
+    headers += [("WARC-IP-Address", row["ip"])] if row["ip"] not in (None, "-", "0.0.0.0") else []
+    headers += [("X-ARC-Result-Code", row["status"])] if row["status"] not in (None, "-") else []
+    if row["kind"] != "http":
+        return warc_record("resource", [*headers, ("Content-Type", row["mime"] or "application/octet-stream")], content)
+    headers += [("WARC-Identified-Payload-Type", row["mime"])] if row["mime"] else []
     headers.append(("Content-Type", "application/http;msgtype=response"))
     if best is None or (best["file"], best["place"]) == (row["file"], row["place"]):
-        payload = zlib.decompress(row["packed"])
-        return warc_record("response", headers, _http(row["page_id"], payload) + payload)
+        return warc_record("response", headers, content)
     headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(*(best[n] for n in names), row["digest"]))]
-    headers += [("WARC-Refers-To-Target-URI", best["url"]), ("WARC-Refers-To-Date", iso_date(best["date"]))]
+    headers += [("WARC-Refers-To-Target-URI", best["url"]), ("WARC-Refers-To-Date", iso_date(best["date"])), ("X-Payload-Length", str(row["length"]))]
     if best["page_id"] is not None:
         headers.append(("X-Refers-To-Page-Id", str(best["page_id"])))
-    own = "" if row["page_id"] is None else f"X-Page-Id: {row['page_id']}\r\n"
-    return warc_record("revisit", headers, f"HTTP/1.1 200 OK\r\nContent-Length: {row['length']}\r\n{own}\r\n".encode())
+    return warc_record("revisit", headers, content[: row["head"]])
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_revisit: int = 0) -> None:
-    """Converts the ARC files in ``arc_path`` to gzipped WARC files in ``warc_path``.
-
-    A first pass reads digests only and finds, for each payload that several records
-    share and that has ``least_revisit`` bytes or more, the record that stays: the one with the
-    largest page_id, then the last in file order. A second pass joins that to
-    the records by digest; a frequent payload's rows can be split by Spark, as
-    nothing is gathered by digest."""
+    """Converts the ARC files in ``arc_path`` (any, of version 1 or 2, packed or not) to
+    gzipped WARC files in ``warc_path``.
+
+    HTTP records become ``response``, their head and payload carried over byte for byte;
+    others (dns, ftp) ``resource``; the first block ``warcinfo``. Identifiers, times, types
+    and digests are made from the ARC record. Of HTTP records with equal payloads of
+    ``least_revisit`` bytes or more the one with the largest page_id stays, then the last in
+    file order; the others become ``revisit`` and keep their heads. A page_id is known where the
+    head has an X-Page-Id field; no other step needs it.
+
+    A first pass reads digests only and finds the payloads that several records share. A
+    second joins them to the records by digest; a frequent payload's rows can be split
+    by Spark, as nothing is gathered by digest. A broken file ends the job."""
     bounded_batches(spark)
-    meta = read_arc(spark, arc_path, with_payload=False).where(F.col("length") >= least_revisit)
+    meta = read_arc(spark, arc_path, with_content=False).where((F.col("kind") == "http") & (F.col("length") >= least_revisit))
     best = F.max(F.struct("page_id", "file", "place", "url", "date")).alias("best")
     repeats = saved(meta.groupBy("digest", "length").agg(F.count(F.lit(1)).alias("n"), best).where("n > 1").drop("n"), "repeats")
     rows = read_arc(spark, arc_path).join(repeats, ["digest", "length"], "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = [warc_record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"software: countloom\r\n")]
         for batch in batches:
-            records = first + [_converted(row) for row in batch.to_pylist()]
-            first = []
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], ["record"])
+            yield pa.RecordBatch.from_arrays([pa.array([_converted(row) for row in batch.to_pylist()], pa.binary())], ["record"])
 
-    columns = ["file", "place", "page_id", "url", "date", "ip", "length", "digest", "packed", "best"]
-    _write_records(rows.select(*columns).mapInArrow(run, "record binary"), warc_path, "\r\n\r\n")
+    _write_records(rows.select(*_ARC_SCHEMA.names, "best").mapInArrow(run, "record binary"), warc_path, "\r\n\r\n")
 
 
 def parse_warc(lines: Iterator[bytes]) -> Iterator[dict]:
-    """Responses and revisits of one WARC file; digests of responses are checked."""
+    """Responses, revisits and resources of one WARC file; digests of whole payloads are checked."""
+    number = lambda x: int(x) if x else None
     for line in lines:
         if not line.startswith(b"WARC/"):
             raise ValueError("a WARC record doesn't begin with its version")
@@ -240,27 +282,29 @@ def parse_warc(lines: Iterator[bytes]) -> Iterator[dict]:
         if next(lines) != b"\r":
             raise ValueError("a WARC record isn't followed by two line ends")
         kind = headers["warc-type"]
-        if kind == "warcinfo":
+        if kind not in ("response", "revisit", "resource"):
             continue
-        http, payload = _split_http(block)
-        digest = headers["warc-payload-digest"].removeprefix("sha1:")
-        if kind == "response" and payload_digest(payload) != digest:
+        head = 0 if kind == "resource" else _head_size(block)
+        payload, http = block[head:], _head_fields(block[:head])
+        digest = headers.get("warc-payload-digest", f"sha1:{payload_digest(payload)}").removeprefix("sha1:")
+        if kind != "revisit" and payload_digest(payload) != digest:
             raise ValueError("a payload doesn't fit its digest")
-        number = lambda x: int(x) if x else None
-        row = {"page_id": number(http.get("x-page-id")), "url": headers["warc-target-uri"], "record_id": headers["warc-record-id"], "record_type": kind, "digest": digest}
-        row |= {"length": len(payload) if kind == "response" else int(http["content-length"]), "refers_to": number(headers.get("x-refers-to-page-id"))}
-        yield row | {"refers_to_id": headers.get("warc-refers-to"), "packed": zlib.compress(payload, 1) if kind == "response" else None}
+        row = {"page_id": number(http.get("x-page-id")), "url": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "record_id": headers["warc-record-id"], "record_type": kind}
+        row |= {"mime": headers.get("warc-identified-payload-type") or headers.get("content-type"), "status": headers.get("x-arc-result-code"), "digest": digest}
+        row |= {"length": int(headers.get("x-payload-length") or http.get("content-length") or 0) if kind == "revisit" else len(payload), "refers_to": number(headers.get("x-refers-to-page-id"))}
+        yield row | {"refers_to_id": headers.get("warc-refers-to"), "head": block[:head], "packed": None if kind == "revisit" else zlib.compress(payload, 1)}
 
 
 _WARC_SCHEMA = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("record_id", pa.string()), ("record_type", pa.string()), ("length", pa.int64()), ("digest", pa.string())]
-    + [("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("packed", pa.binary()), ("file", pa.string())]
+    [("page_id", pa.int64())]
+    + [(name, pa.string()) for name in ("url", "date", "record_id", "record_type", "mime", "status")]
+    + [("length", pa.int64()), ("digest", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("head", pa.binary()), ("packed", pa.binary()), ("file", pa.string())]
 )
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_id, record_type, length, digest, refers_to (page),
-    refers_to_id, packed (a response's payload, deflated), file of each record."""
+    """page_id, url, date, record_id, record_type, mime, status, length, digest, refers_to (page),
+    refers_to_id, head (of HTTP), packed (the payload, deflated; null for revisits), file of each record."""
     return _parsed(spark, path, parse_warc, _WARC_SCHEMA)
 
 

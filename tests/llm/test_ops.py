@@ -261,6 +261,48 @@ def test_small_payloads_stay_responses(spark):
     assert [(r["page_id"], r["refers_to"]) for r in warc.archive(pages, least_revisit=3).where("record_type = 'revisit'").collect()] == [(3, 4)]
 
 
+GIF = bytes(range(256)) * 3
+FOREIGN = [  # url, ip, date, mime, status, content
+    ("http://h.org/missing", "1.2.3.4", "19990203040506", "image/gif", "404", b"HTTP/1.1 404 Not Found\r\nServer: nginx\r\nContent-Type: image/gif\r\n\r\n" + GIF),
+    ("http://h.org/a page with blanks", "1.2.3.4", "1999", "text/html; charset=x y", "200", b"HTTP/1.0 200 OK\nX: 1\n\nonly line feeds\r\n\r\n"),
+    ("dns:h.org", "5.6.7.8", "19990203040506", "text/dns", "-", b"20240101\nh.org. 300 IN A 1.2.3.4\n"),
+    ("ftp://h.org/f", "-", "19990203", "text/plain", "226", b"HTTP/1.1 is only a text here"),
+    ("http://h.org/old", "1.2.3.4", "19960101000000", "text/html", "200", b"<html>a bare body</html>"),
+    ("https://h.org/again", "1.2.3.4", "20000203040506", "image/gif", "404", b"HTTP/1.1 404 Gone\r\n\r\n" + GIF),
+    ("http://h.org/empty", "1.2.3.4", "20000203040506", "no-type", "200", b"HTTP/1.1 204 No Content\r\n\r\n"),
+]
+
+
+@pytest.mark.parametrize("version", ["1", "2"])
+def test_foreign_arc_goes_through_byte_for_byte(spark, tmp_path, version):
+    import gzip
+
+    block = f"{version} {'1 InternetArchive' if version == '1' else '0 Alexa'}\n{warc.ARC_TITLES[version]}\n<arcmetadata/>\n".encode()
+    data = f"filedesc://IA-001.arc 0.0.0.0 19990101000000 text/plain {len(block)}\n".encode() + block + b"\n"
+    for url, ip, date, mime, status, content in FOREIGN:
+        fields = [url, ip, date, mime] + ([status, "abc", "-", "12", "IA-001.arc"] if version == "2" else []) + [str(len(content))]
+        data += " ".join(fields).encode() + b"\n" + content + b"\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/IA-001.arc.gz").write_bytes(gzip.compress(data[:700]) + gzip.compress(data[700:]))
+    (tmp_path / "in/IA-002.arc").write_bytes(b"filedesc://x 0.0.0.0 19990101000000 text/plain 2\n1 \n\n")
+    warc.convert(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    got = {r["url"]: r for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
+    assert {u: r["record_type"] for u, r in got.items()} == {u: k for (u, *_), k in zip(FOREIGN, ("revisit", "response", "resource", "resource", "resource", "response", "response"))}
+    for url, ip, date, mime, status, content in FOREIGN:
+        r = got[url]
+        head = r["head"]
+        assert content.startswith(head) and r["mime"] == mime and r["status"] == (None if version == "1" or status == "-" else status)
+        payload = content[len(head):] if r["record_type"] != "resource" else content
+        assert r["length"] == len(payload) and r["digest"] == base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        if r["record_type"] != "revisit":
+            assert head + zlib.decompress(r["packed"]) == content
+    assert got["http://h.org/missing"]["refers_to_id"] == got["https://h.org/again"]["record_id"]
+    assert got["http://h.org/missing"]["head"].startswith(b"HTTP/1.1 404 Not Found\r\nServer: nginx")
+    assert (got["ftp://h.org/f"]["date"], got["http://h.org/a page with blanks"]["date"]) == ("1999-02-03T00:00:00Z", "1999-01-01T00:00:00Z")
+    raw = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / "out").glob("*.gz"))
+    assert raw.count(b"WARC-Type: warcinfo") == 2 and b"converted-from: IA-001.arc" in raw
+
+
 def test_broken_arc_is_refused():
     with pytest.raises(ValueError):
         list(warc.parse_arc(iter([b"http://u 0.0.0.0 20240101000000 text/html 3", b"abcdef"]), False))
