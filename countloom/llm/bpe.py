@@ -56,6 +56,8 @@ class Vocabulary:
         self.ids = {as_bytes(token): k for token, k in vocab.items() if token not in special}
         self.bytes_of = {k: token for token, k in self.ids.items()} | {k: s.encode() for s, k in special.items()}
         self.base = max(self.bytes_of) + 1
+        self.token_size = np.zeros(self.base, np.int64)
+        self.token_size[list(self.bytes_of)] = [len(x) for x in self.bytes_of.values()]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (left, right) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]):
             self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
@@ -182,7 +184,7 @@ class Vocabulary:
         """Ids of many words, and how many each has: proposals are tested pair by
         pair in one array; only words with a pair that doesn't fit are merged."""
         flat, sizes = self.proposed(words)
-        if not len(flat):
+        if not any(words):
             return flat, sizes
         ends = np.cumsum(sizes)
         follower = np.full(len(flat), self.base, np.int64)
@@ -193,7 +195,10 @@ class Vocabulary:
         tested = ~last | np.repeat(sizes == 1, sizes)  # the last token alone only where it is the whole word
         good = np.ones(len(flat), bool)
         good[tested] = self.fits(flat[tested] * (self.base + 1) + follower[tested])
-        bad = np.unique(np.repeat(np.arange(len(words)), sizes)[~good])
+        of = np.repeat(np.arange(len(words)), sizes)
+        wrong = np.bincount(of, ~good, len(words)) > 0
+        wrong |= np.bincount(of, self.token_size[flat], len(words)) != np.fromiter(map(len, words), np.int64, len(words))  # not all bytes proposed
+        bad = np.flatnonzero(wrong)
         self.all_words += len(words)
         self.exact_words += len(bad)
         if not len(bad):
@@ -286,7 +291,8 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "
     of all adjacent token pairs (a pair fits if exact merging of the joined bytes
     gives the pair) accepts most, and the rest are merged exactly. Where every
     adjacent pair fits, the proposal is the exact encoding. Nulls and empty texts give no ids. A null id stays
-    null, repeated rows give repeated results, other columns are ignored.
+    null, repeated rows give repeated results, other columns are ignored, an empty table gives an
+    empty result.
     """
 
     def step(batch):
@@ -297,7 +303,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "
 
 
 def decode(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per row of ``df``: doc_id, text. Null ids give an empty text."""
+    """One row per row of ``df``: doc_id, text. Null ids give an empty text; an empty table gives an empty result."""
 
     def step(batch):
         own = vocabulary(vocabulary_path, pattern)

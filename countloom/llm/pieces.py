@@ -1,9 +1,12 @@
 """Cutting of texts at places where byte-level BPE can be cut safely.
 
-A token of the vocabulary's split pattern never holds a visible character that is
-followed by a blank: a blank can only start a token. So a text may be cut before
-any space or line feed whose left neighbour is not white space, and the tokens of
-the parts are the tokens of the whole.
+The vocabulary's split pattern makes words of one class each (letters, digits, marks), with
+at most one space in front, and of white space. So a text may be cut before any
+white space whose left neighbour is visible. In text without white space it may also be
+cut behind a letter or digit that another class follows, and between a mark and a
+digit, but not between a mark and a letter (``'s`` is a word) nor inside a special string. The
+tokens of the parts are the tokens of the whole. A run of one class has no such place: the
+pattern makes it a single word, however long.
 """
 
 from __future__ import annotations
@@ -12,11 +15,16 @@ import re
 from collections.abc import Callable
 from typing import TypeVar
 
+import regex
+
 T = TypeVar("T")
 
 #: White space before a space: there the simple cut at each space isn't safe.
 _RUN = re.compile(r"\s ")
-_SAFE = re.compile(r"(?<=\S)(?= )")
+_SPACE = re.compile(r"(?<=\S)(?= )")
+_BLANK = re.compile(r"(?<=\S)(?=\s)")
+_CLASS = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}])(?=\p{N})")
+SPECIAL = ("<|endoftext|>",)
 
 
 def cut(text: str) -> list[str]:
@@ -24,20 +32,34 @@ def cut(text: str) -> list[str]:
     if not text:
         return []
     if _RUN.search(text):
-        return _SAFE.split(text)
+        return _SPACE.split(text)
     if text[0] == " ":
         return [" " + part for part in text.split(" ")[1:]]
     first, *rest = text.split(" ")
     return [first, *map(" ".__add__, rest)]
 
 
-def slices(text: str, most: int = 1 << 20) -> list[str]:
+def _place(text: str, at: int, most: int, special: tuple[str, ...]) -> int | None:
+    """The first safe place from ``at`` on: before white space, or else, if there is none
+    within ``most`` characters, between classes."""
+    blank = _BLANK.search(text, at, min(len(text), at + most + 1))
+    if blank:
+        return blank.start()
+    for m in _CLASS.finditer(text, at):
+        k = m.start()
+        if not any(s in text[max(0, k - len(s) + 1) : k + len(s) - 1] for s in special):
+            return k
+    blank = _BLANK.search(text, at)
+    return blank.start() if blank else None
+
+
+def slices(text: str, most: int = 1 << 20, special: tuple[str, ...] = SPECIAL) -> list[str]:
     """``text`` cut at safe places into slices of about ``most`` characters, so that a
     very long text is never held as parts all at once. Most texts are one slice."""
     out, at = [], 0
-    while len(text) - at > most and (place := _SAFE.search(text, at + most)):
-        out.append(text[at : place.start()])
-        at = place.start()
+    while len(text) - at > most and (place := _place(text, at + most, most, special)) is not None:
+        out.append(text[at:place])
+        at = place
     return [*out, text[at:]]
 
 

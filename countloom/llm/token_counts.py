@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from functools import lru_cache
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from countloom.llm.common import map_batches, table, texts_of
-from countloom.llm.pieces import cut, in_groups, packed
+from countloom.llm.pieces import SPECIAL, cut, in_groups, packed
 
 #: Bytes of text handed to the library in one call.
 CALL_BYTES = 256 << 10
@@ -19,15 +20,32 @@ CALL_BYTES = 256 << 10
 MEMO_PARTS, MEMO_CHARS = 300_000, 48
 
 
+def _cuttable(path: str) -> bool:
+    """Is the file's split pattern the one that ``pieces`` knows the safe places of?"""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    split, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return bool(plain) and not spec.get("normalizer") and all(t["content"] in SPECIAL and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+
+
 @lru_cache(maxsize=2)
 def _library(path: str):
+    """The library's tokenizer, lengths of parts that it remembers, and whether texts may be cut."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    return tokenizer, {}
+    return tokenizer, {}, _cuttable(path)
+
+
+@lru_cache(maxsize=2)
+def _pieces_library(path: str):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
 
 
 def _lengths(tokenizer, parts: list[str]) -> dict[str, int]:
@@ -43,7 +61,7 @@ def _count_batch(texts: list[str], path: str) -> list[int]:
     """Parts that repeat within the batch are encoded once and remembered; the rest
     of a text is joined again, which adds no other cut than safe ones, and encoded
     in blocks of at most ``CALL_BYTES`` unless one part is longer."""
-    tokenizer, memo = _library(path)
+    tokenizer, memo, _ = _library(path)
     rows = [cut(text) for text in texts]
     seen = Counter(part for row in rows for part in row if part not in memo)
     again = [part for part, n in seen.items() if n > 1 and len(part) <= MEMO_CHARS]
@@ -73,23 +91,34 @@ def _count_batch(texts: list[str], path: str) -> list[int]:
     return counts
 
 
+def token_counts_of(texts: list[str], path: str) -> list[int]:
+    """Tokens of each text, as the file's library counts them."""
+    if path.endswith(".model"):
+        return [len(ids) for ids in _pieces_library(path).encode(texts, num_threads=1)]
+    if not _library(path)[2]:
+        lengths = _lengths(_library(path)[0], list(set(texts)))
+        return [lengths[text] for text in texts]
+    return [sum(own) for own in in_groups(texts, lambda group: _count_batch(group, path))]
+
+
 def count_tokens(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """One row per row of ``df``: doc_id, n_bytes, n_tokens, over_limit.
 
-    Texts are cut before blanks that follow a visible character (see
-    ``pieces.py``); parts that repeat are encoded once, all others in blocks, in
-    calls balanced by bytes, and only lengths leave the worker. Nothing is truncated, padded or
-    added; strings of special tokens inside a text are treated as the library
-    does by default. One narrow stage, no shuffle.
+    Texts are cut at safe places (see ``pieces.py``); parts that repeat are encoded once, all
+    others in blocks, in calls balanced by bytes, and only lengths leave the worker. A file
+    with another split pattern, a normalizer or further added tokens, and a
+    sentencepiece model, have no places known to be safe: then whole texts are encoded.
+    Nothing is truncated, padded or added; strings of special tokens inside a text are
+    treated as the library does by default. One narrow stage, no shuffle.
 
-    Nulls and empty texts: 0 bytes, 0 tokens. A text without blanks is one part.
+    Nulls and empty texts: 0 bytes, 0 tokens. A text without safe places is one part.
     A null id stays null; repeated rows give repeated results; other columns are
     ignored; an empty table gives an empty result.
     """
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(1).to_pylist()
-        counts = np.array([sum(own) for own in in_groups(texts, lambda group: _count_batch(group, tokenizer_path))], np.int64)
+        counts = np.array(token_counts_of(texts, tokenizer_path), np.int64)
         sizes = [len(text.encode("utf-8", "surrogatepass")) for text in texts]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts), pa.array(counts > limit)],

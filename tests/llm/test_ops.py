@@ -97,6 +97,38 @@ def test_very_long_texts_come_in_slices(library, monkeypatch):
     assert pieces.slices("x" * 200, 50) == ["x" * 200]
 
 
+def test_texts_without_spaces_are_cut_between_classes(library):
+    rng = random.Random(9)
+    for blanks in (["\n"], []):
+        text = "".join(rng.choice([*blanks, "a", "don't", "日本", "7", "12", "!?", "。", "<|endoftext|>", "'s", "'", "é", "|>"]) for _ in range(6000))
+        own = pieces.slices(text, 40)
+        assert "".join(own) == text and max(map(len, own)) < 200
+        ids = [t for x in library.encode_batch(own, add_special_tokens=False) for t in x.ids]
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert token_counts.token_counts_of([text], PATH) == [len(ids)]
+
+
+def test_other_tokenizers_encode_whole_texts(spark, odd):
+    from sentencepiece import SentencePieceProcessor
+
+    words = public_tokenizers.path("word_bpe_49k.json")
+    own = Tokenizer.from_file(words)
+    got = rows_of(token_counts.count_tokens(odd, words).select("doc_id", "n_tokens"))
+    assert got == sorted(((k, len(own.encode(t, add_special_tokens=False).ids)) for k, t in texts(ODD)), key=repr)
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    sp = SentencePieceProcessor(model_file=model)
+    got = rows_of(token_counts.count_tokens(odd, model).select("doc_id", "n_tokens"))
+    assert got == sorted(((k, len(sp.encode(t))) for k, t in texts(ODD)), key=repr)
+
+
+def test_proposals_that_miss_bytes_are_merged_exactly(library):
+    vocabulary = bpe.Vocabulary(PATH, public_tokenizers.PATTERN)
+    whole = vocabulary.proposed
+    vocabulary.proposed = lambda words: tuple(x for x in (lambda flat, sizes: (np.delete(flat, 0), sizes - (np.arange(len(sizes)) == 0)))(*whole(words)))
+    ids, sizes = vocabulary.encoded_words([b" there", b" here"])
+    assert ids.tolist() == library.encode(" there here", add_special_tokens=False).ids and sizes.tolist() == [1, 1]
+
+
 def test_lockstep_merging_is_the_same_as_by_heap():
     vocabulary = bpe.Vocabulary(PATH, public_tokenizers.PATTERN)
     rng = random.Random(3)
