@@ -55,3 +55,14 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def ascii_lower(column):
     """Lower-cases A-Z only; other letters stay as they are."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,4 +1,4 @@
-"""Key screens: fuse filters of a key set, sent to all executors while it is small."""
+"""Key screens: fuse filters of a key set, sent to all executors up to a proven size."""
 
 from __future__ import annotations
 
@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from countloom.llm import fuse
 from countloom.llm.common import saved
 
-#: Keys of a screen that may be sent to every executor (some five MB), and its parts.
-MOST_SENT_KEYS, PARTS = 4_000_000, 256
+#: Parts of a screen's filters. Keys of a screen that is sent to every executor, at some nine
+#: bits a key: 18 MB. Beyond it a join, which shuffles what the screen would have let pass; the rows
+#: are the same either way.
+PARTS, MOST_SENT_KEYS = 256, 16_000_000
 
 
 def build_filters(keys: DataFrame, parts: int) -> DataFrame:

@@ -6,10 +6,10 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import map_batches, saved, table, texts_of
+from countloom.llm.common import free_names, map_batches, saved, table, texts_of
 from countloom.llm.components import connected_components
 from countloom.llm.screen import without
 
@@ -19,7 +19,7 @@ LEAST_SHARED = BYTES - BITS
 #: Four positions whose numbers xor to zero. Of any five of the eight positions,
 #: some four are such a quad, so two linked fingerprints share one quad's bytes.
 QUADS = [q for q in combinations(range(BYTES), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
-#: Postings of one index key are compared in blocks of this many.
+#: Postings of one list are compared in blocks of this many.
 BLOCK = 2048
 
 
@@ -49,30 +49,22 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return map_batches(own, step, "doc_id long, text_hash long, fp long")
 
 
+def _byte_at(fp: Column, position: Column) -> Column:
+    return F.call_function("shiftrightunsigned", fp, position * 8).bitwiseAND(F.lit(255)).cast("int")
+
+
 def _quad_mask(quad: tuple[int, ...]) -> int:
     mask = sum(0xFF << (8 * p) for p in quad)
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _linked(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (into left and right) of linked fingerprints: tally the shared
-    positional bytes, keep pairs with enough of them, verify by counting bits."""
-    differ = left[:, None] ^ right[None, :]
-    shared = np.zeros(differ.shape, np.uint8)
-    for position in range(BYTES):
-        shared += (differ >> np.uint64(8 * position)) & np.uint64(0xFF) == 0
-    i, j = np.nonzero(shared >= LEAST_SHARED)
-    close = np.bitwise_count(differ[i, j]) <= BITS
-    return i[close], j[close]
-
-
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
     """Edges (member, least member) of the linked groups among distinct fingerprints:
     one edge a member at most, however many pairs are linked."""
     n = len(values)
     root = np.arange(n)
     for at in range(0, n, 256):
-        i, j = _linked(values[at : at + 256], values)
+        i, j = np.nonzero(np.bitwise_count(values[at : at + 256, None] ^ values[None, :]) <= BITS)
         i = i + at
         keep = i < j
         for a, b in zip(i[keep].tolist(), j[keep].tolist()):
@@ -92,34 +84,36 @@ def forest(values: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _split_by_fifth(own: DataFrame) -> DataFrame:
-    """Postings of large keys once for each other position, with its byte, and the
-    number of postings of the finer key."""
+def tallied(unique: DataFrame) -> DataFrame:
+    """fp, quad, part, fifth, n: the index's postings that can hold a pair with a tally of
+    ``LEAST_SHARED`` positional bytes, with the length of their list.
+
+    A list of the first level has four positions with their bytes (a quad), so its
+    members have a tally of four; lists of one member end here. Each further position at which two
+    members share the byte adds one to their tally. The least tally is reached with the first of
+    them, so the lists of the second level, a quad and a fifth position with its byte, hold just the
+    pairs whose tally is enough, and pairs of four shared bytes are never made.
+    """
+    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("quad"), F.col("fp").bitwiseAND(F.lit(_quad_mask(q))).alias("part")) for k, q in enumerate(QUADS)))).alias("k")
+    postings = unique.select("fp", keys).select("fp", "k.quad", "k.part")
+    shared = postings.groupBy("quad", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("quad", "part")
     others = F.array(*(F.array(*(F.lit(p) for p in range(BYTES) if p not in q)) for q in QUADS))
-    fifth = F.expr("transform(_others[quad], p -> p * 256 + cast(shiftrightunsigned(fp, 8 * p) & 255 as int))")
-    own = own.withColumn("_others", others).withColumn("fifth", F.explode(F.when(F.col("n") > BLOCK, fifth).otherwise(F.array(F.lit(-1)))))
-    own = saved(own.drop("_others"), "postings")
-    finer = own.where("fifth >= 0").groupBy("quad", "part", "fifth").agg(F.count(F.lit(1)).alias("_m"))
-    return own.join(finer, ["quad", "part", "fifth"], "left").withColumn("n", F.coalesce("_m", "n")).where("n > 1").drop("_m")
+    fifth = F.transform(F.element_at(others, F.col("quad") + 1), lambda p: p * 256 + _byte_at(F.col("fp"), p))
+    own = saved(postings.join(shared, ["quad", "part"]).select("fp", "quad", "part", F.explode(fifth).alias("fifth")), "postings")
+    lists = own.groupBy("quad", "part", "fifth").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return own.join(lists, ["quad", "part", "fifth"])
 
 
 def links(unique: DataFrame) -> DataFrame:
     """a, b: edges between distinct fingerprints (column fp) whose components are
     those of all pairs with at most three differing bits.
 
-    An index key is four positions with their bytes; linked pairs share one of the
-    14 keys. Keys with one posting are dropped before anything is gathered. As linked
-    pairs share a fifth byte too, keys with many postings are split by one more position
-    and its byte. What is still large is dealt into blocks, and every pair of blocks is its own
-    group, so no posting is left out and no group passes two blocks. A group
-    returns a forest, not its pairs.
+    Linked pairs differ in three bytes at most, so they have a tally of five shared positional
+    bytes and are in one list of ``tallied``; there their bits are counted. A long list is dealt
+    into blocks, and every pair of blocks is its own group, so no posting is left out
+    and no group passes two blocks. A group returns a forest, not its pairs.
     """
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("quad"), F.col("fp").bitwiseAND(F.lit(_quad_mask(q))).alias("part")) for k, q in enumerate(QUADS)))).alias("k")
-    postings = unique.select("fp", keys).select("fp", "k.quad", "k.part")
-    shared = saved(postings.groupBy("quad", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
-    own = postings.join(shared, ["quad", "part"]).withColumn("fifth", F.lit(-1))
-    if not shared.where(F.col("n") > BLOCK).isEmpty():
-        own = _split_by_fifth(own)
+    own = tallied(unique)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = own.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     groups = own.groupBy("quad", "part", "fifth", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")).agg(F.collect_list("fp").alias("fps"))
@@ -130,12 +124,10 @@ def links(unique: DataFrame) -> DataFrame:
         ends = np.cumsum(lists.value_lengths().to_numpy())
         sizes = np.diff(ends, prepend=0)
         starts = ends - sizes
-        edges: list[tuple[int, int]] = []
         pair = starts[sizes == 2]  # the most frequent case, all at once
         a, b = flat[pair], flat[pair + 1]
-        bytes_shared = sum(((a ^ b) >> np.uint64(8 * p)) & np.uint64(0xFF) == 0 for p in range(BYTES)) if len(pair) else np.zeros(0)
-        near = (bytes_shared >= LEAST_SHARED) & (np.bitwise_count(a ^ b) <= BITS)
-        edges += zip(a[near].tolist(), b[near].tolist())
+        near = np.bitwise_count(a ^ b) <= BITS
+        edges: list[tuple[int, int]] = list(zip(a[near].tolist(), b[near].tolist()))
         for k in np.flatnonzero(sizes > 2):
             edges += forest(np.sort(flat[starts[k] : ends[k]]))
         if not edges:
@@ -174,17 +166,20 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``df`` of each component, with all columns: that with the smallest
-    id (of several with that id, one)."""
+    """One row of ``df`` of each component, with all columns, whatever their names: that with
+    the smallest id; null ids rank last. Of several texts with that id, and of repeated rows, one
+    stays, any where their other columns differ. Nulls count as empty texts; an empty table
+    gives an empty result. Very long texts are taken whole."""
+    near_id, near_hash, own_text = free_names(df, "near_id", "near_hash", "own_text")
     prints = saved(fingerprints(df, id_col=id_col, text_col=text_col), "fingerprints")
     gone = _components(prints).where(~_rank().eqNullSafe(F.col("best")))
-    gone = saved(gone.select(F.col("doc_id").alias("_near_id"), F.col("text_hash").alias("_near_hash")).distinct(), "gone")
-    text_hash = F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit("")))
+    gone = saved(gone.select(F.col("doc_id").alias(near_id), F.col("text_hash").alias(near_hash)).distinct(), "gone")
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
     own_id = df[id_col].cast("long")
-    condition = own_id.eqNullSafe(gone["_near_id"]) & (text_hash == gone["_near_hash"])
-    out = without(df, gone, condition, F.xxhash64(own_id), F.xxhash64("_near_id"))
+    condition = own_id.eqNullSafe(gone[near_id]) & (F.xxhash64(text) == gone[near_hash])
+    out = without(df, gone, condition, F.xxhash64(own_id), F.xxhash64(near_id))
     if not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # repeated rows: one of each
-        out = out.dropDuplicates([id_col, text_col])
+        out = out.withColumn(own_text, text).dropDuplicates([id_col, own_text]).drop(own_text)
     return out
 
 

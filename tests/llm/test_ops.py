@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from countloom.llm import bpe, decontaminate, exact_dedup, fuse, pieces, quality, reshard, simhash, surrogates, token_counts, url_filter, warc
+from countloom.llm import bpe, decontaminate, exact_dedup, fuse, pieces, quality, reshard, screen, simhash, surrogates, token_counts, url_filter, warc
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, extra string, n long, sha string"
@@ -260,6 +260,8 @@ def test_drop_near(odd, spark):
     for _, _, component in simhash.near_duplicates(odd).distinct().collect():
         sizes[component] += 1
     assert kept.count() == len(sizes)
+    nothing = spark.createDataFrame([(1, None), (1, ""), (1, " ")], "doc_id long, text string")
+    assert simhash.drop_near(nothing).count() == 1 and simhash.drop_near(nothing.limit(0)).count() == 0
     twice = spark.createDataFrame([(5, "one two three four five six"), (3, "one two three four five six"), (5, "quite another text of its own")], "doc_id long, text string")
     assert rows_of(simhash.drop_near(twice)) == [(3, "one two three four five six"), (5, "quite another text of its own")]
 
@@ -370,6 +372,37 @@ def test_exact_dedup(odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
+CLASH = "near_id long, gone_id long, doc_id long, text string, gone_sha string, own_sha string, own_text string, Near_Hash long, row long, sha string, key long, n long"
+
+
+def test_columns_that_clash(spark, monkeypatch):
+    rows = [(1, 2, k, t, "a", "b", "c", 4, 5, "d", 6, len(t or "")) for k, t in [(1, "a b c d"), (2, "A B C D"), (3, None), (4, ""), (3, None), (None, "x y z"), (None, "x y z"), (5, "x y z w")]]
+    df = spark.createDataFrame(rows, CLASH)
+    for keys in (0, screen.MOST_SENT_KEYS):  # by joins, and by screens
+        monkeypatch.setattr(screen, "MOST_SENT_KEYS", keys)
+        once = exact_dedup.drop_exact(df)
+        assert once.columns == df.columns and sorted(map(repr, (r["doc_id"] for r in once.collect()))) == ["2", "4", "5", "None"]
+        near = simhash.drop_near(df)
+        assert near.columns == df.columns and sorted(map(repr, (r["doc_id"] for r in near.collect()))) == ["1", "3", "5", "None"]
+
+
+def test_snapshot_is_written_once_and_meets_batches_of_any_size(spark, tmp_path, monkeypatch):
+    old = spark.createDataFrame([(k, f"text {k % 70}") for k in range(100)], "doc_id long, text string")
+    new = spark.createDataFrame([(200 + k, f"TEXT {k % 90}") for k in range(300)] + [(None, "text 1"), (None, "text 1")], "doc_id long, text string")
+    path = f"file://{tmp_path}/snapshot"
+    monkeypatch.setattr(screen, "PARTS", 4)
+    monkeypatch.setattr(exact_dedup, "KEYS_PER_FILTER", 5)  # 14 parts, two turns each
+    exact_dedup.write_snapshot(exact_dedup.digests(old), path)
+    with pytest.raises(Exception, match="exist"):
+        exact_dedup.write_snapshot(exact_dedup.digests(old), path)
+    snapshot = exact_dedup.read_snapshot(spark, path)
+    got = exact_dedup.exact_groups(exact_dedup.digests(new), old.unionByName(new), snapshot).collect()
+    sizes = defaultdict(list)
+    for k, t in [(k, f"text {k % 70}") for k in range(100)] + [(200 + k, f"text {k % 90}") for k in range(300)] + [(-1, "text 1")] * 2:
+        sizes[hashlib.sha256(t.encode()).digest()].append(k)
+    assert {bytes(r["sha"]): (r["n"], r["best"]["doc_id"]) for r in got} == {sha: (len(ids), max(ids)) for sha, ids in sizes.items()}
+
+
 # -- 6
 
 
