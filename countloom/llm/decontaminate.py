@@ -3,9 +3,9 @@ Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from countloom.llm.common import bounded_batches, map_batches, table, texts_of
 
-#: Words of the shortest item, and the alignment score (share of a perfect one) that convicts.
+#: Points that an alignment needs at least (a shorter item has to be there word by word), and the
+#: score (share of a perfect alignment) that convicts.
 LEAST_WORDS, LEAST_SCORE = 3, 0.5
 #: Costs of the alignment: a match gains 1.
 MISMATCH, GAP = 0.5, 0.5
@@ -22,14 +23,21 @@ MISMATCH, GAP = 0.5, 0.5
 RARE_SHARE = 0.75
 #: Items times words of a text that are bounded at once.
 BLOCK_CELLS = 500_000
-#: Words of benchmark text that one pass over the documents looks for.
-BLOCK_WORDS = 500_000
-_WORD = re.compile(r"[^\W_]+")
+#: Words of benchmark text that one pass over the documents looks for: some 50 MB a worker.
+BLOCK_WORDS = 2_000_000
+_PLAIN = {k: chr(k).lower() if chr(k).isalnum() else " " for k in range(128)}
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters and digits, lower-cased: case and marks don't hide a copy."""
-    return _WORD.findall((text or "").lower())
+    text = text or ""
+    if text.isascii():
+        return text.translate(_PLAIN).split()
+    text = text.lower()
+    for c in set(text):
+        if not c.isalnum():
+            text = text.replace(c, " ")
+    return text.split()
 
 
 @dataclass
@@ -56,8 +64,7 @@ class Items:
 
     def numbers(self, text: str | None) -> np.ndarray:
         words = words_of(text)
-        get = self.vocabulary.get
-        return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def seed(self, document_counts: np.ndarray, share: float, least: float) -> None:
         """Makes each item's rarest words, ``share`` of them, its seeds.
@@ -66,7 +73,7 @@ class Items:
         item's words unmatched, so it holds all seeds but so many; there are always
         enough seeds for one to be left, however frequent they are."""
         sizes = np.array([len(x) for x in self.words], np.int64)
-        self.points = np.maximum(least * sizes, LEAST_WORDS)
+        self.points = np.maximum(least * sizes, np.minimum(LEAST_WORDS, sizes))
         spare = sizes - np.ceil(self.points).astype(np.int64)
         n_seeds = np.minimum(np.maximum(np.ceil(share * sizes).astype(np.int64), spare + 1), sizes)
         self.least_hits = n_seeds - spare
@@ -126,28 +133,34 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
+def best_match(words: np.ndarray, passages: list[tuple[int, np.ndarray]]) -> tuple[float, int, int]:
+    """Score, first word and last word + 1 (in the text) of the item's best alignment with one
+    of the passages (first word, word numbers); of equal scores the first."""
+    best = (0.0, 0, 0)
+    for first, passage in passages:
+        score, end = align(words, passage)
+        if score > best[0]:
+            back = align(words[::-1], passage[:end][::-1])[1]
+            best = (score, first + end - back, first + end)
+    return best
+
+
 def matches_in(items: Items, numbers: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
     """(item, score, first word, last word + 1) of each item found in the text."""
     for item, regions in items.regions_in(numbers) if len(numbers) else ():
-        words, best = items.words[item], (0.0, 0, 0)
-        for a, b in regions:
-            score, end = align(words, numbers[a:b])
-            if score > best[0]:
-                back = align(words[::-1], numbers[a : a + end][::-1])[1]
-                best = (score, a + end - back, a + end)
+        best = best_match(items.words[item], [(a, numbers[a:b]) for a, b in regions])
         if best[0] >= items.points[item]:
-            yield item, best[0] / len(words), *best[1:]
+            yield item, best[0] / len(items.words[item]), *best[1:]
 
 
 def benchmark_blocks(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The benchmark, the stated query set, in blocks of bounded size.
-
-    Items of fewer than ``LEAST_WORDS`` words can't be told from chance and are left out."""
+    """The benchmark, the stated query set, in blocks of bounded size. Items without
+    words, or without an id, are left out."""
     rows: list[tuple[int, list[str]]] = []
     held = 0
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).orderBy(item_col).toLocalIterator():
         words = words_of(row[1])
-        if row[0] is None or len(words) < LEAST_WORDS:
+        if row[0] is None or not words:
             continue
         if rows and held + len(words) > block_words:
             yield Items.of(rows)
@@ -163,9 +176,9 @@ def word_counts(docs: DataFrame, items: Items) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        total, get = np.zeros(len(sent.value.vocabulary) + 1, np.int64), sent.value.vocabulary.get
+        total = np.zeros(len(sent.value.vocabulary) + 1, np.int64)
         for text in batch.column(1).to_pylist():
-            total[[*{get(w, 0) for w in words_of(text)}]] += 1
+            total[np.unique(sent.value.numbers(text))] += 1
         found = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["word", "n"])
 
@@ -181,53 +194,92 @@ def prepared(docs: DataFrame, benchmark: DataFrame, *, least_score: float = LEAS
         yield items
 
 
+_PASSAGES = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.binary())]))
+
+
+def seeded(docs: DataFrame, items: Items) -> DataFrame:
+    """doc_id, item (its number in the block), passages (first word and word numbers): where a
+    text holds so many of an item's rare seeds, and so densely, that the score is within reach."""
+    sent = docs.sparkSession.sparkContext.broadcast(items)  # a block, of BLOCK_WORDS at most
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, own, passages = [], [], []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            numbers = sent.value.numbers(text)
+            for item, regions in sent.value.regions_in(numbers) if len(numbers) else ():
+                ids.append(doc_id)
+                own.append(item)
+                passages.append([{"first": a, "words": numbers[a:b].astype("<i4").tobytes()} for a, b in regions])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(passages, _PASSAGES)], ["doc_id", "item", "passages"])
+
+    return map_batches(docs, step, "doc_id long, item long, passages array<struct<first: long, words: binary>>")
+
+
+def aligned(candidates: DataFrame) -> DataFrame:
+    """Smith-Waterman of joined candidates (doc_id, item_id, points, item_words, passages)."""
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for doc_id, item_id, points, words, passages in zip(*(c.to_pylist() for c in batch.columns)):
+            own = np.frombuffer(words, "<i4")
+            score, first, end = best_match(own, [(p["first"], np.frombuffer(p["words"], "<i4")) for p in passages])
+            if score >= points:
+                rows.append((doc_id, item_id, score / len(own), first, end))
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "first_word", "end_word"])
+
+    return map_batches(candidates.select("doc_id", "item_id", "points", "item_words", "passages"), step, SCHEMA)
+
+
+SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long"
+
+
 def find_copies(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """One row per document row and benchmark item that it copies: doc_id, item_id,
     score (alignment score over the item's length), first_word, end_word.
 
     A pass over all documents counts how many hold each word of the benchmark; the
-    rarest three quarters of each item's words are its seeds. A text with enough seeds
-    for the score, and a stretch dense enough in the item's words, is aligned with the
-    item (Smith-Waterman). Both bounds lose no alignment, whatever the counts are, so
-    the result is that of aligning every item with every text. An alignment counts if
-    it also reaches ``LEAST_WORDS`` points, which bears on items of under six words.
-    Nothing of the documents is shuffled.
+    rarest three quarters of each item's words are its seeds. In a second pass the seeds find passages
+    with enough of them for the score, and dense enough in the item's words; these passages
+    join the items, and what joins is aligned (Smith-Waterman). Both bounds lose no alignment,
+    whatever the counts are, so the result is that of aligning every item with every text. An
+    alignment counts if it also reaches ``LEAST_WORDS`` points, which bears on items of under
+    six words; items of one or two words have to be there word by word. Only passages are
+    joined; texts aren't shuffled.
 
     Null and empty texts match nothing; equal items are all reported; repeated rows
     give repeated results; null ids stay null; other columns are ignored; an empty
     table on either side gives an empty result.
     """
     docs = texts_of(df, id_col, text_col)
-    schema = "doc_id long, item_id long, score double, first_word long, end_word long"
-    out = None
+    spark, out = docs.sparkSession, None
     for items in prepared(docs, benchmark, least_score=least_score):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
-
-        def step(batch: pa.RecordBatch, sent=sent) -> pa.RecordBatch:
-            own: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for item, *found in matches_in(sent.value, sent.value.numbers(text)):
-                    own.append((doc_id, sent.value.ids[item], *found))
-            columns = list(zip(*own)) if own else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "score", "first_word", "end_word"])
-
-        found = map_batches(docs, step, schema)
+        rows = [(k, item_id, float(points), words.astype("<i4").tobytes()) for k, (item_id, points, words) in enumerate(zip(items.ids, items.points, items.words))]
+        block = spark.createDataFrame(rows, "item long, item_id long, points double, item_words binary")
+        found = aligned(seeded(docs, items).join(F.broadcast(block), "item"))  # a block, of BLOCK_WORDS at most
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return out if out is not None else spark.createDataFrame([], SCHEMA)
 
 
 def drop_copies(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``df``, with all their columns, that copy no benchmark item."""
+    """The rows of ``df``, with all their columns, whatever their names, that copy no
+    benchmark item. An item of under ``LEAST_WORDS`` words, which may stand in any text by chance,
+    convicts a text that has no other words. Rows with null and empty texts stay, as do
+    repeated rows and null ids; an empty benchmark drops nothing. The rows pass through in one
+    narrow stage for each block of the benchmark."""
     bounded_batches(df.sparkSession)
     at, out = df.columns.index(text_col), df
     for items in prepared(texts_of(df, id_col, text_col), benchmark, least_score=least_score):
         sent = df.sparkSession.sparkContext.broadcast(items)
 
+        def clean(text: str | None, items: Items) -> bool:
+            numbers = items.numbers(text)
+            return not any(len(items.words[k]) >= LEAST_WORDS or len(items.words[k]) == len(numbers) for k, *_ in matches_in(items, numbers))
+
         def run(batches, sent=sent):
             for batch in batches:
-                clean = [next(matches_in(sent.value, sent.value.numbers(t)), None) is None for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                yield batch.filter(pa.array([clean(t, sent.value) for t in batch.column(at).to_pylist()], pa.bool_()))
 
         out = out.mapInArrow(run, df.schema)
     return out

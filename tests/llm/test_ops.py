@@ -174,6 +174,54 @@ def test_quality_held_out(spark, sf_dir, odd, empty):
     assert kept.columns == odd.columns and kept.count() == quality.score(odd, ranking).where("predicted = 1").count()
 
 
+def plain_features(text):
+    """The features one by one, by counting."""
+    raw = (text or "").encode()
+    if not raw:
+        return [0.0] * len(quality.NAMES)
+    n, words, lines = len(raw), raw.split(), raw.split(b"\n")
+    share = lambda test: sum(map(test, raw)) / n
+    out = [np.log1p(n), share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122), share(lambda b: 48 <= b <= 57), share(lambda b: b == 32), share(lambda b: b > 127)]
+    out += [raw.count(c.encode()) / n for c in quality.MARKS]
+    if words:
+        kinds, rows = set(words), set(lines)
+        marks = b"!#$%&*+/<=>@[\\]^_`{|}~" + bytes(b for b in [*range(9), *range(14, 28), 127])
+        out += [np.log1p(len(words)), min(len(b"\n".join(kinds)) / len(kinds), 50), len(kinds) / len(words), max(map(words.count, kinds)) / len(words)]
+        out += [sum(a == b for a, b in zip(words, words[1:])) / len(words), sum(w[-1] in marks for w in words) / len(words), sum(len(w) > 1 and w.isupper() for w in words) / len(words)]
+        out += [len(rows) / len(lines), max(map(lines.count, rows)) / len(lines), np.log1p(n / len(lines)), min(len(words) / (1 + raw.count(b". ") + raw.count(b".\n")), 100)]
+    return out + [0.0] * (len(quality.NAMES) - len(out))
+
+
+def test_quality_against_brute_force(spark, sf_dir, docs):
+    """Features by counting; weights at the least loss; the threshold at the classes' quantile; the query's scores from these."""
+    small = [t for t in docs["text"] if len(t) < 3000][:60] + [None, "", " \n", "A"]
+    for text in small:
+        assert np.allclose(quality.features_of(text or ""), plain_features(text)), text
+    labels = pd.read_parquet(f"{sf_dir}/labels.parquet").sort_values("doc_id")
+    labels = labels[[zlib.crc32(str(k).encode()) % 3 != 1 for k in labels["doc_id"]]]
+    by_id = dict(zip(docs["doc_id"], docs["text"]))
+    x, y = np.array([quality.features_of(by_id[k]) for k in labels["doc_id"]]), labels["quality"].to_numpy()
+    ranking = quality.fit_ranking(x, y)
+    z = np.clip((x - ranking.mean) / ranking.scale, -8, 8)
+    rng = np.random.default_rng(7)
+    good, poor = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    difference = z[rng.choice(good, quality.PAIRS)] - z[rng.choice(poor, quality.PAIRS)]
+    loss = lambda w: np.logaddexp(0, -difference @ w).mean() + 5e-4 * w @ w
+    least = loss(ranking.weights)
+    for _ in range(20):
+        assert loss(ranking.weights + np.random.default_rng().normal(0, 0.05, len(ranking.weights))) > least
+    assert (z @ ranking.weights < ranking.threshold).sum() == len(poor)
+    got = {r["doc_id"]: r["score"] for r in quality.op2_quality(spark, sf_dir).collect()}
+    assert all(np.isclose(got[k], ranking.scores(quality.features_of(by_id[k])[None])[0], atol=1e-6) for k in by_id)
+
+
+def test_quality_fit_is_the_same_for_repeated_ids(spark, odd):
+    docs = spark.createDataFrame([(k % 40, f"text {k} " * (k % 7 + 1)) for k in range(160)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 40, k % 2) for k in range(80)] + [(1, 0), (1, 1), (None, 1)], "doc_id long, quality int")
+    one, two = quality.fit(docs, labels), quality.fit(docs.repartition(5), labels.repartition(3))
+    assert np.array_equal(one.weights, two.weights) and one.threshold == two.threshold
+
+
 def test_quality_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in quality.score(odd, quality.fit(odd, none)).collect()} == {1}
@@ -445,6 +493,7 @@ def test_decontaminate(spark):
     benchmark = spark.createDataFrame([*items, (None, "x"), (7, None), (8, "one two")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(df, benchmark).collect()}
     want = plain_copies(docs, items, decontaminate.LEAST_SCORE)
+    want |= {(k, 8) for k, t in docs if "one two" in " ".join(decontaminate.words_of(t))}
     assert got == want and len(want) > 15
     left = decontaminate.drop_copies(df, benchmark)
     assert left.columns == df.columns
@@ -489,6 +538,30 @@ def test_edited_by_chance_in_many_documents(spark):
     assert 5 < len(one) < 40 and got == {(item * 40 + k, item) for item in one for k in range(40)}
 
 
+def test_short_items_are_matched_word_by_word(spark):
+    docs = [(1, "One, TWO"), (2, "say one two three"), (3, "one or two"), (4, "paris"), (5, "Paris is big"), (6, None), (7, "")]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, "one two"), (2, "Paris!"), (3, "..."), (4, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.find_copies(df, benchmark).collect()}
+    assert got == {(1, 1, 1.0), (2, 1, 1.0), (4, 2, 1.0), (5, 2, 1.0)}
+    assert {r["doc_id"] for r in decontaminate.drop_copies(df, benchmark).collect()} == {2, 3, 5, 6, 7}
+
+
+def test_words_are_runs_of_letters_and_digits():
+    rng = random.Random(7)
+    for _ in range(2000):
+        text = "".join(rng.choice("aB1_ -.,\té日İ²\u0307\xa0ſ¼٣\x1c") for _ in range(rng.randint(0, 12)))
+        assert decontaminate.words_of(text) == re.findall(r"[^\W_]+", text.lower())
+    assert decontaminate.words_of(None) == []
+
+
+def test_copies_keep_columns_that_clash(spark):
+    rows = [(1, "w1 w2 w3 w4 w5", 7, b"x", 1.0, None), (None, None, None, None, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, item long, words binary, points double, first long")
+    benchmark = spark.createDataFrame([(1, "w1 w2 w3 w4")], "item_id long, text string")
+    assert decontaminate.drop_copies(df, benchmark).collect() == df.where("doc_id is null").collect()
+    assert [(r["doc_id"], r["item_id"], r["first_word"], r["end_word"]) for r in decontaminate.find_copies(df, benchmark).collect()] == [(1, 1, 0, 4)]
+
+
 def test_benchmark_comes_in_blocks(spark):
     benchmark = spark.createDataFrame([(k, "a b c d e") for k in range(10)], "item_id long, text string")
     assert [len(x.ids) for x in decontaminate.benchmark_blocks(benchmark, block_words=20)] == [4, 4, 2]
@@ -512,8 +585,8 @@ def test_benchmark_comes_in_blocks(spark):
 def test_url_filter(spark, url, host, path, rule, verdict):
     own, rest = url_filter.split_url(url)
     assert (own, rest) == (host, path)
-    n_strict, n_soft = url_filter.count_terms(url, url_filter.STRICT, url_filter.SOFT)
-    found = url_filter.matched_rule(own, rest, url_filter.RULES) or (None, "block" if n_strict or n_soft >= 2 else "allow")
+    weight = sum(url_filter.found_terms(url, tuple(url_filter.default_terms().items())).values())
+    found = url_filter.matched_rule(own, rest, url_filter.RULES) or (None, "block" if weight >= 1 else "allow")
     assert found == (rule, verdict)
 
 
@@ -522,6 +595,12 @@ def test_url_filter_table(spark):
     got = rows_of(url_filter.filter_urls(pages).select("page_id", "verdict"))
     assert got == sorted([(1, "allow"), (None, "block"), (2, "allow"), (2, "allow")], key=repr)
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    terms = spark.createDataFrame([("Ape", 0.4), ("ape", 0.2), ("bee", 0.4), ("cat", 0.2), ("dog", 1.0), (None, 1.0), ("", 1.0), ("elk", 0.0)], "term string, weight double")
+    urls = ["http://x/ape", "http://x/ape-ape", "http://x/ape-BEE", "http://x/ape.bee.cat", "http://dog", "http://x/elk"]
+    got = url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), terms=terms)
+    assert {r["page_id"]: (r["verdict"], round(r["weight"], 6), r["n_strict"]) for r in got.collect()} == {0: ("allow", 0.4, 0), 1: ("allow", 0.4, 0), 2: ("allow", 0.8, 0), 3: ("block", 1.0, 0), 4: ("block", 1.0, 1), 5: ("allow", 0, 0)}
+    rules = (("a.com/x", "allow"), ("a.com/x", "block"))
+    assert url_filter.matched_rule("a.com", "/x", rules) == ("a.com/x", "allow")
 
 
 # -- 9
