@@ -12,8 +12,9 @@ from countloom.llm.common import fresh_path, saved, table
 SHARDS, OLD_SHARDS = 24, 16
 #: Bytes of a block, the unit of transfers, and blocks of an old shard at least.
 BLOCK_BYTES, LEAST_BLOCKS = 32 << 20, 64
-#: A group of equal texts stays whole unless it is larger than this share of a shard.
-GROUP_SHARE = 0.05
+#: Groups of equal texts above this share of a shard, in bytes or rows, are placed and numbered one by
+#: one; there are fewer than shards / LARGE_SHARE of either.
+LARGE_SHARE = 0.05
 
 
 def least_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -82,43 +83,72 @@ def sized(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+def whole_places(groups: list[tuple[int, int, int]], capacity: list[int]) -> dict[int, int]:
+    """Shards of large groups (text_hash, old shard, bytes) that stay whole, the largest first:
+    where they are if there is room, else where most room is. A group that passes the room
+    of every shard has no place here: it has to be split."""
+    room, out = list(capacity), {}
+    for text_hash, old, size in sorted(groups, key=lambda g: (-g[2], g[0])):
+        best = old if old < len(room) and room[old] >= size else max(range(len(room)), key=lambda k: (room[k], -k))
+        if room[best] >= size:
+            room[best] -= size
+            out[text_hash] = best
+    return out
+
+
 class Placement:
     """Which shard a row goes to, as column expressions: no join with the texts.
 
-    An old shard is a sequence of blocks, a block a sequence of units in order of
-    (text_hash, part). A unit is a group of equal texts, or a part of a group that is too
-    large to stay whole. The flow cuts every sequence at a few places; each cut is a
-    key, and a row's shard follows from comparing its key with the cuts.
+    ``rows``: doc_id, size, text_hash and old, the number of the row's shard so far. An old shard is
+    a sequence of blocks, a block a sequence of units in order of (text_hash, part). A unit is the rows of
+    an old shard with one text. Large groups of equal texts are placed whole, each by itself, as long as a
+    shard has room; what passes that is split into parts. The flow then cuts every sequence
+    at a few places; each cut is a key, and a row's shard follows from comparing its key with
+    the cuts.
+
+    ``least_moved`` is the flow's cost: the fewest bytes of what isn't placed whole that can change shards.
     """
 
     def __init__(self, rows: DataFrame, shards: int, old_shards: int):
         self.shards, self.old_shards = shards, old_shards
-        groups = saved(rows.groupBy("text_hash").agg(F.sum("size").alias("bytes")), "groups")
-        self.total = int(groups.agg(F.sum("bytes")).first()[0] or 0)
+        groups = saved(rows.groupBy("text_hash").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.min("old").alias("old")), "groups")
+        totals = groups.agg(F.sum("bytes"), F.sum("n")).first()
+        self.total, n_rows = int(totals[0] or 0), int(totals[1] or 0)
         self.blocks = max(LEAST_BLOCKS, -(-self.total // (BLOCK_BYTES * old_shards)))
-        most = max(1, int(GROUP_SHARE * self.total / shards))
-        # fewer than shards / GROUP_SHARE groups can be that large
-        hot = groups.where(F.col("bytes") > most).select("text_hash", F.ceil(F.col("bytes") / most).cast("int").alias("parts")).collect()
-        self.hot = {row["text_hash"]: row["parts"] for row in hot}
+        most, most_rows = max(1, int(LARGE_SHARE * self.total / shards)), max(1, int(LARGE_SHARE * n_rows / shards))
+        large = groups.where((F.col("bytes") > most) | (F.col("n") > most_rows)).collect()  # a bounded number: see LARGE_SHARE
+        capacity = even_capacities(self.total, shards)
+        heavy = [(r["text_hash"], r["old"], r["bytes"]) for r in large if r["bytes"] > most]
+        self.whole = whole_places(heavy, capacity)
+        self.split = {text_hash: -(-size // most) for text_hash, _, size in heavy if text_hash not in self.whole}
+        self.turns = {r["text_hash"]: -(-r["n"] // most_rows) for r in large if r["n"] > most_rows}
         self.rows = self._keyed(rows)
-        units = saved(self.rows.groupBy("old", "block", "text_hash", "part").agg(F.sum("size").alias("bytes")), "units")
+        units = saved(self.rows.where(F.col("fixed").isNull()).groupBy("old", "block", "text_hash", "part").agg(F.sum("size").alias("bytes")), "units")
         blocks = units.groupBy("old", "block").agg(F.sum("bytes").alias("bytes"))
         before = Window.partitionBy("old").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         blocks = saved(blocks.select("old", "block", "bytes", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("before")), "blocks")
         supply = {row["old"]: int(row["bytes"]) for row in blocks.groupBy("old").agg(F.sum("bytes").alias("bytes")).collect()}  # a row an old shard
-        self.flow = least_cost_flow([supply.get(k, 0) for k in range(old_shards)], even_capacities(self.total, shards))
+        room = list(capacity)
+        for text_hash, _, size in heavy:
+            if text_hash in self.whole:
+                room[self.whole[text_hash]] -= size
+        self.flow = least_cost_flow([supply.get(k, 0) for k in range(old_shards)], room)
+        self.least_moved = sum(n for (a, b), n in self.flow.items() if a != b)
         self.cuts = self._cuts(units, blocks)
 
     def _keyed(self, rows: DataFrame) -> DataFrame:
-        part = F.lit(0)
-        if self.hot:
-            parts = F.create_map(*(F.lit(x) for pair in self.hot.items() for x in pair))
-            part = F.coalesce(F.pmod(F.xxhash64("doc_id"), parts[F.col("text_hash")]), F.lit(0))
+        def listed(values: dict[int, int]) -> Column:
+            if not values:
+                return F.lit(None).cast("int")
+            return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("text_hash")].cast("int")
+
+        own = F.xxhash64("doc_id")
         return rows.withColumns(
             {
-                "old": F.pmod("text_hash", F.lit(self.old_shards)).cast("int"),
                 "block": F.pmod(F.shiftright("text_hash", 16), F.lit(self.blocks)).cast("int"),
-                "part": part.cast("int"),
+                "part": F.coalesce(F.pmod(own, listed(self.split)), F.lit(0)).cast("int"),
+                "fixed": listed(self.whole),
+                "turn": F.coalesce(F.pmod(F.shiftright(own, 20), listed(self.turns)), F.lit(0)).cast("int"),
             }
         )
 
@@ -160,45 +190,78 @@ class Placement:
                 )
                 inner = F.when(here, dest).otherwise(inner)
             chosen = F.when(F.col("old") == old, inner).otherwise(chosen)
-        return chosen
+        return F.coalesce("fixed", chosen)
+
+
+RUN = ["shard", "old", "block", "part", "turn"]
+COLUMNS = ["doc_id", "text", "size", "text_hash", "old", "block", "part", "turn", "split", "shard"]
+
+
+def _moves(rows: DataFrame, shards: int, old_shards: int) -> tuple[DataFrame, Placement]:
+    placement = Placement(rows, shards, old_shards)
+    placed = placement.rows.withColumns({"shard": placement.shard(), "split": F.col("text_hash").isin(*placement.split) if placement.split else F.lit(False)})
+    return placed.select(*COLUMNS), placement
 
 
 def reshard(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, old_shards: int = OLD_SHARDS) -> DataFrame:
-    """doc_id, text, size, shard, old, block, part of every row in its new shard.
+    """doc_id, text, size, text_hash, old, block, part, turn, split, shard of every row in its new shard.
 
-    The old layout deals texts to ``old_shards`` by hash. The minimum-cost flow from
-    the old sizes to equal capacities says how many bytes each old shard sends where;
-    rows that leave are rewritten into files of their new shard, in the shared folder, and
-    rows that stay are read where they are. New sizes differ from the
-    capacity by half a unit for each of the few cuts that touch the shard.
+    For a table that has no shards yet: the old layout deals texts to ``old_shards`` by hash (a
+    sharded folder is ``reshard_files``'s). The minimum-cost flow from the old sizes to equal
+    capacities says how many bytes each old shard sends where; rows that leave are rewritten into
+    files of their new shard, in the shared folder, and rows that stay are read where they are. New sizes
+    differ from the capacity by half a unit for each of the few cuts that touch the shard.
 
-    Equal texts share a shard unless they pass ``GROUP_SHARE`` of one. A null text
-    counts as empty. Null ids and repeated rows are placed like any other; other
+    Equal texts share a shard unless no shard has room for all of them: then ``split`` says so. A null
+    text counts as empty. Null ids and repeated rows are placed like any other; other
     columns are ignored; an empty table gives an empty result.
     """
-    rows = sized(df, id_col=id_col, text_col=text_col)
-    placement = Placement(rows, shards, old_shards)
-    placed = placement.rows.withColumn("shard", placement.shard())
-    columns = ["doc_id", "text", "size", "text_hash", "old", "block", "part"]
-    stay = placed.where(F.col("shard") == F.col("old")).select(*columns, "shard")
+    rows = sized(df, id_col=id_col, text_col=text_col).withColumn("old", F.pmod("text_hash", F.lit(old_shards)).cast("int"))
+    placed, _ = _moves(rows, shards, old_shards)
+    stay = placed.where(F.col("shard") == F.col("old"))
     path = fresh_path(df.sparkSession, "moved")
-    moved = placed.where(F.col("shard") != F.col("old")).select(*columns, "shard")
+    moved = placed.where(F.col("shard") != F.col("old"))
     # files of one shard come from few tasks; a shard's bytes are spread over its blocks
-    moved.repartition("shard", "old", "block", "part").write.partitionBy("shard").parquet(path)
-    schema = moved.schema
-    return stay.unionByName(df.sparkSession.read.schema(schema).parquet(path).select(*columns, "shard"))
+    moved.repartition(*RUN).write.partitionBy("shard").parquet(path)
+    return stay.unionByName(df.sparkSession.read.schema(moved.schema).parquet(path).select(*COLUMNS))
+
+
+def reshard_files(spark: SparkSession, path: str, out: str, shards: int, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict]:
+    """Reshards the Parquet folder ``path`` (a folder ``shard=K`` for each old shard K from 0, all with
+    the same columns) into ``shards`` shards.
+
+    Old sizes are read from the files. Shards that the flow leaves as they are stay where they are, as
+    files; of the others the new contents, rows that stay and rows that come, are written to
+    ``out/shard=K``. Returns the table read from both, with all columns and shard, and a report: moved
+    bytes, the least that can be moved, the shards left alone and those written.
+    """
+    rows_in = spark.read.parquet(path)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = {"doc_id": F.col(id_col).cast("long"), "size": (F.octet_length(text) + 8).cast("long"), "text_hash": F.xxhash64(text), "old": F.col("shard").cast("int")}
+    rows = rows_in.select(*(column.alias(name) for name, column in keys.items()))
+    old_shards = 1 + (rows_in.agg(F.max("shard").cast("int")).first()[0] or 0)
+    placement = Placement(rows, shards, old_shards)
+    data = [c for c in rows_in.columns if c != "shard"]
+    whole = rows_in.select(F.struct(*data).alias("row_data"), *(column.alias(name) for name, column in keys.items()))
+    placed = placement._keyed(whole).withColumn("shard", placement.shard()).select("row_data", "old", "block", "part", "turn", "size", "shard")
+    flows = placed.groupBy("old", "shard").agg(F.sum("size").alias("bytes")).collect()  # old times new shards at most
+    touched = {k for r in flows if r["old"] != r["shard"] for k in (r["old"], r["shard"])}
+    alone = sorted({r["old"] for r in flows} - touched)
+    written = sorted({r["shard"] for r in flows} & touched)
+    changed = placed.where(F.col("shard").isin(*written)) if written else placed.limit(0)
+    changed.repartition(*RUN).select("row_data.*", "shard").write.partitionBy("shard").parquet(out)
+    report = {"moved": sum(r["bytes"] for r in flows if r["old"] != r["shard"]), "least_moved": placement.least_moved, "left_alone": alone, "written": written}
+    left = rows_in.where(F.col("shard").isin(*alone)) if alone else rows_in.limit(0)
+    return left.unionByName(spark.read.schema(rows_in.schema).parquet(out)) if written else left, report
 
 
 def op9_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reshard(table(spark, sf_dir, "documents")).select(
-        "doc_id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "shard", "old", "block", "part", "text_hash"
-    )
+    rows = reshard(table(spark, sf_dir, "documents")).select("doc_id", "size", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), *RUN, "text_hash", "split")
     rows = saved(rows, "placed")
-    run = ["shard", "old", "block", "part"]
-    counts = rows.groupBy(*run).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("shard").orderBy("old", "block", "part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*run, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = F.row_number().over(Window.partitionBy(*run).orderBy("text_hash", "doc_id")) - 1
-    return rows.withColumn("place", place).join(offsets, run).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    counts = rows.groupBy(*RUN).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy(*RUN[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*RUN, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*RUN).orderBy("text_hash", "doc_id")) - 1
+    return rows.withColumn("place", place).join(offsets, RUN).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "split"
     )

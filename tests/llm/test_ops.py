@@ -637,14 +637,66 @@ def test_reshard(spark, sf_dir, docs, odd, empty):
 
 
 def test_shards_are_even_and_groups_stay_whole(spark):
+    """One group is larger than a shard; another is a fifth of one and stays whole; empty texts are a third of all rows."""
     rng = random.Random(8)
     rows = [(k, f"text {rng.randrange(3000)} " + "x" * rng.randrange(30)) for k in range(6000)] + [(10_000 + k, "one very frequent text") for k in range(3000)]
-    got = reshard.reshard(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    rows += [(20_000 + k, "a frequent text") for k in range(120)] + [(30_000 + k, None) for k in range(4500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = reshard.reshard(df).toPandas()
     sizes = got.groupby("shard")["size"].sum()
     assert len(got) == len(rows) and len(sizes) == 24
     assert sizes.max() / sizes.mean() < 1.06 and sizes.min() / sizes.mean() > 0.94
     spread = got.groupby("text")["shard"].nunique()
-    assert set(spread.index[spread > 1]) <= {"one very frequent text"}
+    cut = set(got.loc[got["split"], "text"])
+    assert set(spread.index[spread > 1]) == cut <= {"one very frequent text", ""} and "one very frequent text" in cut
+    assert got.groupby(reshard.RUN).size().max() < 0.1 * len(rows)  # no group is numbered in one piece
+
+
+def test_large_groups_are_placed_where_there_is_room():
+    assert reshard.whole_places([(1, 0, 50), (2, 0, 60), (3, 5, 70), (4, 1, 101)], [100, 100]) == {3: 0, 2: 1}
+    assert reshard.whole_places([(1, 1, 50), (2, 1, 60)], [100, 100]) == {2: 1, 1: 0}
+
+
+def test_placement_against_brute_force(spark):
+    """Each row's shard by walking the units of its old shard one by one."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(k, f"{rng.randrange(900)} " + "y" * rng.randrange(60)) for k in range(4000)], "doc_id long, text string")
+    rows = reshard.sized(df).withColumn("old", reshard.F.pmod("text_hash", reshard.F.lit(5)).cast("int"))
+    placement = reshard.Placement(rows, 7, 5)
+    got = placement.rows.withColumn("shard", placement.shard()).toPandas()
+    total, want = int(got["size"].sum()), {}
+    assert placement.least_moved == plain_least_moved(got.groupby("old")["size"].sum().tolist(), reshard.even_capacities(total, 7)) and not placement.whole
+    for old, own in got.groupby("old"):
+        pieces = [[dest, n] for (a, dest), n in sorted(placement.flow.items(), key=lambda x: (x[0][0] != x[0][1], x[0])) if a == old]
+        ends = np.cumsum([n for _, n in pieces])
+        at = 0
+        for key, unit in own.groupby(["block", "text_hash", "part"]):
+            middle = at + unit["size"].sum() / 2
+            want[old, key] = pieces[min(int(np.searchsorted(ends, middle, "left")), len(pieces) - 1)][0]
+            at += unit["size"].sum()
+    keys = zip(got["old"], zip(got["block"], got["text_hash"], got["part"]), got["shard"])
+    assert all(want[old, key] == shard for old, key, shard in keys)
+    moved = got.loc[got["shard"] != got["old"], "size"].sum()
+    assert abs(moved - placement.least_moved) < 0.02 * total
+
+
+def test_reshard_files(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, f"{k} " + "z" * rng.randrange(50), k % 7, "x") for k in range(3000)]
+    shard_of = lambda k: 0 if k < 700 else 1 if k < 1400 else 2 if k < 1410 else 3
+    df = spark.createDataFrame([(*r, shard_of(r[0])) for r in rows], "doc_id long, text string, size long, old string, shard int")
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/new"
+    df.repartition(3).write.partitionBy("shard").parquet(old)
+    before = {f: f.stat().st_mtime for f in tmp_path.glob("old/*/*.parquet")}
+    got, report = reshard.reshard_files(spark, old, new, 4)
+    assert got.columns == df.columns and sorted(map(tuple, got.drop("shard").collect())) == sorted(rows)
+    sizes = got.groupBy("shard").agg(reshard.F.sum(reshard.F.octet_length("text") + 8).alias("n")).toPandas()["n"]
+    assert len(sizes) == 4 and sizes.max() / sizes.min() < 1.02
+    assert abs(report["moved"] - report["least_moved"]) < 0.02 * sizes.sum()
+    assert before == {f: f.stat().st_mtime for f in tmp_path.glob("old/*/*.parquet")}
+    again, report = reshard.reshard_files(spark, new, f"file://{tmp_path}/newer", 4)
+    assert again.count() == len(rows) and report["moved"] < 0.02 * sizes.sum()
+    assert set(report["left_alone"]) | set(report["written"]) == {0, 1, 2, 3}
 
 
 # -- 10
