@@ -1,6 +1,7 @@
 """Each stage of the pipeline against brute force on its own input."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,20 @@ from countloom.llm import decontaminate, quality
 from tests.llm.test_ops import plain_components, plain_copies, plain_fingerprint
 
 
+def test_stages_on_odd_tables(spark, sf_dir):
+    """Nulls in every column, repeated rows, ties, columns with clashing names, an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sha string, gone_id long, item long, score double"
+    rows = [(1, None, None, None, None, None, None, None, None), (None, None, "x", None, 1, "s", 1, 1, 1.0), (None, "some words here to read", None, "y", 2, None, 2, 2, None)]
+    rows += [(2, "some words here to read", None, None, 3, "s", None, None, None)] * 2 + [(3, "", "a", "b", 4, "t", 3, 3, 0.0), (4, "long " * 30_000, "a", "b", 5, None, 4, 4, 0.5)]
+    docs = spark.createDataFrame(rows, schema)
+    for (name, stage), left in zip(corpus_pipeline.STAGES, (None, 3, 3, 7, 7)):
+        out, none = stage(spark, docs, sf_dir), stage(spark, docs.limit(0), sf_dir)
+        assert none.count() == 0
+        found = Counter(map(tuple, out.collect()))
+        assert name == "bpe" or (out.columns == docs.columns and not found - Counter(rows))
+        assert left is None or found.total() == left, name
+
+
 def test_pipeline(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns
