@@ -12,6 +12,7 @@ from countloom.plans.queries_series import COMPLETE, ESTIMATES, N_DRAWS, RUNS, S
 from countloom.plans.queries_time import SPAN_LOSERS, sql_month_of_week
 from countloom.plans.registry import query
 from countloom.sources import views
+from countloom.sources.shared import saved
 from countloom.sources.views import DAILY, EXTERNAL, WEEKLY, WEEKLY_SOURCES, sql_epi_week, sql_epi_year, sql_week_start, sql_weeks
 
 _W1 = f"""{SCALED}, ex AS (SELECT r.series, r.year, r.t_res, r.start_date, r.end_date, CAST(sum(r.value) AS BIGINT) AS value FROM reports r
@@ -81,6 +82,18 @@ def w0_clean_weekly(spark, sf_dir):
     return jobs.clean_weekly(views.weekly_sources(spark, sf_dir)).select("series", "start_date", "source", "value")
 
 
+_CLEAN = f"""{WEEKLY_SOURCES}, allowed AS (SELECT *, series AS full_name FROM weekly_sources WHERE NOT (year = 1996 AND source LIKE 'G%')), {SPAN_LOSERS.replace('weekly_sources', 'allowed')},
+  kept AS (SELECT * FROM allowed w WHERE NOT EXISTS (SELECT 1 FROM losers l WHERE l.series = w.series AND l.year = w.year AND l.source = w.source AND l.t_res = w.t_res AND w.start_date >= l.a AND w.end_date <= l.b))"""
+
+
+@query(f"WITH {_CLEAN} SELECT full_name, year, start_date, t_res, source, value FROM kept QUALIFY row_number() OVER (PARTITION BY full_name, t_res, start_date, end_date ORDER BY value DESC, source) = 1")
+def w0_clean_reports(spark, sf_dir):
+    """Rules, years at the turn, sources that lose over a span, then the largest report."""
+    reports = saved(views.weekly_sources(spark, sf_dir).withColumn("full_name", F.col("series")), "sources")
+    rules = spark.createDataFrame([(None, 1996, None, None, None, "G%")], "series string, year int, t_res string, from_date date, to_date date, source_like string")
+    return jobs.clean_reports(reports, rules).select("full_name", "year", "start_date", "t_res", "source", "value")
+
+
 def _sources(spark, sf_dir):
     """Weekly, monthly and annual counts of a third of the nations each; half of the
     first third reports every other month too."""
