@@ -30,7 +30,8 @@ SYLLABLES = {
 }
 
 _KEYWORDS = "token|password|passwd|pwd|secret|api[_-]?key"
-_PLAIN_KEYWORDS = ("token", "passw", "pwd", "secret", "api")
+#: A text with an entity but without digits, an at sign or a title holds one of these in small letters.
+_PLAIN_KEYWORDS = ("token", "passw", "pwd", "secret", "api", "akia", "asia")
 _ENTITY = re.compile(
     rf"""(?:\b(?:{_KEYWORDS})["']?\s{{0,3}}[:=]\s{{0,3}}(?:"(?P<secret2>[^"\r\n]+)"|'(?P<secret1>[^'\r\n]+)'|["']?(?P<secret>\S+)))"""
     r"""|(?P<access>(?<![a-z0-9])(?:akia|asia)[a-z0-9]{16}(?![a-z0-9]))"""
