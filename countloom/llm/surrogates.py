@@ -29,11 +29,14 @@ SYLLABLES = {
     "greek": ("βα βε γα δα δε κα κε λα λε λι λο μα με μι να νε νι πα πε ρα ρε ρο σα σε τα τε τι το".split(), {"f": ["να", "ρα", "λια", "τη"], "m": ["ρος", "νος", "λης", "τας"], "n": ["δης", "κος", "ρης", "λος"]}),
 }
 
-_KEYWORDS = "token|password|passwd|pwd|secret|api[_-]?key"
+#: Whatever stands before a keyword (db_password, clientSecret) belongs to its name, as does a key behind it (secret_access_key).
+_KEYWORDS = "(?:token|password|passwd|pwd|secret|api[_-]?key)(?:[_-]?(?:access[_-]?)?key)?"
 #: A text with an entity but without digits, an at sign or a title holds one of these in small letters.
-_PLAIN_KEYWORDS = ("token", "passw", "pwd", "secret", "api", "akia", "asia")
+_PLAIN_KEYWORDS = ("token", "passw", "pwd", "secret", "api", "akia", "asia", "authorization", "private key-----")
 _ENTITY = re.compile(
-    rf"""(?:\b(?:{_KEYWORDS})["']?\s{{0,3}}[:=]\s{{0,3}}(?:"(?P<secret2>[^"\r\n]+)"|'(?P<secret1>[^'\r\n]+)'|["']?(?P<secret>\S+)))"""
+    rf"""(?:{_KEYWORDS}["']?\s{{0,3}}[:=]\s{{0,3}}(?:"(?P<secret2>[^"\r\n]+)"|'(?P<secret1>[^'\r\n]+)'|["']?(?P<secret>\S+)))"""
+    r"""|(?:authorization["']?\s{0,3}[:=]\s{0,3}["']?(?:bearer|basic|token)\s{1,3}(?P<header>[^\s"']+))"""
+    r"""|(?:-----begin\ (?:[a-z]+\ ){0,3}private\ key-----(?P<pem>[^-]+)-----end)"""
     r"""|(?P<access>(?<![a-z0-9])(?:akia|asia)[a-z0-9]{16}(?![a-z0-9]))"""
     r"""|(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8})"""
     r"""|(?P<iban>(?<!\w)[a-z]{2}[0-9]{2}(?:\ ?[a-z0-9]{4}){2,7}(?:\ ?[a-z0-9]{1,3})?(?!\w))"""
@@ -56,6 +59,8 @@ LEAST_SECRET = 8
 #: Attempts that keep the length of an entity, where short ones may run out, and that keep
 #: a number's format and take no real entity of the corpus.
 SAME_LENGTH, SAME_FORMAT = 4, 16
+#: Entities above this share of all mentions, fewer than its inverse, reach their mentions by a broadcast.
+HOT_SHARE = 0.001
 
 
 def _script(word: str) -> str | None:
@@ -86,8 +91,8 @@ def _marked(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
         kind = m.lastgroup
         start, end = m.span(kind)
         own = text[start:end]
-        if kind in ("secret", "secret1", "secret2", "access"):
-            if kind == "secret":
+        if kind in ("secret", "secret1", "secret2", "access", "header", "pem"):
+            if kind in ("secret", "header"):
                 own = own.rstrip(_TRAILING)
                 end = start + len(own)
             kind = "secret"
@@ -337,13 +342,15 @@ def replace_personal(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_
     The same entity gets the same surrogate in all documents, different ones
     different surrogates, and the key decides which. Detected: mail addresses, IP
     addresses of both families, phone, card, social-security and bank account numbers,
-    credentials (the whole quoted or unbroken value behind a keyword), names behind a
+    credentials (the whole quoted or unbroken value behind a keyword or in an authorization
+    header, private keys, access keys), names behind a
     title and their bare repetitions in the same text. A name's gender is settled once for
     all documents: that of its titles, neutral if they differ.
 
-    A single pass over all texts detects and writes; clean texts are read from there. Entities
-    are joined with their surrogates, and a text's surrogates by the number of
-    its row, so that neither a frequent entity nor a frequent text is one task's.
+    A single pass over all texts detects and writes; clean texts are read from there. Mentions
+    of the most frequent entities, fewer than 1 / ``HOT_SHARE``, get their surrogates from a
+    broadcast, the others by a join; a text's surrogates come by the number of
+    its row. So neither a frequent entity nor a frequent text is one task's.
 
     Null texts count as empty and hold nothing. Null ids stay null; repeated rows
     give repeated results; other columns are ignored; an empty table gives an empty result.
@@ -353,8 +360,14 @@ def replace_personal(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_
     each = dirty.select("row", F.explode("found").alias("m")).select("row", *(f"m.{name}" for name in (*ENTITY, "gender")))
     has = lambda g: F.max(F.when(F.col("gender") == g, 1).otherwise(0))
     settled = F.when(has("f") > has("m"), "f").when(has("m") > has("f"), "m").otherwise("n")
-    entities = saved(each.groupBy(*ENTITY).agg(settled.alias("gender")), "entities")
-    named = each.select("row", *ENTITY).distinct().join(assign(entities, key), ENTITY)
+    entities = saved(each.groupBy(*ENTITY).agg(settled.alias("gender"), F.count(F.lit(1)).alias("n")), "entities")
+    hot = F.col("n") > HOT_SHARE * (entities.agg(F.sum("n")).first()[0] or 0)
+    cores = assign(entities.drop("n"), key)
+    frequent = saved(cores.join(entities.where(hot).select(*ENTITY), ENTITY), "frequent")
+    own = F.array_distinct(F.transform("found", lambda m: F.struct(*(m[name].alias(name) for name in ENTITY))))
+    mine = dirty.select("row", F.explode(own).alias("m")).select("row", "m.*").join(F.broadcast(frequent), ENTITY, "left")
+    rare = mine.where("core is null").drop("core").join(cores, ENTITY)
+    named = mine.where("core is not null").unionByName(rare)
     by_row = named.groupBy("row").agg(F.collect_list(F.struct(*ENTITY, "core")).alias("own"))  # one text's entities
 
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
