@@ -65,23 +65,19 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = daily(spark, sf_dir)
     level = F.concat(F.lit("Admin"), F.pmod("part", F.lit(3)).cast("string"))
     week = cal.week_start("day")
-    kinds = F.array(
-        F.struct(F.lit("Week").alias("t_res"), week.alias("start_date"), F.date_add(week, 6).alias("end_date"), cal.epi_year("day").alias("year"), F.col("value")),
-        F.when(
-            F.col("flag").isin("A", "R"),
-            F.struct(F.lit("Month").alias("t_res"), F.to_date(F.trunc("day", "month")).alias("start_date"), F.last_day("day").alias("end_date"), F.year("day").alias("year"), F.col("value")),
-        ),
-        F.when(
-            F.col("flag") == "N",
-            F.struct(
-                F.lit("Year").alias("t_res"), F.make_date(F.year("day"), F.lit(1), F.lit(1)).alias("start_date"), F.make_date(F.year("day"), F.lit(12), F.lit(31)).alias("end_date"),
-                F.year("day").alias("year"), (F.col("value") * F.element_at(F.array(F.lit(1), F.lit(3), F.lit(10)), (F.pmod("nation_key", F.lit(3)) + 1).cast("int"))).cast("bigint").alias("value"),
-            ),
-        ),
-    )
-    rows = own.select(F.col("nation").alias("series"), F.when(level != "Admin0", F.col("series")).alias("unit"), level.alias("s_res"), "region", "source", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    first_day, factor = F.make_date(F.year("day"), F.lit(1), F.lit(1)), F.element_at(F.array(F.lit(1), F.lit(3), F.lit(10)), (F.pmod("nation_key", F.lit(3)) + 1).cast("int"))
+
+    def report(t_res: str, start, end, year, value):
+        return F.struct(F.lit(t_res).alias("t_res"), start.alias("start_date"), end.alias("end_date"), year.alias("year"), value.alias("value"))
+
+    weekly = report("Week", week, F.date_add(week, 6), cal.epi_year("day"), F.col("value"))
+    monthly = report("Month", F.to_date(F.trunc("day", "month")), F.last_day("day"), F.year("day"), F.col("value"))
+    annual = report("Year", first_day, F.make_date(F.year("day"), F.lit(12), F.lit(31)), F.year("day"), (F.col("value") * factor).cast("bigint"))
+    # chosen without a lambda, and sources kept as the codes of their one letter: all of it is generated code and hash aggregation
+    kinds = F.when(F.col("flag").isin("A", "R"), F.array(weekly, monthly)).when(F.col("flag") == "N", F.array(weekly, annual)).otherwise(F.array(weekly))
+    rows = own.select(F.col("nation").alias("series"), F.when(level != "Admin0", F.col("series")).alias("unit"), level.alias("s_res"), "region", "source", F.explode(kinds).alias("k"))
     keys = ["series", "unit", "s_res", "region", "k.t_res", "k.start_date", "k.end_date", "k.year"]
-    return rows.groupBy(*keys).agg(F.sum("k.value").alias("value"), F.min("source").alias("source"))
+    return rows.groupBy(*keys).agg(F.sum("k.value").alias("value"), F.char(F.min(F.ascii("source"))).alias("source"))
 
 
 REPORTS = f"""{DAILY}, lines AS (
