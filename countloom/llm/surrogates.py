@@ -33,17 +33,18 @@ SYLLABLES = {
 _KEYWORDS = "(?:token|password|passwd|pwd|secret|api[_-]?key)(?:[_-]?(?:access[_-]?)?key)?"
 #: A text with an entity but without digits, an at sign or a title holds one of these in small letters.
 _PLAIN_KEYWORDS = ("token", "passw", "pwd", "secret", "api", "akia", "asia", "authorization", "private key-----")
+#: Entities by their form. A look at the first character spares most places the alternatives.
 _ENTITY = re.compile(
-    rf"""(?:{_KEYWORDS}["']?\s{{0,3}}[:=]\s{{0,3}}(?:"(?P<secret2>[^"\r\n]+)"|'(?P<secret1>[^'\r\n]+)'|["']?(?P<secret>\S+)))"""
+    rf"""(?=[tpsa-])(?:(?:{_KEYWORDS}["']?\s{{0,3}}[:=]\s{{0,3}}(?:"(?P<secret2>[^"\r\n]+)"|'(?P<secret1>[^'\r\n]+)'|["']?(?P<secret>\S+)))"""
     r"""|(?:authorization["']?\s{0,3}[:=]\s{0,3}["']?(?:bearer|basic|token)\s{1,3}(?P<header>[^\s"']+))"""
     r"""|(?:-----begin\ (?:[a-z]+\ ){0,3}private\ key-----(?P<pem>[^-]+)-----end)"""
-    r"""|(?P<access>(?<![a-z0-9])(?:akia|asia)[a-z0-9]{16}(?![a-z0-9]))"""
+    r"""|(?P<access>(?<![a-z0-9])(?:akia|asia)[a-z0-9]{16}(?![a-z0-9])))"""
     r"""|(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63}){1,8})"""
     r"""|(?P<iban>(?<!\w)[a-z]{2}[0-9]{2}(?:\ ?[a-z0-9]{4}){2,7}(?:\ ?[a-z0-9]{1,3})?(?!\w))"""
-    r"""|(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"""
+    r"""|(?=[0-9+(])(?:(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"""
     r"""|(?P<phone>(?<![0-9+])\+[0-9]{1,3}[\ .-]?\(?[0-9]{2,4}\)?(?:[\ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\)\ ?[0-9]{3}[-.\ ][0-9]{4}(?![0-9])|(?<![0-9])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9]))"""
     r"""|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"""
-    r"""|(?P<card>(?<![0-9])(?:[0-9]{4}[\ -]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9]))""",
+    r"""|(?P<card>(?<![0-9])(?:[0-9]{4}[\ -]){3}[0-9]{4}(?![0-9])|(?<![0-9])[0-9]{13,19}(?![0-9])))""",
     re.I,
 )
 #: Addresses of eight groups, or with a double colon; what they hold is tested by ``ipaddress``.
