@@ -22,12 +22,14 @@ LEAST_EXAMPLES, LEAST_G = 3, 15.0
 NEAREST, BLOCK, SOFT = 15, 64, 0.05
 #: Word starts of these lengths are terms of their own, so that inflected and compound forms meet.
 STARTS = (5, 6, 7, 8)
+#: Words that begin or end with a character from here on are of scripts without blanks.
+WIDE = "⺀"
 _WORD = re.compile(r"\w+")
 
 
 def terms_of_word(word: str) -> list[str]:
     """The word, its starts, and, in scripts without blanks, its pairs of characters."""
-    if word[0] >= "⺀" or word[-1] >= "⺀":
+    if word[0] >= WIDE or word[-1] >= WIDE:
         return [word[k : k + 2] for k in range(max(len(word) - 1, 1))]
     return [word, *(f"{word[:k]}*" for k in STARTS if len(word) > k)]
 
@@ -42,27 +44,23 @@ def terms_of(text: str) -> Counter:
 
 
 class Lookup:
-    """Counts of the vocabulary's terms in texts; words once looked up are remembered."""
-
-    MOST_REMEMBERED = 100_000
+    """Counts of the vocabulary's terms in texts. Only words that begin like a term, or may be cut into pairs, are
+    looked at more closely."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.heads = vocabulary, {term.rstrip("*")[: STARTS[0]] for term in vocabulary}
 
     def __call__(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
         if not self.vocabulary:
             return out
-        if len(self.known) > self.MOST_REMEMBERED:
-            self.known.clear()
-        for word, times in Counter(_WORD.findall(text.lower())).items():
-            own = self.known.get(word)
-            if own is None:
-                own = [self.vocabulary[term] for term in terms_of_word(word) if term in self.vocabulary]
-                if len(word) <= 64:
-                    self.known[word] = own
-            for term in own:
-                out[term] = out.get(term, 0) + times
+        heads, first = self.heads, STARTS[0]
+        words = [word for word in _WORD.findall(text.lower()) if word[:first] in heads or word[0] >= WIDE or word[-1] >= WIDE]
+        for word, times in Counter(words).items():
+            for term in terms_of_word(word):
+                number = self.vocabulary.get(term)
+                if number is not None:
+                    out[number] = out.get(number, 0) + times
         return out
 
 
