@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from countloom.functions import calendar as cal
 from countloom.functions.numbering import running_before
 from countloom.functions.sums import share_of_null, strict_sum_over
-from countloom.sources.shared import saved
 
 
 def complete_weeks(df: DataFrame, *keys: str, start: str = "start_date", year: str = "year") -> DataFrame:
     """Every epiweek of each (key, year) that has data, with week and time_seq; weeks
     without data have nulls, and rows off the calendar stay with a null week.
 
-    The table is written once. Each row then makes the empty weeks between itself and the next row
-    of its (key, year): one window, no calendar and no join.
+    Each row makes the empty weeks between itself and the next row of its (key, year): one window, no
+    calendar, no join and nothing written. The first year, for ``time_seq``, is a scalar subquery over
+    the same table, which Spark leaves out where nobody reads the column.
     """
-    df = saved(df, "weeks")
-    first = df.agg(cal.epi_week_start(F.min(year), F.lit(1)).alias("_first"))
+    first = df.agg(cal.epi_week_start(F.min(year), F.lit(1)).alias("_first")).scalar()
     days, n = F.datediff(start, cal.epi_week_start(year, F.lit(1))), F.coalesce(cal.weeks_in_year(year), F.lit(0))
     own = df.withColumns({"_n": n, "_on": F.when((days % 7 == 0) & days.between(0, 7 * n - 1), (days / 7 + 1).cast("int"))})
     w = Window.partitionBy(*keys, year).orderBy(F.asc_nulls_last("_on"))
@@ -35,8 +35,8 @@ def complete_weeks(df: DataFrame, *keys: str, start: str = "start_date", year: s
     own = own.withColumn("_w", F.explode(F.concat(before, here, after)))
     columns = [F.col(c) if c in (*keys, year) else F.when(F.col("_w.own"), F.col(c)).alias(c) for c in df.columns if c != start]
     date = F.when(F.col("_w.own"), F.col(start)).otherwise(cal.epi_week_start(year, F.col("_w.week"))).alias(start)
-    out = own.select(*columns, date, F.col("_w.week").alias("week")).crossJoin(F.broadcast(first))  # one row
-    return out.withColumn("time_seq", F.when(F.col("week").isNotNull(), (F.datediff(start, F.col("_first")) / 7 + 1).cast("int"))).drop("_first")
+    out = own.select(*columns, date, F.col("_w.week").alias("week"))
+    return out.withColumn("time_seq", F.when(F.col("week").isNotNull(), (F.datediff(start, first) / 7 + 1).cast("int")))
 
 
 def complete_months(df: DataFrame, *keys: str, year: str = "year", month: str = "month") -> DataFrame:
@@ -67,17 +67,75 @@ def missing_share(df: DataFrame, *by: str, value: str = "value") -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share_of_null(value).alias("missing"))
 
 
-def with_runs(df: DataFrame, *keys: str, order: str, value: str = "value", reset: str | None = None) -> DataFrame:
-    """is_null, run_id (from 1) and run_len: runs of null and known values in order; a
-    change of ``reset`` begins a new run. Lag, running sum and length share one shuffle
-    and sort."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    own = df.withColumn("is_null", F.col(value).isNull())
-    begins = F.lag("is_null").over(w).isNull() | (F.lag("is_null").over(w) != F.col("is_null"))
+#: Numbers in order are cut into stretches of this length, dates into years.
+STRETCH = 52
+
+
+def _stretch_of(df: DataFrame, order: str) -> Column:
+    if isinstance(df.schema[order].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.year(order)
+    return F.floor(F.col(order) / STRETCH)
+
+
+def _cells(df: DataFrame, keys: tuple[str, ...], stretch: Column, order: str, value: str, reset: str | None) -> DataFrame:
+    """is_null, _key (keys and stretch; a struct, so that null keys meet too) and _k, the
+    number of the run within it, from 0."""
+    own = df.withColumns({"is_null": F.col(value).isNull(), "_key": F.struct(*keys, stretch.alias("_at"))})
+    w = Window.partitionBy("_key").orderBy(order)
+    changes = F.lag("is_null").over(w) != F.col("is_null")
+    if reset:
+        changes = changes | (F.lag(reset).over(w) != F.col(reset))
+    own = own.withColumn("_b", F.coalesce(changes, F.lit(False)).cast("int"))
+    return own.withColumn("_k", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
+
+
+def _pieces(cells: DataFrame, order: str, reset: str | None) -> DataFrame:
+    """One row a run within its stretch: its length, first and last in order."""
+    what = [F.count(F.lit(1)).alias("_len"), F.min(order).alias("first"), F.max(order).alias("last")]
     if reset:
-        begins = begins | (F.lag(reset).over(w) != F.col(reset))
-    own = own.withColumn("_begins", begins.cast("int")).withColumn("run_id", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return own.withColumn("run_len", F.count(F.lit(1)).over(Window.partitionBy(*keys, "run_id"))).drop("_begins")
+        what += [F.min_by(reset, order).alias("_ra"), F.max_by(reset, order).alias("_rz")]
+    return cells.groupBy("_key", "_k", "is_null").agg(*what)
+
+
+def _chained(pieces: DataFrame, keys: tuple[str, ...], reset: str | None) -> DataFrame:
+    """One row a stretch: _n (its last run's number), _base (number of its first run in the whole
+    series, from 0), and the ends' lengths and states. A first run that goes on from the stretch before has that
+    one's number. The window sees a row a stretch, not the cells."""
+    ends = [F.max("_k").alias("_n")]
+    for name in ("is_null", "_len", *(("_ra", "_rz") if reset else ())):
+        ends += [F.min_by(name, "_k").alias(f"{name}_a"), F.max_by(name, "_k").alias(f"{name}_z")]
+    own = pieces.groupBy("_key").agg(*ends).withColumn("_whole", F.struct(*(F.col("_key")[key].alias(key) for key in keys)))
+    w = Window.partitionBy("_whole").orderBy("_key._at")
+    goes_on = F.lag("is_null_z").over(w) == F.col("is_null_a")
+    if reset:
+        goes_on = goes_on & F.coalesce(F.lag("_rz_z").over(w) == F.col("_ra_a"), F.lit(True))
+    own = own.withColumn("_new", F.col("_n") + 1 - F.coalesce(goes_on, F.lit(False)).cast("int"))
+    upto = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("_base", upto - F.col("_n") - 1)
+
+
+def _with_end_lengths(chained: DataFrame) -> DataFrame:
+    """_head and _tail: whole lengths of the runs at a stretch's ends, added up over all stretches that they cross."""
+    one = F.struct(F.col("_base").alias("id"), F.col("_len_a").alias("len"), F.lit(True).alias("head"))
+    two = F.struct((F.col("_base") + F.col("_n")).alias("id"), F.when(F.col("_n") > 0, F.col("_len_z")).otherwise(0).alias("len"), F.lit(False).alias("head"))
+    ends = chained.select("_key", "_whole", "_n", "_base", F.explode(F.array(one, two)).alias("_e"))
+    ends = ends.withColumn("_total", F.sum("_e.len").over(Window.partitionBy("_whole", "_e.id")))
+    return ends.groupBy("_key", "_n", "_base").agg(F.max(F.when(F.col("_e.head"), F.col("_total"))).alias("_head"), F.max(F.when(~F.col("_e.head"), F.col("_total"))).alias("_tail"))
+
+
+def with_runs(df: DataFrame, *keys: str, order: str, value: str = "value", reset: str | None = None, stretch: Column | None = None) -> DataFrame:
+    """is_null, run_id (from 1) and run_len: runs of null and known values in order; a
+    change of ``reset`` begins a new run.
+
+    A scan in two levels: runs are numbered within stretches of the order (years of a date, else 52
+    numbers; ``stretch`` may be any column that never falls in the order), then the runs at the borders are merged on a
+    row a stretch. So an endless series is spread over as many tasks as it has stretches.
+    """
+    cells = _cells(df, keys, _stretch_of(df, order) if stretch is None else stretch, order, value, reset)
+    ends = _with_end_lengths(_chained(_pieces(cells, order, reset), keys, reset))
+    own = cells.withColumn("_len", F.count(F.lit(1)).over(Window.partitionBy("_key", "_k"))).join(ends, "_key")
+    length = F.when(F.col("_k") == 0, F.col("_head")).when(F.col("_k") == F.col("_n"), F.col("_tail")).otherwise(F.col("_len"))
+    return own.select(*df.columns, "is_null", (F.col("_base") + F.col("_k") + 1).alias("run_id"), length.alias("run_len"))
 
 
 def gap_ids(df: DataFrame, *keys: str, order: str, value: str = "value") -> DataFrame:
@@ -86,20 +144,25 @@ def gap_ids(df: DataFrame, *keys: str, order: str, value: str = "value") -> Data
     return own.withColumn("gap_id", F.when(F.col("is_null"), F.concat_ws("_", *keys, F.col("run_id").cast("string"))))
 
 
-def runs(df: DataFrame, *keys: str, order: str, value: str = "value", nulls_only: bool = True) -> DataFrame:
-    """One row a run: keys, run_id, is_null, run_len, first and last in order."""
-    own = with_runs(df, *keys, order=order, value=value).groupBy(*keys, "run_id", "is_null")
-    out = own.agg(F.count(F.lit(1)).alias("run_len"), F.min(order).alias("first"), F.max(order).alias("last"))
-    return out.where("is_null") if nulls_only else out
+def runs(df: DataFrame, *keys: str, order: str, value: str = "value", nulls_only: bool = True, reset: str | None = None, stretch: Column | None = None) -> DataFrame:
+    """One row a run: keys, run_id, is_null, run_len, first and last in order. As
+    ``with_runs``, without its rows: pieces of runs are aggregated in their stretch, and only those shuffled."""
+    pieces = _pieces(_cells(df, keys, _stretch_of(df, order) if stretch is None else stretch, order, value, reset), order, reset)
+    own = pieces.join(_chained(pieces, keys, reset).select("_key", "_base"), "_key")
+    own = own.select(*(F.col("_key")[key].alias(key) for key in keys), (F.col("_base") + F.col("_k") + 1).alias("run_id"), "is_null", "_len", "first", "last")
+    out = (own.where("is_null") if nulls_only else own).groupBy(*keys, "run_id", "is_null")
+    return out.agg(F.sum("_len").alias("run_len"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
 def fill_gaps(df: DataFrame, *keys: str, order: str = "time_seq", year: str = "year", value: str = "value", pred: str = "pred_mean", least: int = 1, most: int = 12) -> DataFrame:
     """``filled`` and ``filled_gap``: runs of ``least`` to ``most`` nulls take the
     prediction, where there is one. Runs end with the year, so the windows are on
     (key, year): a long series is spread over as many tasks as it has years."""
-    own = with_runs(df, *keys, year, order=order, value=value)
-    fill = F.col("is_null") & F.col("run_len").between(least, most) & F.col(pred).isNotNull()
-    return own.withColumns({"filled_gap": fill, "filled": F.when(fill, F.col(pred)).otherwise(F.col(value))}).drop("is_null", "run_id", "run_len")
+    own = _cells(df, keys, F.col(year), order, value, None)
+    length = F.count(F.lit(1)).over(Window.partitionBy("_key", "_k"))
+    fill = F.col("is_null") & length.between(least, most) & F.col(pred).isNotNull()
+    own = own.withColumn("filled_gap", fill).withColumn("filled", F.when(F.col("filled_gap"), F.col(pred)).otherwise(F.col(value)))
+    return own.select(*df.columns, "filled_gap", "filled")
 
 
 def data_pattern(df: DataFrame, *keys: str, year: str = "year", start: str = "start_date", value: str = "value") -> DataFrame:
