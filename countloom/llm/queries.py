@@ -11,13 +11,14 @@ from countloom.llm.reshard import op9_reshard
 from countloom.llm.simhash import op3_simhash
 from countloom.llm.surrogates import op10_surrogates
 from countloom.llm.token_counts import op1_token_counts
+from countloom.llm.toxicity import op12_toxicity
 from countloom.llm.url_filter import OP7_SQL, op7_url_filter
 from countloom.llm.warc import OP4_SQL, op4_warc
 from countloom.llm.whiten import op11_whiten
 
 _ALL = (
     op1_token_counts, op2_quality, op3_simhash, op4_warc, op5_exact_dedup, op6_decontaminate, op7_url_filter, op8_bpe, op9_reshard, op10_surrogates,
-    op11_whiten, op13_merkle,
+    op11_whiten, op12_toxicity, op13_merkle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 #: The others can't be put in SQL; ``tests/llm`` holds them against brute force.
