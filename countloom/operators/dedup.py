@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.functions.sums import strict_sum
+from countloom.operators.intervals import outside
 
 PERIOD = ("series", "start_date", "end_date")
 
@@ -37,12 +38,7 @@ def drop_losing_spans(df: DataFrame, t_res: str, *extra: str, place: str = "seri
     """Removes every record of a losing source that lies inside its span, for one
     resolution; other resolutions stay."""
     losers = losing_spans(df.where(F.col("t_res") == t_res), *extra, place=place)
-    r = losers.alias("r")
-    same = [F.col(f"d.{k}") == F.col(f"r.{k}") for k in ("series", "year", "t_res", *extra)]
-    rule = F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.start_date") >= F.col("r.first_date")) & (F.col("d.end_date") <= F.col("r.last_date"))
-    for one in same:
-        rule = rule & one
-    return df.alias("d").join(r, rule, "left_anti")
+    return outside(df, losers, on=("series", "year", "t_res", *extra), null_safe=("source",), low="first_date", high="last_date", width=366)
 
 
 def drop_smallest(df: DataFrame, *key: str, value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from countloom.operators.intervals import exclude  # noqa: F401
 from countloom.sources.tables import REPORT
 
 
@@ -59,25 +60,6 @@ def ambiguous_codes(df: DataFrame, *, iso: str = "iso", name: str = "series") ->
     return df.select(iso, name).distinct().groupBy(iso).agg(F.count(F.lit(1)).alias("n_names")).where("n_names > 1")
 
 
-def exclude(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drops rows that fit a rule. A rule's fields are series, year, t_res, from_date,
-    to_date and source_like; a null field fits everything, a null value nothing."""
-    r = rules.alias("r")
-
-    def fits(field: str, test: Column) -> Column:
-        return F.col(f"r.{field}").isNull() | F.coalesce(test, F.lit(False))
-
-    rule = (
-        fits("series", F.col("d.series") == F.col("r.series"))
-        & fits("year", F.col("d.year") == F.col("r.year"))
-        & fits("t_res", F.col("d.t_res") == F.col("r.t_res"))
-        & fits("from_date", F.col("d.start_date") >= F.col("r.from_date"))
-        & fits("to_date", F.col("d.end_date") <= F.col("r.to_date"))
-        & fits("source_like", F.expr("d.source LIKE r.source_like"))
-    )
-    return df.alias("d").join(r, rule, "left_anti")
-
-
 def overwrite(df: DataFrame, column: str, when: Column, value) -> DataFrame:
     return df.withColumn(column, F.when(F.coalesce(when, F.lit(False)), F.lit(value)).otherwise(F.col(column)))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from countloom.functions import calendar as cal
 from countloom.functions import regions as schemes
-from countloom.operators import evaluate, harmonise, predict, reconcile, rollup, series
+from countloom.operators import evaluate, harmonise, names, predict, reconcile, rollup, series
 from countloom.plans.queries_time import sql_month_of_week
 from countloom.plans.registry import query
 from countloom.sources import tables, views
@@ -539,6 +539,62 @@ def b_exclude(spark, sf_dir):
     return harmonise.exclude(views.reports(spark, sf_dir), rules).select("series", "unit", "s_res", "t_res", "start_date", "end_date", "year", "value", "source")
 
 
+_RULES = """by_place AS (SELECT n_name AS series, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 8 AS INTEGER) AS z FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  by_source AS (SELECT 'Week' AS t_res, DATE '1995-01-01' + CAST(s_suppkey * 37 % 2500 AS INTEGER) AS a, DATE '1995-01-01' + CAST(s_suppkey * 37 % 2500 + 13 AS INTEGER) AS z FROM supplier)"""
+
+
+@query(f"""WITH {REPORTS}, {_RULES} SELECT series, unit, s_res, t_res, start_date, end_date, year, value, source FROM reports d WHERE NOT EXISTS (SELECT 1 FROM by_place r WHERE r.series = d.series AND d.start_date >= r.a AND d.end_date <= r.z)
+  AND NOT EXISTS (SELECT 1 FROM by_source r WHERE r.t_res = d.t_res AND d.source LIKE 'F%' AND d.start_date >= r.a AND d.end_date <= r.z)""")
+def b_exclude_periods(spark, sf_dir):
+    """A rule for each order, by place and period, and one for each supplier, by period and pattern of sources."""
+    orders = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("from_date"))
+    places = views.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(views.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("series")), F.col("c_nationkey") == F.col("n_nationkey"))
+    none = F.lit(None)
+    one = orders.join(places, F.col("o_custkey") == F.col("c_custkey"))
+    one = one.select("series", none.cast("int").alias("year"), none.cast("string").alias("t_res"), "from_date", F.date_add("from_date", (F.col("o_orderkey") % 8).cast("int")).alias("to_date"), none.cast("string").alias("source_like"))
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("s_suppkey") * 37 % 2500).cast("int"))
+    two = views.table(spark, sf_dir, "supplier").select(none.cast("string").alias("series"), none.cast("int").alias("year"), F.lit("Week").alias("t_res"), day.alias("from_date"), F.date_add(day, 13).alias("to_date"), F.lit("F%").alias("source_like"))
+    return harmonise.exclude(saved(views.reports(spark, sf_dir), "reports"), one.unionByName(two)).select("series", "unit", "s_res", "t_res", "start_date", "end_date", "year", "value", "source")
+
+
+_PLACES = """places AS (SELECT 'Land ' || upper(substr(md5(n_name), 1, 9)) AS name, 'C' || n_nationkey AS iso FROM nation),
+  told AS (SELECT c_custkey, name, CAST(c_custkey % 11 + 4 AS INTEGER) AS p, c_custkey % 6 AS e FROM customer JOIN places ON iso = 'C' || c_nationkey),
+  raws AS (SELECT c_custkey, CASE e WHEN 0 THEN name WHEN 1 THEN lower(name) WHEN 2 THEN substr(name, 1, p) || substr(name, p + 2) WHEN 3 THEN substr(name, 1, p) || 'X' || substr(name, p + 1)
+    WHEN 4 THEN substr(name, 1, p - 2) || 'Z' || substr(name, p, 2) || 'Q' || substr(name, p + 3) ELSE substr(name, 1, p) || 'XYZ' || substr(name, p + 2) END AS raw_name FROM told),
+  plain AS (SELECT DISTINCT raw_name, upper(trim(regexp_replace(raw_name, '[^\\p{L}\\p{N}]+', ' ', 'g'))) AS r FROM raws),
+  pairs AS (SELECT raw_name, name, iso, levenshtein(r, upper(name)) AS distance, CASE WHEN length(r) >= 8 THEN 2 WHEN length(r) >= 4 THEN 1 ELSE 0 END AS k FROM plain, places),
+  best AS (SELECT * FROM pairs WHERE distance <= k QUALIFY distance = min(distance) OVER (PARTITION BY raw_name)),
+  found AS (SELECT raw_name, min(distance) AS distance, count(DISTINCT iso) AS n, min(iso) AS iso, min(name) AS name FROM best GROUP BY raw_name),
+  matched AS (SELECT raw_name, CASE WHEN n IS NULL THEN 'unknown' WHEN n > 1 THEN 'ambiguous' WHEN distance = 0 THEN 'exact' ELSE 'fuzzy' END AS status, CASE WHEN n = 1 THEN iso END AS iso, CASE WHEN n = 1 THEN name END AS name, distance,
+    coalesce(n, 0) AS n_candidates FROM plain LEFT JOIN found USING (raw_name))"""
+
+
+def _places(spark, sf_dir):
+    """Names of nations that differ well, and what each customer calls theirs: as it is, in small
+    letters, or with one, two or more edits."""
+    nations = views.table(spark, sf_dir, "nation")
+    places = nations.select(F.concat(F.lit("Land "), F.upper(F.substring(F.md5(F.col("n_name").cast("binary")), 1, 9))).alias("name"), F.concat(F.lit("C"), "n_nationkey").alias("iso"))
+    told = views.table(spark, sf_dir, "customer").withColumn("iso", F.concat(F.lit("C"), "c_nationkey")).join(places, "iso")
+    told = told.select("c_custkey", "name", (F.col("c_custkey") % 11 + 4).cast("int").alias("p"), (F.col("c_custkey") % 6).alias("e"))
+    edits = [
+        "name", "lower(name)", "substr(name, 1, p) || substr(name, p + 2)", "substr(name, 1, p) || 'X' || substr(name, p + 1)",
+        "substr(name, 1, p - 2) || 'Z' || substr(name, p, 2) || 'Q' || substr(name, p + 3)", "substr(name, 1, p) || 'XYZ' || substr(name, p + 2)",
+    ]
+    return places, told.withColumn("raw_name", F.expr("CASE " + " ".join(f"WHEN e = {k} THEN {edit}" for k, edit in enumerate(edits)) + " END"))
+
+
+@query(f"WITH {_PLACES} SELECT * FROM matched")
+def b_match_names(spark, sf_dir):
+    places, told = _places(spark, sf_dir)
+    return names.match_names(told, places).withColumn("n_candidates", F.coalesce(F.size("candidates"), F.lit(0)).cast("bigint")).drop("candidates")
+
+
+@query(f"WITH {_PLACES} SELECT c_custkey, raw_name, iso, name AS matched_name, status AS match_status FROM raws JOIN matched USING (raw_name)")
+def b_add_code_near(spark, sf_dir):
+    places, told = _places(spark, sf_dir)
+    return names.add_code_near(told.select("c_custkey", "raw_name"), places, name="raw_name")
+
+
 @query(f"""WITH {YEARLY} SELECT series, year, CASE WHEN year = 1999 THEN 'changed' ELSE region END AS region, series || '_' || year AS key, regexp_extract(series || '_' || year, '^[^_]+') AS name_part, CAST(regexp_extract(series || '_' || year, '([0-9]{{4}})$', 1) AS INTEGER) AS year_part FROM yearly""")
 def b_keys_and_overwrite(spark, sf_dir):
     own = harmonise.overwrite(views.yearly(spark, sf_dir).drop("value"), "region", F.col("year") == 1999, "changed")
