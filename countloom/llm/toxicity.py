@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,14 @@ from pyspark.sql import functions as F
 from countloom.llm.common import bounded_batches, map_batches, saved, table, texts_of
 
 #: Labelled rows that the fit may read at most, and terms that it may keep.
-SAMPLE_ROWS, VOCABULARY = 10_000, 4096
+SAMPLE_ROWS, VOCABULARY = 10_000, 2048
 #: A term is kept if it stands in this many toxic examples, in a larger share of them than of the
 #: clean ones, and the likelihood ratio G says that this is no chance (15: one term in ten thousand).
 LEAST_EXAMPLES, LEAST_G = 3, 15.0
 #: Neighbours that vote, examples of a block, and what is added to a neighbour's distance.
 NEAREST, BLOCK, SOFT = 15, 64, 0.05
+#: Texts that are searched for at once.
+QUERIES = 1024
 #: Word starts of these lengths are terms of their own, so that inflected and compound forms meet.
 STARTS = (5, 6, 7, 8)
 #: Words that begin or end with a character from here on are of scripts without blanks.
@@ -66,22 +69,32 @@ class Lookup:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings of the examples that have terms, a term after the other, each in order of the
-    examples' numbers, which are dealt into blocks of ``BLOCK``; for each term and
-    block that it occurs in, the largest weight there."""
+    """Postings of the examples that have terms, in blocks of ``BLOCK`` examples: for each block its terms, each with
+    the weights of the block's examples, and each term's largest weight in each block."""
 
     ids: np.ndarray  # of the examples, by number
     labels: np.ndarray
-    starts: np.ndarray  # of each term's (term, block)s
-    blocks: np.ndarray  # block of each (term, block)
-    highest: np.ndarray  # its largest weight
-    cuts: np.ndarray  # where its postings begin
-    numbers: np.ndarray  # example of each posting
+    order: np.ndarray  # place of each example in the order of the ids
+    highest: np.ndarray  # term, block
+    cells: np.ndarray  # where a block's postings begin
+    terms: np.ndarray  # term, example and weight of each posting, block by block
+    numbers: np.ndarray
     weights: np.ndarray
 
-    @property
-    def n_blocks(self) -> int:
-        return -(-len(self.ids) // BLOCK)
+    @cached_property
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block the row of each term, and the rows: its weights by example; the last row is zero, for
+        terms that the block doesn't have."""
+        out = []
+        for block in range(self.highest.shape[1]):
+            at = slice(self.cells[block], self.cells[block + 1])
+            terms, place = np.unique(self.terms[at], return_inverse=True)
+            weights = np.zeros((len(terms) + 1, BLOCK))
+            weights[place, self.numbers[at] % BLOCK] = self.weights[at]
+            rows = np.full(len(self.highest), len(terms), np.int32)
+            rows[terms] = np.arange(len(terms))
+            out.append((rows, weights))
+        return out
 
 
 def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> Index:
@@ -93,47 +106,66 @@ def build_index(ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndar
     number = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]).astype(np.int64)
     term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
     weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-    by = np.lexsort((number, term))
-    number, term, weight = number[by], term[by], weight[by]
-    cell = term * (len(ids) // BLOCK + 1) + number // BLOCK
-    cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-    highest = np.maximum.reduceat(weight, cuts) if len(cuts) else np.zeros(0)
-    starts = np.searchsorted(term[cuts], np.arange(n_terms + 1))
-    return Index(ids, labels, starts, number[cuts] // BLOCK, highest, np.r_[cuts, len(number)].astype(np.int64), number, weight)
+    n_blocks = -(-len(ids) // BLOCK)
+    highest = np.zeros((n_terms, n_blocks))
+    np.maximum.at(highest, (term, number // BLOCK), weight)
+    place = np.empty(len(ids), np.int64)
+    place[np.argsort(ids, kind="stable")] = np.arange(len(ids))
+    return Index(ids, labels, place, highest, np.searchsorted(number // BLOCK, np.arange(n_blocks + 1)), term, number, weight)
 
 
-def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and similarities of the ``k`` examples nearest to a vector, the smaller id first where they tie;
-    only those that share a term. ``without`` leaves an example id out.
+def nearest(index: Index, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (-1: none) and similarities of the ``k`` examples nearest to each query, nearest first, the smaller id first
+    where they tie; only those that share a term. ``without`` leaves an example's number out of each query (-1: none).
 
-    A block can't reach more than the sum of its largest weights. Blocks are opened from the highest
-    such bound on, and none is left closed whose bound reaches the k-th best, so the result is that of all examples.
+    A block can't reach more than the query's weights times its largest ones. Each query opens the two blocks with the highest
+    such bounds; then, block by block, those queries open it whose k-th best its bound may reach, so the result is
+    that of all examples. Queries that open the same block are multiplied with it at once, by their own few terms.
     """
-    bound = np.zeros(index.n_blocks)
-    for term, weight in zip(terms, weights):
-        at = slice(index.starts[term], index.starts[term + 1])
-        bound[index.blocks[at]] += weight * index.highest[at]
-    order = np.flatnonzero(bound)
-    order = order[np.argsort(-bound[order], kind="stable")]
-    scores = np.zeros(len(index.ids))
-    best, opened, take, shut = np.zeros(0, np.int64), 0, 4, np.ones(index.n_blocks, bool)
-    while opened < len(order):
-        if len(best) == k and bound[order[opened]] < scores[best[-1]] - 1e-9:
-            break
-        now = order[opened : opened + take]
-        opened, take = opened + take, take * 2
-        fresh = np.zeros(index.n_blocks, bool)
-        fresh[now], shut[now] = True, False
-        for term, weight in zip(terms, weights):
-            for cell in np.flatnonzero(fresh[index.blocks[index.starts[term] : index.starts[term + 1]]]) + index.starts[term]:
-                at = slice(index.cuts[cell], index.cuts[cell + 1])
-                scores[index.numbers[at]] += weight * index.weights[at]
-        seen = np.flatnonzero(scores > 0)
-        seen = seen[~shut[seen // BLOCK]]
+    n, size = len(queries), max(len(index.ids), 1)
+    lengths = np.array([len(terms) for terms, _ in queries], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+    n_blocks = index.highest.shape[1]
+    best = np.full((n, k), -1, np.int64)  # similarity in billionths, then the id's place from behind: larger is nearer
+    if n_blocks:
+        bound = np.add.reduceat(index.highest[terms] * weights[:, None], starts, axis=0)
+        opened = np.zeros((n, n_blocks), bool)
+
+    def open_block(block: int, rows: np.ndarray) -> None:
+        opened[rows, block] = True
+        own = lengths[rows]
+        first = np.cumsum(own) - own
+        at = np.repeat(starts[rows] - first, own) + np.arange(own.sum())
+        line, cells = index.blocks[block]
+        low = block * BLOCK
+        count = min(BLOCK, len(index.ids) - low)
+        similar = np.add.reduceat(cells[line[terms[at]], :count] * weights[at, None], first, axis=0)
+        similar = np.rint(similar * 1e9).astype(np.int64)
+        keys = np.where(similar > 0, similar * size + (size - 1 - index.order[low : low + count]), -1)
         if without is not None:
-            seen = seen[index.ids[seen] != without]
-        best = seen[np.lexsort((index.ids[seen], -np.round(scores[seen], 9)))][:k]
-    return best, scores[best]
+            keys[without[rows][:, None] == np.arange(low, low + count)] = -1
+        best[rows] = np.partition(np.concatenate([best[rows], keys], 1), count, axis=1)[:, count:]
+
+    for turn in range(min(2, n_blocks)):
+        block = np.argmax(np.where(opened, -1.0, bound), axis=1)
+        by = np.argsort(block, kind="stable")
+        ends = np.flatnonzero(np.r_[True, np.diff(block[by]) != 0, True])
+        for low, high in zip(ends[:-1], ends[1:]):
+            rows = by[low:high]
+            rows = rows[bound[rows, block[rows[0]]] > 0]
+            if len(rows):
+                open_block(int(block[rows[0]]), rows)
+    for block in range(n_blocks):
+        least = best.min(1)
+        reach = np.where(least < 0, 0.0, least // size / 1e9 - 2e-9)
+        rows = np.flatnonzero(~opened[:, block] & (bound[:, block] > 0) & (bound[:, block] >= reach))
+        if len(rows):
+            open_block(block, rows)
+    best = -np.sort(-best, axis=1)
+    found = best >= 0
+    at_place = np.argsort(index.order, kind="stable")
+    return np.where(found, at_place[np.where(found, size - 1 - best % size, 0)] if len(index.ids) else -1, -1), np.where(found, best // size / 1e9, 0.0)
 
 
 @dataclass(frozen=True)
@@ -154,14 +186,20 @@ class Model:
         weights = (1 + np.log(np.array([counts[t] for t in terms.tolist()], float))) * self.idf[terms]
         return terms, weights / np.sqrt((weights * weights).sum())
 
-    def vote(self, counts: dict[int, int], without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic ones among the nearest examples, each weighted by the inverse of its distance, one weight
-        going to the share among all; and these examples."""
-        if not counts:
-            return self.without_terms, np.zeros(0, np.int64), np.zeros(0)
-        numbers, similar = nearest(self.index, *self.vector(counts), NEAREST, without)
-        pull = 1 / (np.clip(1 - similar, 0, 1) + SOFT)
-        return float((pull @ self.index.labels[numbers] + self.prior) / (pull.sum() + 1)), numbers, similar
+    def votes(self, counts: list[dict[int, int]], without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the share of toxic ones among the nearest examples, each weighted by the inverse of its distance, one
+        weight going to the share among all; and these examples' numbers and similarities."""
+        out = np.full(len(counts), self.without_terms)
+        numbers, similar = np.full((len(counts), NEAREST), -1), np.zeros((len(counts), NEAREST))
+        rows = np.array([row for row, own in enumerate(counts) if own], np.int64)
+        for at in range(0, len(rows), QUERIES):
+            own = rows[at : at + QUERIES]
+            found, near = nearest(self.index, [self.vector(counts[row]) for row in own], NEAREST, None if without is None else without[own])
+            pull = np.where(found >= 0, 1 / (np.clip(1 - near, 0, 1) + SOFT), 0.0)
+            toxic = self.index.labels[found] if len(self.index.ids) else np.zeros(found.shape)
+            out[own] = ((pull * toxic).sum(1) + self.prior) / (pull.sum(1) + 1)
+            numbers[own], similar[own] = found, near
+        return out, numbers, similar
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.shift + self.slope * _log_odds(votes))))
@@ -277,8 +315,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     vectors = [model.vector(dict(zip(row["terms"], row["times"]))) for row in rows]
     model = replace(model, index=build_index(np.array([r["doc_id"] for r in rows], np.int64), np.array([r["label"] for r in rows], np.int64), vectors, len(kept)))
 
+    number_of = {int(doc_id): k for k, doc_id in enumerate(model.index.ids)}
+
     def without_itself(batch: pa.RecordBatch) -> pa.RecordBatch:
-        votes = [model.vote(dict(zip(t, k)), doc_id)[0] for doc_id, t, k in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))]
+        ids, terms, times = (batch.column(c).to_pylist() for c in (0, 2, 3))
+        votes = model.votes([dict(zip(t, k)) for t, k in zip(terms, times)], np.array([number_of.get(i, -1) for i in ids], np.int64))[0]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.float64())], ["doc_id", "label", "vote"])
 
     votes = map_batches(picked, without_itself, "doc_id long, label int, vote double").orderBy("doc_id").collect()
@@ -302,13 +343,13 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
         model = sent.value
         look = Lookup(model.vocabulary)
         for batch in batches:
-            found = [model.vote(look(text)) for text in batch.column(2).to_pylist()]
-            scores = model.score(np.array([vote for vote, _, _ in found]))
+            votes, numbers, similar = model.votes([look(text) for text in batch.column(2).to_pylist()])
+            scores = model.score(votes)
             arrays = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32))]
             names = ["doc_id", "held_out", "score", "predicted"]
             if evidence:
                 own = model.index
-                lists = [[{"doc_id": int(own.ids[k]), "similarity": float(s), "label": int(own.labels[k])} for k, s in zip(numbers, similar)] for _, numbers, similar in found]
+                lists = [[{"doc_id": int(own.ids[k]), "similarity": float(s), "label": int(own.labels[k])} for k, s in zip(*row) if k >= 0] for row in zip(numbers, similar)]
                 arrays.append(pa.array(lists, pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("label", pa.int32())]))))
                 names.append("evidence")
             yield pa.RecordBatch.from_arrays(arrays, names)
