@@ -3,6 +3,7 @@ Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -26,14 +27,19 @@ BLOCK_CELLS = 500_000
 #: Words of benchmark text that one pass over the documents looks for: some 50 MB a worker.
 BLOCK_WORDS = 2_000_000
 _PLAIN = {k: chr(k).lower() if chr(k).isalnum() else " " for k in range(128)}
+#: Characters of scripts that are written without blanks (Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese).
+_BLANKLESS = re.compile("[\u0e00-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters and digits, lower-cased: case and marks don't hide a copy."""
+    """Runs of letters and digits, lower-cased: case and marks don't hide a copy. In scripts without
+    blanks each character is a word, so that a copy within a longer text, or with marks put in, is found there too."""
     text = text or ""
     if text.isascii():
         return text.translate(_PLAIN).split()
     text = text.lower()
+    if _BLANKLESS.search(text):
+        text = _BLANKLESS.sub(r" \g<0> ", text)
     for c in set(text):
         if not c.isalnum():
             text = text.replace(c, " ")
@@ -44,7 +50,7 @@ def words_of(text: str | None) -> list[str]:
 class Items:
     """A block of benchmark items as word numbers (from 1; 0 is any other word)."""
 
-    ids: list[int]
+    ids: list[int | None]
     vocabulary: dict[str, int]
     words: list[np.ndarray]
     points: np.ndarray  # that an alignment with the item must reach
@@ -154,13 +160,13 @@ def matches_in(items: Items, numbers: np.ndarray) -> Iterator[tuple[int, float,
 
 
 def benchmark_blocks(benchmark: DataFrame, *, item_col: str = "item_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The benchmark, the stated query set, in blocks of bounded size. Items without
-    words, or without an id, are left out."""
+    """The benchmark, the stated query set, in blocks of bounded size. Items without words are left out; those
+    without an id are searched for like any other."""
     rows: list[tuple[int, list[str]]] = []
     held = 0
     for row in benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string")).orderBy(item_col).toLocalIterator():
         words = words_of(row[1])
-        if row[0] is None or not words:
+        if not words:
             continue
         if rows and held + len(words) > block_words:
             yield Items.of(rows)
@@ -249,7 +255,7 @@ def find_copies(df: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     joined; texts aren't shuffled.
 
     Null and empty texts match nothing; equal items are all reported; repeated rows
-    give repeated results; null ids stay null; other columns are ignored; an empty
+    give repeated results; null ids of documents and of items stay null; other columns are ignored; an empty
     table on either side gives an empty result.
     """
     docs = texts_of(df, id_col, text_col)

@@ -550,10 +550,46 @@ def test_words_are_runs_of_letters_and_digits():
     rng = random.Random(7)
     for _ in range(2000):
         text = "".join(rng.choice("aB1_ -.,\té日İ²\u0307\xa0ſ¼٣\x1c") for _ in range(rng.randint(0, 12)))
-        assert decontaminate.words_of(text) == re.findall(r"[^\W_]+", text.lower())
+        assert decontaminate.words_of(text) == re.findall(r"日|[^\W_日]+", text.lower())
     assert decontaminate.words_of(None) == []
 
 
+#: A sentence's characters for each script: an item is a random run of some, a text holds it among others.
+SCRIPTS = {
+    "chinese": "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长",
+    "japanese": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをんアイウエオカキクケコ日本語東京学生先生時間会社",
+    "thai": "กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวศสหอฮ",
+}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_scripts_without_blanks(spark, script):
+    """Items in longer texts, whole, with marks put in, with some characters replaced; all pairs are aligned for comparison."""
+    rng = random.Random(script)
+    run = lambda n: "".join(rng.choice(SCRIPTS[script]) for _ in range(n))
+    items = [(k, run(rng.randint(12, 40))) for k in range(8)]
+    docs = []
+    for k in range(64):
+        own = list(items[k % 8][1])
+        if k % 4 == 1:
+            own.insert(rng.randrange(len(own)), "。")
+        elif k % 4 == 2:
+            own = [c if rng.random() > 0.2 else run(1) for c in own]
+        docs.append((k, run(rng.randint(0, 60)) + "".join(own if k % 4 < 3 else [run(20)]) + run(rng.randint(0, 60))))
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(df, benchmark).collect()}
+    assert got == plain_copies(docs, items, decontaminate.LEAST_SCORE)
+    assert {k for k, _ in got} >= {k for k, _ in docs if k % 4 < 2} and not [k for k, _ in got if k % 4 == 3]
+    assert {r["doc_id"] for r in decontaminate.drop_copies(df, benchmark).collect()} == {k for k, _ in docs} - {k for k, _ in got}
+
+
+def test_items_without_an_id_are_searched_for(spark):
+    df = spark.createDataFrame([(1, "so a b c d e it is"), (2, "nothing here")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "a b c d e")], "item_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.find_copies(df, benchmark).collect()] == [(1, None)]
+    assert [r["doc_id"] for r in decontaminate.drop_copies(df, benchmark).collect()] == [2]
+
+
 def test_copies_keep_columns_that_clash(spark):
     rows = [(1, "w1 w2 w3 w4 w5", 7, b"x", 1.0, None), (None, None, None, None, None, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, item long, words binary, points double, first long")
