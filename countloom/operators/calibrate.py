@@ -14,12 +14,12 @@ def year_grid(df: DataFrame, first: int, last: int, *, series: str = "series") -
     return df.select(series).distinct().select(series, years).join(df, [series, "year"], "left")
 
 
-def one_source(df: DataFrame, priority: tuple[str, ...] = ("ad_hoc_data", "main")) -> DataFrame:
-    """One row a series and year: that of the first source in ``priority``; others follow by name."""
+def one_source(df: DataFrame, priority: tuple[str, ...] = ("ad_hoc_data", "main"), *extra: str) -> DataFrame:
+    """One row a series and year (and ``extra`` columns): that of the first source in ``priority``; others follow by name."""
     rank = F.lit(len(priority))
     for k, name in reversed(list(enumerate(priority))):
         rank = F.when(F.col("cat") == name, k).otherwise(rank)
-    w = Window.partitionBy("series", "year").orderBy(rank, F.asc_nulls_last("cat"), "t_res")
+    w = Window.partitionBy("series", "year", *extra).orderBy(rank, F.asc_nulls_last("cat"), "t_res")
     return df.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 

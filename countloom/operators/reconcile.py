@@ -39,14 +39,14 @@ def draw_counts(df: DataFrame, *keys: str, mu: str = "pred_mean", size: str = "s
     return out.withColumn("draws", sample(F.xxhash64(*keys), F.col("_mu"), F.col(size).cast("double"))).drop("_mean", "_mu")
 
 
-def rake(df: DataFrame, *keys: str, order: str = "month", draws: str = "draws", mu: str = "pred_mean", value: str = "value", locked: str = "locked", annual: str = "annual_total", seed: int = 1) -> DataFrame:
+def rake(df: DataFrame, *keys: str, order: str = "month", draws: str = "draws", mu: str = "pred_mean", value: str = "value", locked: str = "locked", annual: str = "annual_total", seed: int = 1, deal_zeros: bool = True) -> DataFrame:
     """``raked``: every draw made to add up to the year's total.
 
     Locked months keep their observation; what is left of the total is dealt to the
     others in proportion to the draw, by floors and largest remainders (ties: the earlier
     month). If nothing is left, they are zero; if a draw has only zeros there, the rest
     is dealt by a multinomial on the means, seeded by a hash of the keys, so that series
-    don't share random numbers. Without a total draws stay as they are. Null draws
+    don't share random numbers (without ``deal_zeros`` it stays at zero). Without a total draws stay as they are. Null draws
     count as zeros where there is a total, and stay null where there is none.
 
     A group is one key's year, some twelve rows with all draws, handled as one block.
@@ -62,7 +62,7 @@ def rake(df: DataFrame, *keys: str, order: str = "month", draws: str = "draws",
         free = np.flatnonzero(~fixed)
         if not pd.isna(total) and len(free):
             budget = int(total) - int(pdf.loc[fixed, value].sum())
-            block[free] = _dealt(block[free], pdf[mu].to_numpy(float)[free], budget, [seed, int(pdf["_key"].iloc[0]) & (1 << 64) - 1])
+            block[free] = _dealt(block[free], pdf[mu].to_numpy(float)[free], budget, [seed, int(pdf["_key"].iloc[0]) & (1 << 64) - 1] if deal_zeros else None)
         unknown = [x is None and not f and pd.isna(total) for x, f in zip(own, fixed)]
         pdf["raked"] = [None if lost else x for lost, x in zip(unknown, block)]
         return pdf.drop(columns="_key")
@@ -83,7 +83,7 @@ def _shares(block: np.ndarray, sums: np.ndarray, budget: int) -> tuple[np.ndarra
     return block * whole + (product // sums).astype(np.int64), (product % sums).astype(np.int64)
 
 
-def _dealt(block: np.ndarray, mu: np.ndarray, budget: int, seed: list[int]) -> np.ndarray:
+def _dealt(block: np.ndarray, mu: np.ndarray, budget: int, seed: list[int] | None) -> np.ndarray:
     out = np.zeros_like(block)
     if budget <= 0:
         return out
@@ -95,7 +95,7 @@ def _dealt(block: np.ndarray, mu: np.ndarray, budget: int, seed: list[int]) -> n
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(len(block))[:, None], 0)
         out[:, some] = floors + (rank < budget - floors.sum(0))
-    if not some.all():
+    if not some.all() and seed is not None:
         weights = np.where(np.isfinite(mu) & (mu > 0), mu, 0.0)
         weights = weights / weights.sum() if weights.sum() > 0 else np.full(len(mu), 1 / len(mu))
         out[:, ~some] = np.random.default_rng(seed).multinomial(budget, weights, int((~some).sum())).T

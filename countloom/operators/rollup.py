@@ -75,9 +75,13 @@ def level_counts(df: DataFrame) -> DataFrame:
     return periods.where(F.col("s_res").isin("Admin0", "Admin1", "Admin2")).groupBy(*keys).agg(*out)
 
 
-def coverage(df: DataFrame) -> DataFrame:
-    """series, year, t_res, n_record, expected (12, 1 or the year's weeks), prop."""
-    return share_of_year(df.groupBy("series", "year", "t_res").agg(F.count(F.lit(1)).alias("n_record")))
+def coverage(df: DataFrame, *extra: str) -> DataFrame:
+    """series, year, t_res, n_record (periods), expected (12, 1 or the year's weeks), prop; ``extra`` columns, such as the
+    spatial level, belong to the key. A period that several units report counts once: an aggregation to periods, whose
+    partial results are combined before the shuffle, comes first."""
+    keys = ["series", "year", "t_res", *extra]
+    periods = df.groupBy(*keys, "start_date", "end_date").agg(F.lit(1).alias("_one"))
+    return share_of_year(periods.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_record")))
 
 
 def share_of_year(counted: DataFrame) -> DataFrame:
@@ -86,8 +90,9 @@ def share_of_year(counted: DataFrame) -> DataFrame:
     return counted.withColumn("expected", expected.cast("int")).withColumn("prop", F.col("n_record") / F.col("expected"))
 
 
-def annual_totals(df: DataFrame) -> DataFrame:
-    return df.groupBy("series", "year").agg(lenient_sum("value").alias("annual_total"))
+def annual_totals(df: DataFrame, *extra: str) -> DataFrame:
+    """Sum of each series and year; ``extra`` columns, such as level and resolution, belong to the key."""
+    return df.groupBy("series", "year", *extra).agg(lenient_sum("value").alias("annual_total"))
 
 
 def attach_annual(df: DataFrame, *keys: str, value: str = "value") -> DataFrame:

@@ -214,8 +214,8 @@ def not_twelve(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n <> 12")
 
 
-def coverage_view(df: DataFrame, years: list[int], *, region: str | None = None, complete: float = 1.0) -> DataFrame:
-    """A column a year: the resolution where coverage is complete, for one region."""
+def coverage_view(df: DataFrame, years: list[int], *extra: str, region: str | None = None, complete: float = 1.0) -> DataFrame:
+    """A row a series (and ``extra`` columns), a column a year: the resolution where coverage is complete, for one region or all."""
     own = df if region is None else df.where(F.col("region") == region)
     shown = own.withColumn("shown", F.when(F.col("prop") >= complete, F.col("t_res")))
-    return shown.groupBy("series").pivot("year", years).agg(F.min("shown"))
+    return shown.groupBy("series", *extra).pivot("year", years).agg(F.min("shown"))

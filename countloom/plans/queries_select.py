@@ -173,15 +173,14 @@ def f_to_verify(spark, sf_dir):
 
 
 def _cover(spark, sf_dir):
-    """Coverage with annual totals and two sources of different rank."""
-    reports = views.reports(spark, sf_dir).where("s_res = 'Admin0'")
-    totals = reports.groupBy("series", "year", "t_res").agg(F.sum("value").alias("annual_total"))
-    own = rollup.coverage(reports).join(totals, ["series", "year", "t_res"])
+    """Coverage of each level with annual totals and sources of different rank."""
+    reports = views.reports(spark, sf_dir)
+    own = rollup.coverage(reports, "s_res").join(rollup.annual_totals(reports, "t_res", "s_res"), ["series", "year", "t_res", "s_res"])
     return own.withColumn("cat", F.when(F.col("t_res") == "Week", "main").when(F.col("t_res") == "Month", "ad_hoc_data").otherwise("first_year"))
 
 
 _COVER = f"""{REPORTS}, {COVERAGE}, cov AS (SELECT c.*, c.n_record / c.expected AS prop, r.annual_total, CASE c.t_res WHEN 'Week' THEN 'main' WHEN 'Month' THEN 'ad_hoc_data' ELSE 'first_year' END AS cat
-  FROM cover c JOIN (SELECT series, year, t_res, CAST(sum(value) AS BIGINT) AS annual_total FROM reports WHERE s_res = 'Admin0' GROUP BY ALL) r USING (series, year, t_res))"""
+  FROM cover c JOIN (SELECT series, year, t_res, s_res, CAST(sum(value) AS BIGINT) AS annual_total FROM reports GROUP BY ALL) r USING (series, year, t_res, s_res))"""
 _GRID = f"{YEARLY}, grid AS (SELECT s.series, CAST(y.year AS INTEGER) AS year, v.region, v.value AS annual_total FROM (SELECT DISTINCT series FROM yearly) s, (SELECT unnest(range(1994, 2004)) AS year) y LEFT JOIN yearly v ON v.series = s.series AND v.year = y.year)"
 
 
@@ -194,15 +193,15 @@ def g_year_grid(spark, sf_dir):
     return _grid(spark, sf_dir)
 
 
-@query(f"""WITH {_COVER} SELECT series, year, t_res, cat, n_record FROM cov QUALIFY row_number() OVER (PARTITION BY series, year ORDER BY CASE cat WHEN 'ad_hoc_data' THEN 0 WHEN 'main' THEN 1 ELSE 2 END) = 1""")
+@query(f"""WITH {_COVER} SELECT series, year, s_res, t_res, cat, n_record FROM cov QUALIFY row_number() OVER (PARTITION BY series, year, s_res ORDER BY CASE cat WHEN 'ad_hoc_data' THEN 0 WHEN 'main' THEN 1 ELSE 2 END) = 1""")
 def g_one_source(spark, sf_dir):
-    return calibrate.one_source(_cover(spark, sf_dir)).select("series", "year", "t_res", "cat", "n_record")
+    return calibrate.one_source(_cover(spark, sf_dir), ("ad_hoc_data", "main"), "s_res").select("series", "year", "s_res", "t_res", "cat", "n_record")
 
 
-@query(f"""WITH {_COVER} SELECT series, year, t_res, CASE WHEN prop IS NULL THEN 'No_data' WHEN t_res = 'Year' AND annual_total = 0 THEN 'No_modelling_required'
+@query(f"""WITH {_COVER} SELECT series, year, s_res, t_res, CASE WHEN prop IS NULL THEN 'No_data' WHEN t_res = 'Year' AND annual_total = 0 THEN 'No_modelling_required'
   WHEN t_res = 'Year' AND prop = 1 THEN 'Annual_disaggregation' WHEN prop = 1 THEN 'No_modelling_required' WHEN prop < 1 THEN 'Sub_annual_imputation' END AS cat_model FROM cov""")
 def g_model_category(spark, sf_dir):
-    return calibrate.model_category(_cover(spark, sf_dir)).select("series", "year", "t_res", "cat_model")
+    return calibrate.model_category(_cover(spark, sf_dir)).select("series", "year", "s_res", "t_res", "cat_model")
 
 
 _FIRST = "first AS (SELECT n_name AS series, CAST(1996 + n_nationkey % 4 AS INTEGER) AS first_year FROM nation WHERE n_nationkey % 2 = 0)"

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from countloom.functions import calendar as cal
 from countloom.functions import regions as schemes
-from countloom.operators import evaluate, harmonise, names, predict, reconcile, rollup, series
+from countloom.operators import count_model, evaluate, harmonise, names, predict, reconcile, rollup, series, sketches, stack
 from countloom.plans.queries_time import sql_month_of_week
 from countloom.plans.registry import query
 from countloom.sources import tables, views
 from countloom.sources.shared import fresh_path, saved
-from countloom.sources.views import REPORTS, WEEKLY, YEARLY, sql_epi_start, sql_weeks
+from countloom.sources.views import REPORTS, WEEKLY, YEARLY, sql_epi_start, sql_epi_week, sql_weeks
 
 COMPLETE = f"""{WEEKLY}, pairs AS (SELECT DISTINCT series, region, year FROM weekly), wk AS (SELECT *, CAST(unnest(range(1, {sql_weeks('year')} + 1)) AS INTEGER) AS week FROM pairs),
   grid AS (SELECT *, {sql_epi_start('year', 'week')} AS start_date FROM wk), first AS (SELECT {sql_epi_start('min(year)', '1')} AS d FROM weekly),
@@ -56,8 +56,19 @@ def h_complete_years(spark, sf_dir):
     return series.complete_years(views.yearly(spark, sf_dir), "series", "region")
 
 
-@query(f"WITH {COMPLETE}, o AS (SELECT DISTINCT start_date, time_seq FROM complete) SELECT CAST(start_date AS VARCHAR) AS what, count(*) AS n FROM o GROUP BY start_date HAVING count(*) > 1")
+@query(f"""WITH {COMPLETE}, faulty AS (SELECT CASE WHEN value % 97 = 0 THEN start_date + 1 ELSE start_date END AS start_date, CASE WHEN value % 89 = 0 THEN time_seq + 1 ELSE time_seq END AS time_seq FROM complete),
+  o AS (SELECT DISTINCT start_date, time_seq FROM faulty) SELECT CAST(start_date AS VARCHAR) AS what, count(*) AS n FROM o GROUP BY start_date HAVING count(*) > 1
+  UNION ALL SELECT CAST(time_seq AS VARCHAR), count(*) FROM o GROUP BY time_seq HAVING count(*) > 1""")
 def h_sequence_issues(spark, sf_dir):
+    """A calendar in which some weeks begin a day late and others have the next one's number."""
+    own = _complete(spark, sf_dir)
+    late, shifted = F.coalesce(F.col("value") % 97 == 0, F.lit(False)), F.coalesce(F.col("value") % 89 == 0, F.lit(False))
+    return series.sequence_issues(own.withColumns({"start_date": F.date_add("start_date", late.cast("int")), "time_seq": F.col("time_seq") + shifted.cast("int")}))
+
+
+@query(f"WITH {COMPLETE}, o AS (SELECT DISTINCT start_date, time_seq FROM complete) SELECT CAST(start_date AS VARCHAR) AS what, count(*) AS n FROM o GROUP BY start_date HAVING count(*) > 1")
+def h_sequence_clean(spark, sf_dir):
+    """The completed calendar has no such issue."""
     return series.sequence_issues(_complete(spark, sf_dir))
 
 
@@ -186,13 +197,16 @@ def h_not_twelve(spark, sf_dir):
     return series.not_twelve(_monthly(spark, sf_dir).where("value is not null"), "series", "year")
 
 
-@query(f"""WITH {REPORTS}, c AS (SELECT series, region, year, t_res, count(*) / CASE t_res WHEN 'Month' THEN 12 WHEN 'Year' THEN 1 ELSE {sql_weeks('year')} END AS prop FROM reports WHERE s_res = 'Admin0' GROUP BY series, region, year, t_res)
-  SELECT series, {', '.join(f"min(CASE WHEN year = {y} AND prop >= 1 THEN t_res END) AS y{y}" for y in range(1996, 2000))} FROM c WHERE region = 'ASIA' GROUP BY series""")
+_VIEW_YEARS = range(1994, 2004)
+
+
+@query(f"""WITH {REPORTS}, c AS (SELECT series, s_res, year, t_res, count(DISTINCT (start_date, end_date)) / CASE t_res WHEN 'Month' THEN 12 WHEN 'Year' THEN 1 ELSE {sql_weeks('year')} END AS prop FROM reports GROUP BY series, s_res, year, t_res)
+  SELECT series, s_res, {', '.join(f"min(CASE WHEN year = {y} AND prop >= 1 THEN t_res END) AS y{y}" for y in _VIEW_YEARS)} FROM c GROUP BY series, s_res""")
 def h_coverage_view(spark, sf_dir):
-    own = views.reports(spark, sf_dir).where("s_res = 'Admin0'")
-    places = own.select("series", "region").distinct()
-    view = series.coverage_view(rollup.coverage(own).join(places, "series"), [1996, 1997, 1998, 1999], region="ASIA")
-    return view.select("series", *(F.col(str(y)).alias(f"y{y}") for y in range(1996, 2000)))
+    """All places, levels and years of the tables."""
+    own = rollup.coverage(views.reports(spark, sf_dir), "s_res")
+    view = series.coverage_view(own, list(_VIEW_YEARS), "s_res")
+    return view.select("series", "s_res", *(F.col(str(y)).alias(f"y{y}") for y in _VIEW_YEARS))
 
 
 # -- I: pseudo-draws by arithmetic on the row, so that SQL can repeat them
@@ -225,9 +239,9 @@ def _long(spark, sf_dir):
     return reconcile.rake_by_windows(drawn.withColumn("y", F.expr(_Y).cast("bigint")), "series", "year")
 
 
-def _arrays(spark, sf_dir):
+def _arrays(spark, sf_dir, **kwargs):
     draws = F.transform(F.sequence(F.lit(0), F.lit(N_DRAWS - 1)), lambda draw: ((F.col("month") * 31 + draw * 17 + F.col("year")) % 97 * F.when((draw % 7 == 3) & (F.col("month") < 7), 0).otherwise(1)).cast("bigint"))
-    return reconcile.rake(_cells(spark, sf_dir).withColumn("draws", draws), "series", "year")
+    return reconcile.rake(_cells(spark, sf_dir).withColumn("draws", draws), "series", "year", **kwargs)
 
 
 @query(f"WITH {RAKING} SELECT series, year, month, draw, y, raked FROM raked")
@@ -257,9 +271,8 @@ SUMMARY = f"""{RAKING}, su AS (SELECT series, region, year, month, value, locked
 
 
 def _summary(spark, sf_dir):
-    keys = ["series", "region", "year", "month", "value", "locked", "annual_total"]
-    own = _long(spark, sf_dir).groupBy(*keys).agg(F.collect_list("raked").alias("raked"))  # N_DRAWS values a month
-    return reconcile.summarise_draws(own)
+    """All draws of a month in one array; draws that are zero in all free months stay at zero, as in the SQL."""
+    return reconcile.summarise_draws(_arrays(spark, sf_dir, deal_zeros=False))
 
 
 @query(f"WITH {SUMMARY} SELECT series, year, month, CAST(draw_sum AS BIGINT) AS draw_sum, CAST(n_draws AS INTEGER) AS n_draws, round(draw_sum / n_draws, 5) AS draw_mean, round(lwr, 5) AS draw_lwr, round(upr, 5) AS draw_upr FROM summary")
@@ -267,6 +280,20 @@ def i_summarise_draws(spark, sf_dir):
     return _summary(spark, sf_dir).select("series", "year", "month", "draw_sum", "n_draws", *(F.round(c, 5).alias(c) for c in ("draw_mean", "draw_lwr", "draw_upr")))
 
 
+@query(f"""WITH {RAKING} SELECT region, year, count(*) AS n_values, true AS within_q10, true AS within_q50, true AS within_q90 FROM ys GROUP BY region, year""")
+def i_pooled_quantiles(spark, sf_dir):
+    """Quantiles over the draws of all series and months of a region and year, from merged sketches by series. The columns
+    within_* say that an estimate's true rank is as near as stated."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(N_DRAWS - 1)), lambda draw: ((F.col("month") * 31 + draw * 17 + F.col("year")) % 97 * F.when((draw % 7 == 3) & (F.col("month") < 7), 0).otherwise(1)).cast("bigint"))
+    own = saved(_cells(spark, sf_dir).withColumn("draws", draws), "draws")
+    at = {"q10": 0.1, "q50": 0.5, "q90": 0.9}
+    near = sketches.quantiles(sketches.quantile_sketches(own, F.col("draws"), "region", "year", "series"), "region", "year", at=at)
+    values = own.select("region", "year", F.explode("draws").alias("v")).join(near, ["region", "year"])
+    share = lambda test: F.avg(test.cast("double"))
+    inside = [((share(F.col("v") < F.col(q)) - sketches.rank_error() <= p) & (share(F.col("v") <= F.col(q)) + sketches.rank_error() >= p)).alias(f"within_{q}") for q, p in at.items()]
+    return values.groupBy("region", "year").agg(F.max("n_values").alias("n_values"), *inside)
+
+
 ESTIMATES = f"""{SUMMARY}, bb AS (SELECT *, annual_total - coalesce(sum(CASE WHEN locked THEN value END) OVER w, 0) AS budget, CASE WHEN NOT locked THEN draw_sum // n_draws END AS f, CASE WHEN NOT locked THEN draw_sum % n_draws END AS rest FROM summary WINDOW w AS (PARTITION BY series, year)),
   kk AS (SELECT *, row_number() OVER (PARTITION BY series, year ORDER BY rest DESC NULLS LAST, month) AS k, budget - sum(f) OVER (PARTITION BY series, year) AS left_over FROM bb),
   estimates AS (SELECT series, region, year, month, locked, annual_total, CAST(CASE WHEN locked THEN value WHEN budget <= 0 THEN 0 WHEN k <= left_over THEN f + 1 ELSE f END AS BIGINT) AS scaled,
@@ -339,6 +366,74 @@ def k_predictor(spark, sf_dir):
     return _predicted(spark, sf_dir).select("series", "year", "month", *(F.round(c, 4).alias(c) for c in ("pred_mean", "pred_lwr", "pred_upr")))
 
 
+@query()
+def k_count_model(spark, sf_dir):
+    """The fitted model on months of nations; the tests hold its coefficients against a dense solve."""
+    own = count_model.count_predictor(_monthly(spark, sf_dir), season="month")
+    return own.select("series", "year", "month", "value", *(F.round(c, 3).alias(c) for c in ("pred_mean", "pred_lwr", "pred_upr")))
+
+
+@query()
+def k_model_scores(spark, sf_dir):
+    """Scores of the fitted model and of the chain of means on months of suppliers that neither saw."""
+    cells = views.daily(spark, sf_dir).groupBy("series", "region", F.year("day").alias("year"), F.month("day").alias("season")).agg(F.sum("value").alias("truth"))
+    hidden = F.pmod(F.xxhash64("series", "year", "season"), F.lit(5)) == 0
+    cells = saved(cells.withColumns({"is_test": hidden, "value": F.when(~hidden, F.col("truth"))}), "cells")
+    made = {"count_model": count_model.count_predictor(cells), "seasonal_means": predict.seasonal_predictor(cells)}
+    scored = [df.where("is_test").select(F.lit(name).alias("model"), "truth", F.col("pred_mean").alias("pred"), F.lit(1e5).alias("pop"), "pred_lwr", "pred_upr") for name, df in made.items()]
+    both = saved(scored[0].unionByName(scored[1]), "scored")
+    inside = both.groupBy("model").agg(F.avg(F.col("truth").between(F.col("pred_lwr"), F.col("pred_upr")).cast("double")).alias("cov95"))
+    return _rounded(evaluate.point_metrics(both, "model").select("model", "n", "mae", "rmse").join(inside, "model"), mae=3, rmse=3, cov95=4)
+
+
+# -- J: two learners that haven't seen the year they predict, and their combination
+
+LEARNERS = f"""{WEEKLY}, wk AS (SELECT series, region, year, ({sql_epi_week('start_date')} - 1) % 52 + 1 AS week, CAST(value AS DOUBLE) AS truth FROM weekly),
+  s AS (SELECT series, sum(truth) AS a, count(*) AS n FROM wk GROUP BY ALL), sy AS (SELECT series, year, sum(truth) AS a, count(*) AS n FROM wk GROUP BY ALL),
+  r AS (SELECT region, week, sum(truth) AS a, count(*) AS n FROM wk GROUP BY ALL), ry AS (SELECT region, week, year, sum(truth) AS a, count(*) AS n FROM wk GROUP BY ALL),
+  learners AS (SELECT wk.*, CAST(year % 3 AS INTEGER) AS fold, (s.a - sy.a) / nullif(s.n - sy.n, 0) AS by_series, (r.a - ry.a) / nullif(r.n - ry.n, 0) AS by_week
+    FROM wk JOIN s USING (series) JOIN sy USING (series, year) JOIN r USING (region, week) JOIN ry USING (region, week, year)),
+  known AS (SELECT * FROM learners WHERE by_series IS NOT NULL AND by_week IS NOT NULL)"""
+
+
+def _sql_stack(name: str, keys: str, sums: str) -> str:
+    """Weights of two learners from sums of products: both, or the better one alone."""
+    return f"""{name}_w AS (SELECT *, g11 * g22 - g12 * g12 AS det FROM {sums}), {name}_v AS (SELECT *, (r1 * g22 - r2 * g12) / det AS w1, (r2 * g11 - r1 * g12) / det AS w2 FROM {name}_w),
+  {name} AS (SELECT {keys}, CASE WHEN w1 >= 0 AND w2 >= 0 THEN w1 / (w1 + w2) WHEN r1 * r1 / g11 > r2 * r2 / g22 THEN 1.0 ELSE 0.0 END AS w FROM {name}_v)"""
+
+
+_PRODUCTS = "count(*) AS n, sum(by_series * by_series) AS g11, sum(by_week * by_week) AS g22, sum(by_series * by_week) AS g12, sum(by_series * truth) AS r1, sum(by_week * truth) AS r2"
+
+
+def _learners(spark, sf_dir):
+    own = views.weekly(spark, sf_dir).select("series", "region", "year", cal.folded_week(cal.epi_week("start_date")).alias("week"), F.col("value").cast("double").alias("truth"))
+    own = saved(own.withColumn("fold", F.col("year") % 3), "weeks")
+    for name, keys in (("by_series", ["series"]), ("by_week", ["region", "week"])):
+        years = own.groupBy(*keys, "year").agg(F.sum("truth").alias("_ay"), F.count(F.lit(1)).alias("_ny"))
+        all_ = years.groupBy(*keys).agg(F.sum("_ay").alias("_a"), F.sum("_ny").alias("_n"))
+        other = years.join(all_, keys).withColumn(name, F.try_divide(F.col("_a") - F.col("_ay"), F.col("_n") - F.col("_ny"))).select(*keys, "year", name)
+        own = own.join(other, [*keys, "year"])
+    return own
+
+
+@query(f"""WITH {LEARNERS}, sums AS (SELECT region, {_PRODUCTS} FROM known GROUP BY region), {_sql_stack('st', 'region, n', 'sums')}
+  SELECT region, n, 'by_series' AS learner, round(w, 6) AS weight FROM st UNION ALL SELECT region, n, 'by_week', round(1 - w, 6) FROM st""")
+def j_stack_weights(spark, sf_dir):
+    return _rounded(stack.stack_weights(_learners(spark, sf_dir), ["by_series", "by_week"], by=("region",)), weight=6)
+
+
+@query(f"""WITH {LEARNERS}, f AS (SELECT fold, {_PRODUCTS} FROM known GROUP BY fold), o AS (SELECT a.fold, sum(b.g11) AS g11, sum(b.g22) AS g22, sum(b.g12) AS g12, sum(b.r1) AS r1, sum(b.r2) AS r2 FROM f a JOIN f b ON a.fold <> b.fold GROUP BY a.fold),
+  {_sql_stack('st', 'fold', 'o')}, u AS (SELECT truth, by_series, by_week, w * by_series + (1 - w) * by_week AS stack FROM known JOIN st USING (fold)),
+  l AS (UNPIVOT u ON stack, by_series, by_week INTO NAME learner VALUE p), m AS (SELECT learner, count(*) AS n, sqrt(avg((p - truth) ** 2)) AS rmse, stddev_samp(abs(p - truth)) / sqrt(count(*)) AS se FROM l GROUP BY ALL),
+  b AS (SELECT min(rmse) AS best FROM m WHERE learner <> 'stack')
+  SELECT learner, n, round(rmse, 6) AS rmse, round(se, 6) AS se, round(rmse - 1.96 * se, 6) AS lower, round(rmse + 1.96 * se, 6) AS upper, round(CASE WHEN learner = 'stack' THEN (best - rmse) / best END, 6) AS better FROM m, b""")
+def j_stack_scores(spark, sf_dir):
+    """The stack's error on folds that its weights haven't seen, beside the learners'."""
+    own = _learners(spark, sf_dir).where("by_series is not null and by_week is not null")
+    own = stack.stack_by_fold(own, ["by_series", "by_week"])
+    return _rounded(stack.compare_stack(own, ["by_series", "by_week"]), rmse=6, se=6, lower=6, upper=6, better=6)
+
+
 # -- J: two models on weekly data, three folds by arithmetic
 
 SCORED = f"""{WEEKLY}, base AS (SELECT series, region, year, start_date, value AS truth, (year(start_date) * 7 + dayofyear(start_date)) % 3 AS fold, 1000 + length(series) * 100 + value % 50 AS pop FROM weekly),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from countloom.functions import calendar as cal
-from countloom.operators import dedup, rollup
+from countloom.operators import dedup, rollup, sketches
 from countloom.plans.registry import query
 from countloom.sources import views
-from countloom.sources.shared import saved
+from countloom.sources.shared import fresh_path, saved
 from countloom.sources.views import DAILY, REPORTS, WEEKLY, WEEKLY_SOURCES, sql_epi_start, sql_epi_week, sql_epi_year, sql_week_start, sql_weeks
 
 _MONTH_OF_WEEK = "CAST(CASE WHEN year({e}) <> year({s}) AND year({e}) = {y} THEN 1 ELSE month({s}) END AS INTEGER)"
@@ -151,18 +151,18 @@ def d_level_counts(spark, sf_dir):
     return rollup.level_counts(views.reports(spark, sf_dir))
 
 
-COVERAGE = f"""cover AS (SELECT series, year, t_res, count(*) AS n_record, CAST(CASE t_res WHEN 'Month' THEN 12 WHEN 'Year' THEN 1 ELSE {sql_weeks('year')} END AS INTEGER) AS expected
-  FROM reports WHERE s_res = 'Admin0' GROUP BY series, year, t_res)"""
+COVERAGE = f"""cover AS (SELECT series, year, t_res, s_res, count(DISTINCT (start_date, end_date)) AS n_record, CAST(CASE t_res WHEN 'Month' THEN 12 WHEN 'Year' THEN 1 ELSE {sql_weeks('year')} END AS INTEGER) AS expected
+  FROM reports GROUP BY series, year, t_res, s_res)"""
 
 
 @query(f"WITH {REPORTS}, {COVERAGE} SELECT *, round(n_record / expected, 6) AS prop FROM cover")
 def d_coverage(spark, sf_dir):
-    return rollup.coverage(views.reports(spark, sf_dir).where("s_res = 'Admin0'")).withColumn("prop", F.round("prop", 6))
+    return rollup.coverage(views.reports(spark, sf_dir), "s_res").withColumn("prop", F.round("prop", 6))
 
 
-@query(f"WITH {REPORTS} SELECT series, year, CAST(sum(value) AS BIGINT) AS annual_total FROM reports WHERE t_res = 'Month' GROUP BY ALL")
+@query(f"WITH {REPORTS} SELECT series, year, t_res, s_res, CAST(sum(value) AS BIGINT) AS annual_total FROM reports GROUP BY ALL")
 def d_annual_totals(spark, sf_dir):
-    return rollup.annual_totals(views.reports(spark, sf_dir).where("t_res = 'Month'"))
+    return rollup.annual_totals(views.reports(spark, sf_dir), "t_res", "s_res")
 
 
 @query(f"""WITH {WEEKLY}, v AS (SELECT series, year, start_date, CASE WHEN value % 101 <> 0 THEN value END AS value FROM weekly)
@@ -177,6 +177,19 @@ def d_source_totals(spark, sf_dir):
     return rollup.source_totals(views.weekly_sources(spark, sf_dir))
 
 
+@query(f"""WITH {DAILY} SELECT source, CAST(date_trunc('month', day) AS DATE) AS month, count(*) AS n_rows, count(DISTINCT part) AS n_exact, true AS within FROM daily GROUP BY ALL""")
+def d_distinct_sketches(spark, sf_dir):
+    """Parts reported a source and month, from stored sketches by day, beside the exact number: ``within`` says that they
+    differ by no more than five standard errors."""
+    own = views.daily(spark, sf_dir).select("source", "day", "part")
+    days = sketches.refreshed(spark, fresh_path(spark, "sketches"), own, "part", "source")
+    month = F.trunc("day", "month").alias("month")
+    near = sketches.distinct_counts(days.select("source", month, "n_rows", "sketch"), "source", "month")
+    exact = own.groupBy("source", month).agg(F.count_distinct("part").alias("n_exact"))
+    off = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 5 * sketches.distinct_error() * F.col("n_exact") + 1
+    return near.join(exact, ["source", "month"]).select("source", "month", "n_rows", "n_exact", off.alias("within"))
+
+
 @query(f"WITH {REPORTS} SELECT region, t_res, count(*) AS n_rows, count(DISTINCT series) AS n_series FROM reports GROUP BY ALL")
 def d_tally(spark, sf_dir):
     return rollup.tally(views.reports(spark, sf_dir), "region", "t_res")
