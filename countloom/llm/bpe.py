@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from countloom.llm.common import map_batches, table, texts_of
-from countloom.llm.pieces import cut, in_groups
+from countloom.llm.pieces import cut, cuttable, in_groups
 
 #: Parts whose ids a worker remembers, and the longest part that it remembers.
 MEMO_PARTS, MEMO_CHARS = 200_000, 48
@@ -40,8 +40,25 @@ def _byte_letters() -> dict[str, int]:
     return letters
 
 
+def _unsupported(spec: dict) -> str | None:
+    """What keeps this encoder from giving the ids that the file's library gives."""
+    model, split = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    steps = split.get("pretokenizers") or [split]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("dropout"):
+        return "only plain byte-level BPE models are"
+    if spec.get("normalizer"):
+        return "normalizers aren't"
+    if steps[-1].get("type") != "ByteLevel" or any(s.get("add_prefix_space") for s in steps) or any(s.get("type") not in ("ByteLevel", "Split") for s in steps):
+        return "other pre-tokenizers than ByteLevel, behind one split by a pattern or alone, aren't"
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens") or []):
+        return "added tokens that take in their surroundings aren't"
+    return None
+
+
 class Vocabulary:
-    """Tokens, merges and special strings of a vocabulary file, with the encoder."""
+    """Tokens, merges and special strings of a vocabulary file, with the encoder. ``pattern`` is the file's split pattern. Files
+    whose ids it couldn't give exactly are an error; texts are cut only where the file's pattern is the one whose safe
+    places are known, others are encoded whole."""
 
     def __init__(self, path: str, pattern: str):
         import ahocorasick
@@ -49,9 +66,12 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        if (wrong := _unsupported(spec)) is not None:
+            raise ValueError(f"{path}: {wrong} supported")
+        self.cuts = cuttable(spec)
         letters = _byte_letters()
         as_bytes = lambda token: bytes(letters[c] for c in token)
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         vocab = spec["model"]["vocab"]
         self.ids = {as_bytes(token): k for token, k in vocab.items() if token not in special}
         self.bytes_of = {k: token for token, k in self.ids.items()} | {k: s.encode() for s, k in special.items()}
@@ -219,7 +239,7 @@ class Vocabulary:
         joint, rest = [], []
         for part in parts:
             special = self.special_at is not None and self.special_at.search(part)
-            (joint if part[0] == " " and not part[-1].isspace() and not special else rest).append(part)
+            (joint if self.cuts and part[0] == " " and not part[-1].isspace() and not special else rest).append(part)
         words = self.words.findall("".join(joint))
         counts = np.bincount(
             np.searchsorted(np.cumsum(np.fromiter(map(len, joint), np.int64, len(joint))), np.cumsum(np.fromiter(map(len, words), np.int64, len(words))), side="left"),
@@ -253,7 +273,7 @@ class Vocabulary:
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         """Parts that repeat are remembered, up to a bound; the others only for this call."""
-        rows = [cut(text) for text in texts]
+        rows = [cut(text) if self.cuts else [text] * bool(text) for text in texts]
         memo = self._memo
         seen = Counter(part for row in rows for part in row if part not in memo)
         if not seen:

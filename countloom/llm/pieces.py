@@ -27,6 +27,13 @@ _CLASS = regex.compile(r"(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[
 SPECIAL = ("<|endoftext|>",)
 
 
+def cuttable(spec: dict) -> bool:
+    """Is the split pattern of a tokenizer file the one whose safe places ``cut`` knows?"""
+    split, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    return bool(plain) and not spec.get("normalizer") and all(t["content"] in SPECIAL and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+
+
 def cut(text: str) -> list[str]:
     """Parts of ``text``, in order; each but the first begins with its space."""
     if not text:

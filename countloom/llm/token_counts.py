@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from countloom.llm.common import map_batches, table, texts_of
-from countloom.llm.pieces import SPECIAL, cut, in_groups, packed
+from countloom.llm.pieces import cut, cuttable, in_groups, packed
 
 #: Bytes of text handed to the library in one call.
 CALL_BYTES = 256 << 10
@@ -21,12 +21,8 @@ MEMO_PARTS, MEMO_CHARS = 300_000, 48
 
 
 def _cuttable(path: str) -> bool:
-    """Is the file's split pattern the one that ``pieces`` knows the safe places of?"""
     with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    split, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
-    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-    return bool(plain) and not spec.get("normalizer") and all(t["content"] in SPECIAL and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+        return cuttable(json.load(file))
 
 
 @lru_cache(maxsize=2)

@@ -639,6 +639,33 @@ def test_url_filter_table(spark):
     assert url_filter.matched_rule("a.com", "/x", rules) == ("a.com/x", "allow")
 
 
+def test_bpe_of_other_files(spark, tmp_path, library):
+    """Another split pattern: whole texts give the library's ids. Files that can't be encoded exactly are an error."""
+    import json
+
+    with open(PATH, encoding="utf-8") as file:
+        spec = json.load(file)
+    pattern = r"\p{L}{1,3}|\d{2}|[^\p{L}\d]+|\d"
+    split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Isolated", "invert": False}
+    own = spec | {"pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(own), encoding="utf-8")
+    other = Tokenizer.from_file(str(path))
+    rng = random.Random(3)
+    rows = [(k, "".join(rng.choice(["  ", " ", "ab", "Übung", "123", "!?", "\n", "'s", "日本", "the <|endoftext|>"]) for _ in range(rng.randrange(40)))) for k in range(200)] + [(300, LONG[:50_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode(df, str(path), pattern).collect()}
+    assert got == {k: other.encode(t, add_special_tokens=False).ids for k, t in rows}
+    wrong = [spec | {"normalizer": {"type": "Lowercase"}}, spec | {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, spec | {"model": spec["model"] | {"end_of_word_suffix": "</w>"}}, spec | {"pre_tokenizer": {"type": "Whitespace"}}]
+    for k, bad in enumerate(wrong):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(bad), encoding="utf-8")
+        with pytest.raises(ValueError, match="supported"):
+            bpe.Vocabulary(str(path), public_tokenizers.PATTERN)
+    with pytest.raises(ValueError, match="supported"):
+        bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN)
+
+
 # -- 9
 
 
