@@ -38,9 +38,10 @@ def words_of(text: str | None) -> list[str]:
     if text.isascii():
         return text.translate(_PLAIN).split()
     text = text.lower()
-    if _BLANKLESS.search(text):
+    kinds = set(text)
+    if max(kinds) >= "\u0e00":
         text = _BLANKLESS.sub(r" \g<0> ", text)
-    for c in set(text):
+    for c in kinds:
         if not c.isalnum():
             text = text.replace(c, " ")
     return text.split()
