@@ -51,9 +51,10 @@ def _files(spark: SparkSession, path: str):
     return p, p(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def publish(df: DataFrame, path: str, *by: str, **checks: Column) -> int:
+def publish(df: DataFrame, path: str, *by: str, emptied: tuple[str, ...] = (), **checks: Column) -> int:
     """Replaces the partitions (of the columns ``by``) that ``df`` has rows for, and leaves all others, and their
-    files, as they are. Gives the number of rows.
+    files, as they are; those named in ``emptied`` (such as ``year=2003``) go if ``df`` has no rows for them. Gives the
+    number of rows.
 
     The rows are written beside the table first. A job that fails, or a check that is true for a row, leaves the
     table untouched. Then a manifest names the partitions to replace, and they are moved into their places one by one; if
@@ -70,23 +71,25 @@ def publish(df: DataFrame, path: str, *by: str, **checks: Column) -> int:
         raise
     parts = sorted(_partitions(spark, stage, len(by)))
     out = fs.create(p(f"{stage}/manifest.part"), True)
-    out.write(bytearray(json.dumps({"by": list(by), "partitions": parts}).encode()))
+    out.write(bytearray(json.dumps({"partitions": parts, "emptied": sorted(set(emptied) - set(parts))}).encode()))
     out.close()
     fs.rename(p(f"{stage}/manifest.part"), p(f"{stage}/manifest.json"))  # from here on the replacement is decided
-    _moved(spark, path, stage, parts)
+    _moved(spark, path, stage, parts, sorted(set(emptied) - set(parts)))
     return n
 
 
 def _partitions(spark: SparkSession, root: str, depth: int) -> list[str]:
     p, fs = _files(spark, root)
     found = [""]
-    for _ in range(depth):
+    for _ in range(depth if fs.exists(p(root)) else 0):
         found = [f"{part}/{status.getPath().getName()}" for part in found for status in fs.listStatus(p(root + part)) if status.isDirectory() and "=" in status.getPath().getName()]
     return [part.lstrip("/") for part in found]
 
 
-def _moved(spark: SparkSession, path: str, stage: str, parts: list[str]) -> None:
+def _moved(spark: SparkSession, path: str, stage: str, parts: list[str], emptied: list[str]) -> None:
     p, fs = _files(spark, path)
+    for part in emptied:
+        fs.delete(p(f"{path}/{part}"), True)
     for part in parts:
         source, target = p(f"{stage}/{part}"), p(f"{path}/{part}")
         if fs.exists(source):  # else it was moved before
@@ -111,7 +114,8 @@ def recover(spark: SparkSession, path: str) -> list[str]:
         stage = f"{path}/{name}"
         if fs.exists(p(f"{stage}/manifest.json")):
             text = "\n".join(row.value for row in spark.read.text(f"{stage}/manifest.json", wholetext=True).collect())  # one file
-            _moved(spark, path, stage, json.loads(text)["partitions"])
+            manifest = json.loads(text)
+            _moved(spark, path, stage, manifest["partitions"], manifest["emptied"])
             ended.append(name)
         else:
             fs.delete(p(stage), True)

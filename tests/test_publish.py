@@ -64,7 +64,7 @@ def test_a_replacement_cut_off_is_ended(spark, tmp_path, monkeypatch, at):
     publish.publish(table(spark, [("old", y, y) for y in (1, 2, 3, 4)]), path, "year")
     moved = publish._moved
 
-    def cut(spark, path, stage, parts):
+    def cut(spark, path, stage, parts, emptied):
         p, fs = publish._files(spark, path)
         for part in parts[:at]:
             fs.delete(p(f"{path}/{part}"), True)
@@ -80,6 +80,15 @@ def test_a_replacement_cut_off_is_ended(spark, tmp_path, monkeypatch, at):
     assert rows(spark, path) == [("new", 1, 1), ("new", 2, 2), ("new", 3, 3), ("old", 4, 4)]
 
 
+def test_partitions_that_are_named_go_when_nothing_comes_for_them(spark, tmp_path):
+    path = str(tmp_path / "t")
+    publish.publish(table(spark, [("a", y, y) for y in (1, 2, 3)]), path, "year")
+    publish.publish(table(spark, [("b", 9, 2)]), path, "year", emptied=("year=1", "year=2"))
+    assert rows(spark, path) == [("a", 3, 3), ("b", 9, 2)]
+    publish.publish(table(spark, []), path, "year", emptied=("year=3",))
+    assert rows(spark, path) == [("b", 9, 2)]
+
+
 def test_several_levels_and_checks_cost_no_job(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.createDataFrame([(k, k % 3, ["x", "y"][k % 2]) for k in range(30)], "k int, a int, b string")
