@@ -51,8 +51,12 @@ _ENTITY = re.compile(
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9a-f]{1,4}:){1,7}(?::?[0-9a-f]{1,4}){1,7}(?![\w:]|\.[0-9])|(?<![\w:.])::(?:[0-9a-f]{1,4}:){0,6}[0-9a-f]{1,4}(?![\w:]|\.[0-9])", re.I)
 #: Words; an English possessive ending isn't part of one.
 _WORD = re.compile(r"\w+(?:(?!['’]s\b)[-'’]\w+)*")
-_NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?((?:[ ]\w+(?:[-'’]\w+)*){1,3})")
+_NAME = re.compile(r"(?<!\w)(" + "|".join(TITLES) + r")\.?(?=((?:[ ]\w+(?:[-'’]\w+)*){1,3}))")
 _DIGITS = re.compile(r"[0-9]")
+#: What stands before a parameter's name in an address, whose value ends at the next one.
+_IN_URL = re.compile(r"[?&][\w.-]*$")
+#: Words that begin with a capital in headlines, and aren't names behind a title.
+_NO_NAMES = frozenset("the and of in is was are were has had said but or if it this that who which with for from at by on to not und ist war hat mit et est sont avec dans y es son con".split())
 #: Marks behind an unquoted credential that aren't replaced with it.
 _TRAILING = ".,;:!?)]}>\"'`"
 #: Letters and digits that a credential's surrogate has at least, so that short ones stay distinct.
@@ -93,9 +97,13 @@ def _marked(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
         start, end = m.span(kind)
         own = text[start:end]
         if kind in ("secret", "secret1", "secret2", "access", "header", "pem"):
+            if kind == "secret" and _IN_URL.search(text, max(0, m.start() - 64), m.start()):
+                own = re.split("[&#]", own, maxsplit=1)[0]
             if kind in ("secret", "header"):
                 own = own.rstrip(_TRAILING)
                 end = start + len(own)
+            if kind == "secret" and ":" in text[m.start() : start] and own.isalpha() and len(own) < LEAST_SECRET:
+                continue  # a word of running text
             kind = "secret"
             if not any(c.isalnum() for c in own):
                 continue
@@ -114,8 +122,8 @@ def _marked(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
                 continue
         elif kind in ("phone", "ssn", "card"):
             own = "".join(_DIGITS.findall(own))
-            if kind == "phone" and not 7 <= len(own) <= 15:
-                continue
+            if (kind == "phone" and not 7 <= len(own) <= 15) or (kind == "card" and _luhn(own) != 0):
+                continue  # book numbers and time stamps have as many digits
         yield start, end, kind, own.lower(), "", ""
     for m in _IP6.finditer(text) if "::" in text or text.count(":") > 6 else ():
         if _DIGITS.search(m[0]):
@@ -131,7 +139,7 @@ def _named(text: str) -> Iterator[tuple[int, int, str, str, str, str]]:
     for m in _NAME.finditer(text):
         words = []
         for w in _WORD.finditer(text, m.start(2), m.end(2)):
-            if not (w[0][0].isupper() and (script := _script(w[0]))):
+            if w[0] in TITLES or w[0].lower() in _NO_NAMES or not (w[0][0].isupper() and (script := _script(w[0]))):
                 break
             words.append((*w.span(), "name", w[0].lower(), script))
         for k, word in enumerate(words):
