@@ -334,3 +334,18 @@ def test_empty_tables(spark):
     assert dedup.drop_losing_spans(empty, "Week").isEmpty()
     assert rollup.level_counts(empty.withColumn("s_res", F.lit("Admin0"))).isEmpty()
     assert series.runs(empty, "series", order="start_date").isEmpty()
+
+
+def test_years_that_do_not_add_up(spark, sf_dir):
+    """With all draws dealt only years without a free month miss their total. Where draws of zeros stay at zero, as
+    in the query that SQL repeats, those miss it too that have such a draw."""
+    from countloom.plans import queries_series
+
+    off = {}
+    for deal in (True, False):
+        own = reconcile.summarise_draws(queries_series._arrays(spark, sf_dir, deal_zeros=deal)).cache()
+        wrong = reconcile.unreconciled(reconcile.whole_estimates(own, "series", "year"), "series", "year").select("series", "year")
+        off[deal] = own.join(wrong, ["series", "year"], "left_semi").where("not locked").select("series", "year", "draws").toPandas()
+    assert off[True].empty and len(off[False])
+    for _, year in off[False].groupby(["series", "year"]):
+        assert (np.stack(year["draws"]).sum(0) == 0).any()
