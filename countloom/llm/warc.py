@@ -7,7 +7,9 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
+from datetime import datetime
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -80,20 +82,32 @@ def _parsed(spark: SparkSession, path: str, parse: Callable[[Iterator[bytes]], I
 _SPARK = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
 
 
+class _Lines:
+    """Lines that can be given back, to be read again."""
+
+    def __init__(self, lines: Iterator[bytes]):
+        self.lines, self.again = lines, deque()
+
+    def __iter__(self) -> _Lines:
+        return self
+
+    def __next__(self) -> bytes:
+        return self.again.popleft() if self.again else next(self.lines)
+
+
 def _body(lines: Iterator[bytes], length: int, tail: bytes = b"") -> bytes:
-    """The next ``length`` bytes, which end where a line (less ``tail``) ends."""
+    """The next ``length`` bytes, which end where a line (less ``tail``) ends. Where they don't, the lines are given back."""
     parts: list[bytes] = []
     held = -1
-    while held < length + len(tail):
-        line = next(lines, None)
-        if line is None:
-            raise ValueError("an archive ends within a record")
+    while held < length + len(tail) and (line := next(lines, None)) is not None:
         parts.append(line)
         held += len(line) + 1
     body = b"\n".join(parts)
-    if held != length + len(tail) or not body.endswith(tail):
-        raise ValueError("a record's declared length doesn't fit its content")
-    return body[:length]
+    if held == length + len(tail) and body.endswith(tail):
+        return body[:length]
+    if isinstance(lines, _Lines):
+        lines.again.extendleft(reversed(parts))
+    raise ValueError("an archive ends within a record" if held < length + len(tail) else "a record's declared length doesn't fit its content")
 
 
 # -- ARC
@@ -152,34 +166,71 @@ def _header_pattern(titles: str) -> re.Pattern:
     return re.compile(" ".join(ARC_FIELDS[title][1] for title in titles.split()))
 
 
-def parse_arc(lines: Iterator[bytes], with_content: bool) -> Iterator[dict]:
+def _page_id(text: str | None) -> int | None:
+    """A whole number of 64 bits, or none."""
+    digits = (text or "").removeprefix("-")
+    if not (digits.isascii() and digits.isdecimal() and len(digits) < 20):
+        return None
+    return own if -(1 << 63) <= (own := int(text)) < 1 << 63 else None
+
+
+def _full_date(date: str) -> str:
+    """Fourteen digits: the earliest time that fits; an error if there is no such day or hour."""
+    d = date + "00000101000000"[len(date) :]
+    datetime(*(int(d[a:b]) for a, b in ((0, 4), (4, 6), (6, 8), (8, 10), (10, 12), (12, 14))))
+    return d
+
+
+def _arc_record(text: str, lines: Iterator[bytes], header: re.Pattern) -> tuple[dict, bytes, str, int]:
+    """Fields, content, kind and head size of the record that begins with a header line."""
+    m = header.fullmatch(text)
+    if m is None:
+        raise ValueError(f"an ARC header line doesn't fit its version: {text[:200]}")
+    record, content = m.groupdict(), _body(lines, int(m["length"]))
+    _full_date(record["date"])
+    is_http = record["url"][:7].lower().startswith(("http://", "https:/")) or "://" not in record["url"].split(" ")[0] and not record["url"].startswith("dns:")
+    return record, content, *(("http", _head_size(content)) if is_http and content.startswith(b"HTTP/") else ("other", 0))
+
+
+def _arc_version(text: str, lines: Iterator[bytes]) -> tuple[dict, bytes, re.Pattern]:
+    url, ip, date, *_ = text.split(" ")
+    body = _body(lines, int(text.rpartition(" ")[2]))
+    _full_date(date)
+    first, titles = [*body.decode("utf-8", "replace").splitlines(), "", ""][:2]
+    version = first.split(" ")[0]
+    if not titles.strip() and version not in ARC_TITLES:
+        raise ValueError(f"an unknown ARC version: {version[:20]}")
+    return {"url": url, "ip": ip, "date": date, "mime": "text/plain", "status": first}, body, _header_pattern(titles.strip() or ARC_TITLES[version])
+
+
+def parse_arc(lines: Iterator[bytes], with_content: bool, strict: bool = True) -> Iterator[dict]:
     """Records of one ARC file. The first block tells the version and the fields of all header
     lines; a record's last field is its content's length. URLs and types may hold
     blanks. kind is http (the URL is one and the content begins with an HTTP head),
     filedesc (the first block) or other; the payload of http is what follows the head, of
-    others all content."""
-    header = _header_pattern(ARC_TITLES["1"])
+    others all content. A record that doesn't fit (its header line, length or date, or the file's end) is an error; without
+    ``strict`` it becomes a row of kind broken, with the reason in ``status``, and what follows is passed over
+    up to the next header line."""
+    header, lost, lines = _header_pattern(ARC_TITLES["1"]), False, _Lines(lines)
     for place, line in enumerate(lines):
         text = line.decode("utf-8", "replace").rstrip("\r")
-        if not text:
+        if not text or (lost and not text.startswith("filedesc://") and header.fullmatch(text) is None):
+            continue
+        try:
+            if text.startswith("filedesc://"):
+                record, content, header = _arc_version(text, lines)
+                kind, head = "filedesc", 0
+            else:
+                record, content, kind, head = _arc_record(text, lines, header)
+        except ValueError as error:
+            if strict:
+                raise
+            lost = True
+            yield {"place": place, "kind": "broken", "status": str(error), "url": text[:200]}
             continue
-        if text.startswith("filedesc://"):
-            url, ip, date, *_ = text.split(" ")
-            body = _body(lines, int(text.rpartition(" ")[2]))
-            first, titles = [*body.decode("utf-8", "replace").splitlines(), "", ""][:2]
-            header = _header_pattern(titles.strip() or ARC_TITLES[first.split(" ")[0]])
-            record, content = {"url": url, "ip": ip, "date": date, "mime": "text/plain", "status": first}, body
-            kind, head = "filedesc", 0
-        else:
-            m = header.fullmatch(text)
-            if m is None:
-                raise ValueError(f"an ARC header line doesn't fit its version: {text[:200]}")
-            record, content = m.groupdict(), _body(lines, int(m["length"]))
-            is_http = record["url"][:7].lower().startswith(("http://", "https:/")) or "://" not in record["url"].split(" ")[0] and not record["url"].startswith("dns:")
-            kind, head = ("http", _head_size(content)) if is_http and content.startswith(b"HTTP/") else ("other", 0)
+        lost = False
         payload = content[head:]
-        page_id = _head_fields(content[:head]).get("x-page-id", "")
-        row = {"place": place, "kind": kind, "page_id": int(page_id) if page_id.isdecimal() or page_id[:1] == "-" and page_id[1:].isdecimal() else None}
+        row = {"place": place, "kind": kind, "page_id": _page_id(_head_fields(content[:head]).get("x-page-id"))}
         row |= {name: record.get(name) for name in ("url", "date", "ip", "mime", "status")}
         yield row | {"length": len(payload), "digest": payload_digest(payload), "head": head, "packed": zlib.compress(content, 1) if with_content else None}
 
@@ -193,8 +244,15 @@ _ARC_SCHEMA = pa.schema(
 
 def read_arc(spark: SparkSession, path: str, *, with_content: bool = True) -> DataFrame:
     """file, place, kind, page_id, url, date, ip, mime, status, length and digest of the payload, head
-    (bytes before it), packed (all content, deflated) of each record of the ARC files in ``path``."""
-    return _parsed(spark, path, lambda lines: parse_arc(lines, with_content), _ARC_SCHEMA)
+    (bytes before it), packed (all content, deflated) of each record of the ARC files in ``path``. Broken
+    records are left out: ``read_broken`` has them. Empty files have no records; a folder without files is an error of Spark's."""
+    return _parsed(spark, path, lambda lines: parse_arc(lines, with_content, strict=False), _ARC_SCHEMA).where("kind <> 'broken'")
+
+
+def read_broken(spark: SparkSession, path: str) -> DataFrame:
+    """file, place, reason and the beginning of the header line of each record that ``read_arc`` leaves out."""
+    rows = _parsed(spark, path, lambda lines: parse_arc(lines, False, strict=False), _ARC_SCHEMA).where("kind = 'broken'")
+    return rows.select("file", "place", F.col("status").alias("reason"), F.col("url").alias("line"))
 
 
 # -- WARC
@@ -207,7 +265,7 @@ def record_id(file: str, place: int, page_id: int | None, url: str, date: str, d
 
 def iso_date(date: str) -> str:
     """The earliest time that fits the digits."""
-    d = date + "00000101000000"[len(date) :]
+    d = _full_date(date)
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
@@ -241,7 +299,7 @@ def _converted(row: dict) -> bytes:
     return warc_record("revisit", headers, content[: row["head"]])
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_revisit: int = 0) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_revisit: int = 0) -> DataFrame:
     """Converts the ARC files in ``arc_path`` (any, of version 1 or 2, packed or not) to
     gzipped WARC files in ``warc_path``.
 
@@ -254,7 +312,12 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_revisit
 
     A first pass reads digests only and finds the payloads that several records share. A
     second joins them to the records by digest; a frequent payload's rows can be split
-    by Spark, as nothing is gathered by digest. A broken file ends the job."""
+    by Spark, as nothing is gathered by digest. Where the shared digests are too many to be sent to all tasks, that join
+    shuffles the packed contents once.
+
+    Records whose header line, length or date doesn't fit, and the last one of a file that was cut off, are set aside; the result
+    is the table of these (as ``read_broken`` gives it), read when it is asked for. A gzipped file that is cut off
+    can't be told from a failing disk, so it ends the job."""
     bounded_batches(spark)
     meta = read_arc(spark, arc_path, with_content=False).where((F.col("kind") == "http") & (F.col("length") >= least_revisit))
     best = F.max(F.struct("page_id", "file", "place", "url", "date")).alias("best")
@@ -266,11 +329,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, *, least_revisit
             yield pa.RecordBatch.from_arrays([pa.array([_converted(row) for row in batch.to_pylist()], pa.binary())], ["record"])
 
     _write_records(rows.select(*_ARC_SCHEMA.names, "best").mapInArrow(run, "record binary"), warc_path, "\r\n\r\n")
+    return read_broken(spark, arc_path)
 
 
 def parse_warc(lines: Iterator[bytes]) -> Iterator[dict]:
     """Responses, revisits and resources of one WARC file; digests of whole payloads are checked."""
-    number = lambda x: int(x) if x else None
     for line in lines:
         if not line.startswith(b"WARC/"):
             raise ValueError("a WARC record doesn't begin with its version")
@@ -289,9 +352,9 @@ def parse_warc(lines: Iterator[bytes]) -> Iterator[dict]:
         digest = headers.get("warc-payload-digest", f"sha1:{payload_digest(payload)}").removeprefix("sha1:")
         if kind != "revisit" and payload_digest(payload) != digest:
             raise ValueError("a payload doesn't fit its digest")
-        row = {"page_id": number(http.get("x-page-id")), "url": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "record_id": headers["warc-record-id"], "record_type": kind}
+        row = {"page_id": _page_id(http.get("x-page-id")), "url": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "record_id": headers["warc-record-id"], "record_type": kind}
         row |= {"mime": headers.get("warc-identified-payload-type") or headers.get("content-type"), "status": headers.get("x-arc-result-code"), "digest": digest}
-        row |= {"length": int(headers.get("x-payload-length") or http.get("content-length") or 0) if kind == "revisit" else len(payload), "refers_to": number(headers.get("x-refers-to-page-id"))}
+        row |= {"length": int(headers.get("x-payload-length") or http.get("content-length") or 0) if kind == "revisit" else len(payload), "refers_to": _page_id(headers.get("x-refers-to-page-id"))}
         yield row | {"refers_to_id": headers.get("warc-refers-to"), "head": block[:head], "packed": None if kind == "revisit" else zlib.compress(payload, 1)}
 
 

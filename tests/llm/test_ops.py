@@ -392,6 +392,29 @@ def test_broken_arc_is_refused():
         list(warc.parse_arc(iter([b"http://u 0.0.0.0 20240101000000 text/html 30", b"abc"]), False))
 
 
+def test_broken_records_are_set_aside(spark, tmp_path):
+    """Dates of 17 digits or of no day, wrong lengths, ids beyond 64 bits and a file that is cut off."""
+    page = lambda body, page_id="7": f"HTTP/1.1 200 OK\r\nX-Page-Id: {page_id}\r\n\r\n{body}".encode()
+    record = lambda name, date, content, more=0: f"http://{name} 1.2.3.4 {date} text/html {len(content) + more}\n".encode() + content + b"\n"
+    good = warc.arc_version_block("1", "20240101000000") + b"\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(
+        good + record("one", "20200101000000", page("one\nmore")) + record("two", "20200101000000123", page("lost\nlines")) + record("three", "20001399000000", page("no such day"))
+        + record("four", "20200101000000", page("four", "99999999999999999999")) + record("five", "20200101000000", page("five"), 2) + record("six", "20200101000000", page("six"))
+    )
+    (tmp_path / "in" / "b.arc").write_bytes(good + record("seven", "2020", page("seven")) + record("eight", "20200101000000", page("cut off"), 900))
+    (tmp_path / "in" / "c.arc").write_bytes(b"")
+    broken = warc.convert(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
+    got = {r["url"]: r for r in warc.read_warc(spark, f"file://{tmp_path}/out").collect()}
+    assert set(got) == {"http://one", "http://four", "http://six", "http://seven"}
+    assert got["http://four"]["page_id"] is None and got["http://one"]["page_id"] == 7 and got["http://seven"]["date"] == "2020-01-01T00:00:00Z"
+    rows = sorted((r["file"].rpartition("/")[2], r["line"].split(" ")[0], r["reason"].split(":")[0]) for r in broken.collect())
+    assert [r[:2] for r in rows] == [("a.arc", "http://five"), ("a.arc", "http://three"), ("a.arc", "http://two"), ("b.arc", "http://eight")]
+    assert rows[0][2] == "a record's declared length doesn't fit its content" and rows[3][2] == "an archive ends within a record"
+    with pytest.raises(ValueError):
+        warc.iso_date("20001399000000")
+
+
 # -- 5
 
 
