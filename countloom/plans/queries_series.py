@@ -105,7 +105,7 @@ FILLED = f"""{COMPLETE}, pred AS (SELECT series, week, CAST(floor(avg(CASE WHEN
 
 
 def _filled(spark, sf_dir):
-    own = _complete(spark, sf_dir)
+    own = saved(_complete(spark, sf_dir), "complete")  # read for the means and for the gaps
     known = F.when(F.col("week") % 10 != 0, F.col("value"))  # some weeks have no prediction
     means = own.groupBy("series", "week").agg(F.floor(F.avg(known) + 0.5).alias("pred_mean"))
     return series.fill_gaps(own.join(means, ["series", "week"], "left"), "series", most=4)
@@ -132,7 +132,8 @@ def _thinned(spark, sf_dir):
     """Filled weeks of which every third is hidden again in even years, so that
     sporadic years occur."""
     hide = (F.col("year") % 2 == 0) & (F.col("week") % 3 != 0)
-    return _filled(spark, sf_dir).withColumns({"value": F.when(~hide, F.col("value")), "filled": F.when(~hide, F.col("filled"))})
+    own = _filled(spark, sf_dir).withColumns({"value": F.when(~hide, F.col("value")), "filled": F.when(~hide, F.col("filled"))})
+    return saved(own, "thinned")  # read for the patterns and for the rows
 
 
 THINNED = PATTERN.replace("mo AS (SELECT *,", "th AS (SELECT * REPLACE (CASE WHEN NOT (year % 2 = 0 AND week % 3 <> 0) THEN value END AS value, CASE WHEN NOT (year % 2 = 0 AND week % 3 <> 0) THEN filled END AS filled) FROM filled), mo AS (SELECT *,").replace("AS month FROM filled)", "AS month FROM th)")
