@@ -19,7 +19,16 @@ def complete_weeks(df: DataFrame, *keys: str, start: str = "start_date", year: s
     calendar, no join and nothing written. The first year, for ``time_seq``, is a scalar subquery over
     the same table, which Spark leaves out where nobody reads the column.
     """
-    first = df.agg(cal.epi_week_start(F.min(year), F.lit(1)).alias("_first")).scalar()
+    return with_time_seq(_completed(df, keys, start, year), df, start=start, year=year)
+
+
+def with_time_seq(weeks: DataFrame, years: DataFrame, *, start: str = "start_date", year: str = "year") -> DataFrame:
+    """``time_seq``: numbers the weeks of a calendar from the first of all ``years``."""
+    first = years.agg(cal.epi_week_start(F.min(year), F.lit(1)).alias("_first")).scalar()
+    return weeks.withColumn("time_seq", F.when(F.col("week").isNotNull(), (F.datediff(start, first) / 7 + 1).cast("int")))
+
+
+def _completed(df: DataFrame, keys: tuple[str, ...], start: str, year: str) -> DataFrame:
     days, n = F.datediff(start, cal.epi_week_start(year, F.lit(1))), F.coalesce(cal.weeks_in_year(year), F.lit(0))
     own = df.withColumns({"_n": n, "_on": F.when((days % 7 == 0) & days.between(0, 7 * n - 1), (days / 7 + 1).cast("int"))})
     w = Window.partitionBy(*keys, year).orderBy(F.asc_nulls_last("_on"))
@@ -35,8 +44,7 @@ def complete_weeks(df: DataFrame, *keys: str, start: str = "start_date", year: s
     own = own.withColumn("_w", F.explode(F.concat(before, here, after)))
     columns = [F.col(c) if c in (*keys, year) else F.when(F.col("_w.own"), F.col(c)).alias(c) for c in df.columns if c != start]
     date = F.when(F.col("_w.own"), F.col(start)).otherwise(cal.epi_week_start(year, F.col("_w.week"))).alias(start)
-    out = own.select(*columns, date, F.col("_w.week").alias("week"))
-    return out.withColumn("time_seq", F.when(F.col("week").isNotNull(), (F.datediff(start, first) / 7 + 1).cast("int")))
+    return own.select(*columns, date, F.col("_w.week").alias("week"))
 
 
 def complete_months(df: DataFrame, *keys: str, year: str = "year", month: str = "month") -> DataFrame:
@@ -157,10 +165,14 @@ def runs(df: DataFrame, *keys: str, order: str, value: str = "value", nulls_only
 def fill_gaps(df: DataFrame, *keys: str, order: str = "time_seq", year: str = "year", value: str = "value", pred: str = "pred_mean", least: int = 1, most: int = 12) -> DataFrame:
     """``filled`` and ``filled_gap``: runs of ``least`` to ``most`` nulls take the
     prediction, where there is one. Runs end with the year, so the windows are on
-    (key, year): a long series is spread over as many tasks as it has years."""
-    own = _cells(df, keys, F.col(year), order, value, None)
-    length = F.count(F.lit(1)).over(Window.partitionBy("_key", "_k"))
-    fill = F.col("is_null") & length.between(least, most) & F.col(pred).isNotNull()
+    (key, year): a long series is spread over as many tasks as it has years. Rows that already
+    lie by key aren't shuffled again."""
+    w = Window.partitionBy(*keys, year).orderBy(order)
+    own = df.withColumn("_null", F.col(value).isNull())
+    own = own.withColumn("_b", F.coalesce(F.lag("_null").over(w) != F.col("_null"), F.lit(False)).cast("int"))
+    own = own.withColumn("_k", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    length = F.count(F.lit(1)).over(Window.partitionBy(*keys, year, "_k"))
+    fill = F.col("_null") & length.between(least, most) & F.col(pred).isNotNull()
     own = own.withColumn("filled_gap", fill).withColumn("filled", F.when(F.col("filled_gap"), F.col(pred)).otherwise(F.col(value)))
     return own.select(*df.columns, "filled_gap", "filled")
 
@@ -168,20 +180,46 @@ def fill_gaps(df: DataFrame, *keys: str, order: str = "time_seq", year: str = "y
 def data_pattern(df: DataFrame, *keys: str, year: str = "year", start: str = "start_date", value: str = "value") -> DataFrame:
     """For each (key, year): n_weeks, coverage (of 52), complete, partial and empty
     months, and the pattern: dense, moderate, sporadic or no_data."""
-    month = cal.month_of_week(start, F.date_add(start, 6), year)
-    months = df.groupBy(*keys, year, month.alias("_m")).agg(F.count(F.lit(1)).alias("_n"), F.count(value).alias("_seen"))
-    out = months.groupBy(*keys, year).agg(
-        F.sum("_seen").alias("n_weeks"),
-        F.count_if(F.col("_seen") == F.col("_n")).alias("n_complete"),
-        F.count_if((F.col("_seen") > 0) & (F.col("_seen") < F.col("_n"))).alias("n_partial"),
-        F.count_if(F.col("_seen") == 0).alias("n_empty"),
-    )
-    pattern = F.when(F.col("n_complete") >= 6, "dense").when(F.col("n_complete") >= 1, "moderate").when(F.col("n_partial") > 0, "sporadic").otherwise("no_data")
-    return out.withColumns({"coverage": F.col("n_weeks") / 52.0, "pattern": pattern})
-
-
-def split_pattern(df: DataFrame, patterns: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of regular and of sporadic (key, year)s."""
+    seen, lack = _months_seen(year, start, value)
+    out = df.groupBy(*keys, year).agg(F.count(value).alias("n_weeks"), seen.alias("_seen"), lack.alias("_lack"))
+    complete, partial, empty = _kinds_of_months()
+    out = out.withColumns({"n_complete": complete, "n_partial": partial, "n_empty": empty}).drop("_seen", "_lack")
+    return out.withColumns({"coverage": F.col("n_weeks") / 52.0, "pattern": _pattern(F.col("n_complete"), F.col("n_partial"))})
+
+
+def with_pattern(df: DataFrame, *keys: str, year: str = "year", start: str = "start_date", value: str = "value") -> DataFrame:
+    """Each row with the pattern of its (key, year), as ``data_pattern`` gives it: by one window, so that
+    rows that lie by key are neither aggregated nor joined."""
+    seen, lack = _months_seen(year, start, value)
+    w = Window.partitionBy(*keys, year)
+    own = df.withColumns({"_seen": seen.over(w), "_lack": lack.over(w)})
+    complete, partial, _ = _kinds_of_months()
+    return own.withColumn("pattern", _pattern(complete, partial)).select(*df.columns, "pattern")
+
+
+def _months_seen(year: str, start: str, value: str) -> list[Column]:
+    """Two sets of months as bits: those with a known week, and those with one that isn't."""
+    bit = F.call_function("shiftleft", F.lit(1), F.coalesce(cal.month_of_week(start, F.date_add(start, 6), year), F.lit(0)))
+    known = F.col(value).isNotNull()
+    return [F.bit_or(F.when(known, bit).otherwise(0)), F.bit_or(F.when(known, 0).otherwise(bit))]
+
+
+def _kinds_of_months() -> tuple[Column, Column, Column]:
+    """Numbers of complete, partial and empty months."""
+    seen, lack = F.col("_seen"), F.col("_lack")
+    both = seen.bitwiseAND(lack)
+    return tuple(F.bit_count(x).cast("bigint") for x in (seen.bitwiseXOR(both), both, lack.bitwiseXOR(both)))
+
+
+def _pattern(complete: Column, partial: Column) -> Column:
+    return F.when(complete >= 6, "dense").when(complete >= 1, "moderate").when(partial > 0, "sporadic").otherwise("no_data")
+
+
+def split_pattern(df: DataFrame, patterns: DataFrame | None = None, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of regular and of sporadic (key, year)s, by their own ``pattern`` or by a table of ``patterns``."""
+    if patterns is None:
+        sporadic = F.col("pattern").eqNullSafe("sporadic")
+        return df.where(~sporadic), df.where(sporadic)
     sporadic = patterns.where("pattern = 'sporadic'").select(*keys)
     return df.join(sporadic, list(keys), "left_anti"), df.join(sporadic, list(keys), "left_semi")
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countloom.functions import calendar as cal
+from countloom.sources.shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,14 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", F.to_date("l_shipdate").alias("day"), F.col("l_quantity").cast("bigint").alias("value"), F.col("l_linestatus").alias("source"),
         F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag"),
     )
+    return lines.join(_places(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select("series", "nation", "nation_key", "region", "day", "value", "source", "part", "flag")
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("series"), "s_nationkey")
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation_key"), F.col("n_name").alias("nation"), "n_regionkey")
     regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("region"))
-    places = suppliers.join(nations, F.col("s_nationkey") == F.col("nation_key")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-    return lines.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select("series", "nation", "nation_key", "region", "day", "value", "source", "part", "flag")
+    return suppliers.join(nations, F.col("s_nationkey") == F.col("nation_key")).join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
 
 
 DAILY = """daily AS (
@@ -116,10 +120,19 @@ WEEKLY_SOURCES = f"""{DAILY}, first_weeks AS (
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One count a supplier and week: series, region, start_date, year, value."""
-    own = daily(spark, sf_dir)
-    week = cal.week_start("day")
-    return own.groupBy("series", "region", week.alias("start_date"), cal.epi_year("day").alias("year")).agg(F.sum("value").alias("value"))
+    """One count a supplier and week: series, region, start_date, year, value.
+
+    Lines are summed under their supplier's number before they get its names, and then under the names, since several
+    suppliers may have one; both in tasks of a fixed number of lines. The rows of a series end in one task, so windows by
+    series and year need no other shuffle.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    n = lines.count()  # from the files' footers
+    lines = lines.select("l_suppkey", cal.week_start(F.to_date("l_shipdate")).alias("start_date"), F.col("l_quantity").cast("bigint").alias("value"))
+    sums = spread(lines, n, "l_suppkey").groupBy("l_suppkey", "start_date").agg(F.sum("value").alias("value"))
+    named = sums.join(_places(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select("series", "region", "start_date", "value")
+    own = spread(named, n, "series").groupBy("series", "region", "start_date").agg(F.sum("value").alias("value"))
+    return own.select("series", "region", "start_date", cal.epi_year("start_date").alias("year"), "value")
 
 
 WEEKLY = f"""{DAILY}, weekly AS (
