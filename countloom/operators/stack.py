@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countloom.operators.evaluate import learner_errors
@@ -83,6 +83,10 @@ def stacked(df: DataFrame, weights: DataFrame, learners: list[str], *, by: tuple
     wide = weights.groupBy(*by) if by else weights.groupBy(F.lit(0).alias("_all"))
     wide = wide.agg(*(F.max(F.when(F.col("learner") == learner, F.col("weight"))).alias(f"_w{k}") for k, learner in enumerate(learners)))
     wide = wide.select(*(F.col(key).alias(f"_by_{key}") for key in by), *(f"_w{k}" for k in range(len(learners))))
+    return _combined(df, wide, learners, by, name)
+
+
+def _combined(df: DataFrame, wide: DataFrame, learners: list[str], by: tuple[str, ...], name: str) -> DataFrame:
     same = F.lit(True)
     for key in by:
         same = same & F.col(key).eqNullSafe(F.col(f"_by_{key}"))
@@ -111,15 +115,15 @@ def stack_by_fold(df: DataFrame, learners: list[str], *, fold: str = "fold", tru
         w = nnls(sum((gram[k] for k in others), np.zeros((size, size))), sum((right[k] for k in others), np.zeros(size)))
         if normalise:
             w = w / w.sum() if w.sum() > 0 else np.full(size, 1 / size)
-        out.extend((own, learner, float(x)) for learner, x in zip(learners, w))
-    weights = df.sparkSession.createDataFrame(out, f"`{fold}` {df.schema[fold].dataType.simpleString()}, learner string, weight double")
-    return stacked(df, weights, learners, by=(fold,), name=name)
+        out.append((own, *map(float, w)))
+    columns = [f"`_by_{fold}` {df.schema[fold].dataType.simpleString()}", *(f"_w{k} double" for k in range(size))]
+    wide = df.sparkSession.createDataFrame(out, ", ".join(columns))
+    return _combined(df, F.broadcast(wide), learners, (fold,), name)  # a row a fold, made here; a shuffle by fold would put all rows into as many tasks
 
 
 def compare_stack(df: DataFrame, learners: list[str], *, stack: str = "stack", truth: str = "truth", by: tuple[str, ...] = ()) -> DataFrame:
     """Errors of each learner and the stack beside each other, with ``better``: by how much of the
     best single learner's error the stack's is smaller."""
     own = learner_errors(df, [stack, *learners], truth=truth, by=by)
-    best = own.where(F.col("learner") != stack).groupBy(*by).agg(F.min("rmse").alias("_best"))
-    out = own.join(best, list(by), "left") if by else own.join(F.broadcast(best), how="cross")  # one row
-    return out.withColumn("better", F.when(F.col("learner") == stack, F.try_divide(F.col("_best") - F.col("rmse"), F.col("_best")))).drop("_best")
+    best = F.min(F.when(F.col("learner") != stack, F.col("rmse"))).over(Window.partitionBy(*by))  # a row a group and learner, so the rows are read once
+    return own.withColumn("better", F.when(F.col("learner") == stack, F.try_divide(best - F.col("rmse"), best)))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from countloom.operators import stack
+from countloom.plans import queries_series
 
 
 def by_subsets(gram, right):
@@ -80,3 +81,25 @@ def test_stack_is_scored_on_rows_that_its_weights_have_not_seen(spark):
                 assert r.stack == pytest.approx(float(np.dot([r.p, r.q, r.r], w / w.sum() if normalise else w)))
     errors = {r.learner: r for r in stack.compare_stack(own, names).collect()}  # q is half the truth
     assert errors["stack"].rmse < min(errors[x].rmse for x in names) and 0 < errors["stack"].better < 1 and errors["p"].better is None
+
+
+def test_rows_are_not_shuffled_for_the_stack(spark, sf_dir):
+    """Neither for the weights of their fold nor for the means of other years, and scores read them once."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    _, df = made(spark)
+    own = stack.stack_by_fold(df.where("grp in ('a', 'b')"), ["p", "q", "r"])
+    assert "Exchange hashpartitioning" not in plan(own) and "SortMergeJoin" not in plan(own)
+    assert plan(stack.compare_stack(own, ["p", "q", "r"])).count("Expand") == 1
+    learned = queries_series._learners(spark, sf_dir)
+    assert "Exchange hashpartitioning" not in plan(learned) and learned.count() > 0
+
+
+def test_folds_and_groups_that_are_null(spark):
+    """A null fold has the other folds' weights, a null group its own best learner."""
+    rows, _ = made(spark)
+    df = spark.createDataFrame([(r[0], r[1] or None, *r[2:5]) for r in rows if r[0] not in ("none", "zero")], "grp string, fold int, truth double, p double, q double").where("p is not null")
+    own = stack.stack_by_fold(df, ["p", "q"])
+    assert own.where("fold is null").count() == 150 and own.where("stack is null").isEmpty() and own.count() == df.count()
+    better = {r.grp: r for r in stack.compare_stack(own, ["p", "q"], by=("grp",)).collect() if r.learner == "stack"}
+    best = {r.grp: r.rmse for r in stack.compare_stack(own, ["p", "q"], by=("grp",)).orderBy(F.desc("rmse")).collect() if r.learner != "stack"}
+    assert set(better) == {"a", "b", None} and all(r.better == pytest.approx((best[g] - r.rmse) / best[g]) for g, r in better.items())
