@@ -75,10 +75,10 @@ def months_from_weeks(weekly: DataFrame, *, most_weeks: int = 4, predictor=predi
     year's pattern. Columns series, region, year, month, value, imputed_weekly."""
     weeks = series.complete_weeks(weekly, "series", "region").where("week is not null").withColumn("season", cal.folded_week("week"))
     weeks = predictor(weeks).withColumn("pred_mean", F.floor("pred_mean"))
-    filled = saved(series.fill_gaps(weeks, "series", most=most_weeks), "filled")
-    pattern = series.data_pattern(filled.withColumn("value", F.coalesce("value", "filled")), "series").select("series", "year", "pattern")
+    filled = series.fill_gaps(weeks, "series", most=most_weeks).withColumn("_known", F.coalesce("value", "filled"))
+    filled = saved(series.with_pattern(filled, "series", value="_known").where("series is not null and year is not null"), "filled")
     month = cal.month_of_week("start_date", F.date_add("start_date", 6), "year").cast("int")
-    return rollup.filled_weeks_to_months(filled.join(pattern, ["series", "year"]).withColumn("month", month), "series", "region").drop("pattern")
+    return rollup.filled_weeks_to_months(filled.withColumn("month", month), "series", "region").drop("pattern")
 
 
 def monthly_series(weekly: DataFrame, monthly: DataFrame, annual: DataFrame, *, most_weeks: int = 4, most_months: int = 11, predictor=predict.seasonal_predictor) -> DataFrame:
